@@ -10,9 +10,7 @@ from __future__ import annotations
 # The 29 code points that Python's str.strip() and re's \s accept.
 # ---------------------------------------------------------------------------
 WHITESPACE = (
-    "\t\n\x0b\x0c\r"
-    "\x1c\x1d\x1e\x1f\x20"
-    "\x85\xa0 "
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0 "
     "           "
     "    　"
 )

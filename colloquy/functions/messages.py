@@ -20,6 +20,7 @@ from colloquy.functions.text import (
     is_user,
     role_strict,
 )
+from colloquy.schema import PART, TURN
 
 USER_FALLBACK = {"current": "", "strict": fixed.STRICT_USER_TEXT}
 
@@ -91,15 +92,14 @@ def build_messages(
     """
     fallback = USER_FALLBACK[mode]
     with_image = F.lit(False) if image is None else has_image(image)
-    part = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
 
     def text_part(t: Column) -> Column:
         text = F.when(t["role"] == "user", default_user_text(t["text"], fallback)).otherwise(t["text"])
-        return F.struct(F.lit("text").alias("type"), text.alias("text")).cast(part)
+        return F.struct(F.lit("text").alias("type"), text.alias("text")).cast(PART)
 
     image_part = F.struct(
         F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")
-    ).cast(part)
+    ).cast(PART)
 
     def messages(ctx: Column) -> Column:
         return F.transform(
@@ -112,7 +112,7 @@ def build_messages(
             ),
         )
 
-    turns = _cleaned(F.coalesce(column(conv), F.array().cast(T.ArrayType(_TURN))), keep_system)
+    turns = _cleaned(F.coalesce(column(conv), F.array().cast(T.ArrayType(TURN))), keep_system)
     context = bind(
         turns,
         lambda ts: F.struct(
@@ -125,9 +125,6 @@ def build_messages(
     return bind(context, messages)
 
 
-_TURN = T.StructType([T.StructField("src", T.StringType()), T.StructField("value", T.StringType())])
-
-
 def assistant_text(messages: Column | str) -> Column:
     """Texts of the assistant messages, in order."""
     spoken = F.filter(column(messages), lambda m: m["role"] == "assistant")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from colloquy import fixed
 from colloquy.functions.messages import part_texts
 from colloquy.functions.text import bind, column, py_strip, role_legacy
+from colloquy.schema import PART, TOOL_CALL
 
 _FRAGMENT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
 
@@ -105,7 +106,7 @@ def render_chat_interleaved(
             return F.array().cast(T.ArrayType(_FRAGMENT))
         filled = F.coalesce(F.size(m["content"]), F.lit(0)) > 0
         return F.transform(
-            F.coalesce(m["tool_calls"], F.array().cast("array<struct<name:string,arguments:string>>")),
+            F.coalesce(m["tool_calls"], F.array().cast(T.ArrayType(TOOL_CALL))),
             lambda c, j: text(
                 F.concat(
                     F.when((j > 0) | filled, "\n").otherwise(""),
@@ -120,7 +121,7 @@ def render_chat_interleaved(
 
     def render(ms: Column) -> Column:
         def message(m: Column, i: Column) -> Column:
-            content = F.coalesce(m["content"], F.array().cast("array<struct<type:string,text:string>>"))
+            content = F.coalesce(m["content"], F.array().cast(T.ArrayType(PART)))
             before = F.coalesce(F.when(i > 0, F.get(ms, i - 1)["role"]), F.lit(""))
             after = F.coalesce(F.get(ms, i + 1)["role"], F.lit(""))
             head = F.array(text(F.concat(F.lit(fixed.TURN_START), m["role"], F.lit("\n"))))
@@ -146,7 +147,16 @@ def render_chat_interleaved(
         opening = F.get(ms, F.lit(0))
         own = F.when(
             opening["role"] == "system",
-            F.array_join(F.transform(F.filter(opening["content"], lambda p: p["text"].isNotNull()), lambda p: p["text"]), ""),
+            F.array_join(
+                F.transform(
+                    F.filter(
+                        F.coalesce(opening["content"], F.array().cast(T.ArrayType(PART))),
+                        lambda p: p["text"].isNotNull(),
+                    ),
+                    lambda p: p["text"],
+                ),
+                "",
+            ),
         )
         catalogue = F.concat(
             F.lit(fixed.TURN_START + "system\n"),
