@@ -36,32 +36,36 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 def salted_left_join(
-    left: DataFrame, right: DataFrame, key: str, spread: str, hot_rows: int = HOT_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    key: str | list[str],
+    spread: str,
+    hot_rows: int = HOT_ROWS,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join to a side that is unique on ``key``, with hot keys of ``left`` split.
+    """Join to a side that is unique on ``key``, with hot keys of ``left`` split.
 
     A key with ``n`` left rows is split into ``ceil(n / hot_rows)`` salts by the
     hash of ``spread``; only the matching right rows of such keys are repeated,
     once per salt. Counting the keys is a map-side combined aggregate of the key
-    column alone, and at most ``rows / hot_rows`` keys are broadcast.
+    columns alone, and fewer than ``rows / hot_rows`` keys are broadcast.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     hot = (
-        left.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .count()
-        .where(F.col("count") > hot_rows)
-        .select(F.col(key).alias("_hot"), F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
+        left.dropna(subset=keys)
+        .groupBy(*keys)
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("_salts"))
+        .where(F.col("_salts") > 1)
     )
-    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int")
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
     salted_left = (
-        left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", salt)
-        .drop("_hot", "_salts")
+        left.join(F.broadcast(hot), keys, "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+        .drop("_salts")
     )
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     salted_right = (
-        right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", copies)
-        .drop("_hot", "_salts")
+        right.join(F.broadcast(hot), keys, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("_salts")
     )
-    return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
