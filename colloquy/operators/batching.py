@@ -91,11 +91,12 @@ def pad_to_longest(
     return masked.withColumn("labels", tokens.labels(ids, "attention_mask"))
 
 
-def batch_summary(df: DataFrame, by: str = "batch_id") -> DataFrame:
+def batch_summary(df: DataFrame, by: str | tuple[str, ...] = "batch_id") -> DataFrame:
     """Rows, width, real tokens, pad share and supervised labels of every batch."""
     supervised = F.size(F.filter("labels", lambda x: x != fixed.IGNORE_LABEL))
+    keys = [by] if isinstance(by, str) else list(by)
     return (
-        df.groupBy(by)
+        df.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.max("width").cast("bigint").alias("width"),

@@ -60,10 +60,14 @@ def batch_stream(
     """
 
     def write(frame: DataFrame, epoch: int) -> None:
-        ready = batch_of_epoch(frame, vocab, vocab_rows, batch_size, seed)
-        if on_epoch is not None:
-            on_epoch(ready, epoch)
-        ready.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        frame.persist()  # read by the bucket counts, the numbering and the encoder
+        try:
+            ready = batch_of_epoch(frame, vocab, vocab_rows, batch_size, seed)
+            if on_epoch is not None:
+                on_epoch(ready, epoch)
+            ready.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        finally:
+            frame.unpersist()
 
     return (
         prepare_stream(samples, config)
