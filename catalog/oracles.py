@@ -314,6 +314,7 @@ ORACLES: dict[str, str] = {
     "document_vocabulary": with_(f"pieced AS (SELECT regexp_extract_all(text, '{PIECE}') AS pieces FROM documents)", vocab("pieced", 20000)) + "SELECT piece, uses, token_id FROM vocab",
     "special_token_uses": with_(*BASE, PROMPT, PIECES, "used AS (SELECT piece, count(*) AS uses FROM (SELECT unnest(pieces) AS piece FROM pieced) GROUP BY piece)") + f"SELECT piece, token_id, special, coalesce(uses, 0) AS uses FROM (VALUES {SPECIAL_ROWS}) s(piece, token_id, special) LEFT JOIN used USING (piece)",
     "encoded_ids": with_(*TOKENS) + f"SELECT conv_id, {text('ids')} AS input_ids FROM ids",
+    "encoded_ids_by_row": with_(*TOKENS) + f"SELECT conv_id, {text('ids')} AS input_ids FROM ids",
     "expanded_image_tokens": with_(*TOKENS, *VISION, EXPANDED) + f"SELECT conv_id, len(ids) AS n_input_ids, md5({text('ids')}) AS ids_md5, len(list_filter(ids, lambda x: x=151646)) AS n_image_tokens FROM expanded",
     "truncated_ids": with_(*TOKENS) + f"SELECT conv_id, {text('ids[1:256]')} AS input_ids FROM ids",
     "truncation_losses": with_(*TOKENS, *VISION, EXPANDED) + """SELECT source_id, count(*) AS rows, count(*) FILTER (WHERE len(ids)>1024) AS rows_cut,

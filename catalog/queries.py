@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog import fixture as fx
 from colloquy import fixed
@@ -222,7 +223,7 @@ def filtered_samples(spark, sf):
     return Q.filter_samples(fx.samples(spark, sf), F.size("conversations") >= 6).select("conv_id")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _prime_width(width: pd.Series) -> pd.Series:
     return width.fillna(0).astype("int64") % 7 == 0
 
@@ -465,6 +466,13 @@ def encoded_ids(spark, sf):
     return _ids(spark, sf).select("conv_id", joined("input_ids").alias("input_ids"))
 
 
+@query
+def encoded_ids_by_row(spark, sf):
+    """The same ids by dictionary lookup inside the rows."""
+    rows = E.encode_rows(_pieces(spark, sf).select("conv_id", "pieces"), _vocab(spark, sf), VOCAB_ROWS)
+    return rows.select("conv_id", joined("input_ids").alias("input_ids"))
+
+
 def _expanded(spark, sf):
     n = V.visual_tokens_anyres("image.width", "image.height")
     return _ids(spark, sf).select(
@@ -706,8 +714,8 @@ def training_rows(spark, sf):
     prepared = P.prepare(
         fx.samples(spark, sf).withColumnRenamed("conv_id", "id"), P.PrepareConfig(max_length=2048)
     ).withColumn("source_id", F.col("source_id").cast("int"))
-    ranked = O.seeded_shuffle(prepared.select("source_id", "id"), "id")
-    plan = I.interleave(ranked, CONV_WEIGHTS)
+    keyed = fx.samples(spark, sf).withColumn("source_id", F.col("source_id").cast("int"))
+    plan = P.mixed_order(keyed.withColumnRenamed("conv_id", "id"), CONV_WEIGHTS)
     rows = P.training_arrays(prepared, plan, _vocab(spark, sf), VOCAB_ROWS, 4)
     return rows.select(
         "pos", "id", "pass", "batch_id", big("width"), big("length"), F.md5(joined("labels")).alias("labels_md5")
@@ -765,11 +773,7 @@ def stream_rejects(spark, sf):
 @query
 def stream_batches(spark, sf):
     out = scratch(spark)
-    # Stored once: every micro-batch reads the vocabulary again.
-    E.build_vocab(
-        P.prepare(fx.document_samples(fx.table(spark, sf, "documents"))), VOCAB_SIZE
-    ).write.parquet(f"{out}/vocab")
-    vocab = spark.read.parquet(f"{out}/vocab")
+    vocab = E.build_vocab(P.prepare(fx.document_samples(fx.table(spark, sf, "documents"))), VOCAB_SIZE)
     W.batch_stream(
         _document_stream(spark, sf), vocab, VOCAB_ROWS, f"{out}/rows", f"{out}/state", 8
     ).awaitTermination()

@@ -27,10 +27,15 @@ def py_strip(col: Column | str) -> Column:
 
 
 def clean_text(col: Column | str) -> Column:
-    """NULL becomes '', image markers go with the whitespace after them, ends are stripped."""
-    stripped = py_strip(F.coalesce(column(col), F.lit("")))
+    """NULL becomes '', image markers go with the whitespace after them, ends are stripped.
+
+    Most texts hold no marker and are spared the regular expression.
+    """
+    value = F.coalesce(column(col), F.lit(""))
     marker = fixed.IMAGE_SLOT + fixed.WHITESPACE_CLASS + "*"
-    return py_strip(F.regexp_replace(stripped, marker, ""))
+    return F.when(
+        F.contains(value, F.lit(fixed.IMAGE_SLOT)), py_strip(F.regexp_replace(py_strip(value), marker, ""))
+    ).otherwise(py_strip(value))
 
 
 def is_user(src: Column | str) -> Column:

@@ -15,12 +15,11 @@ def piece_pattern(style: str = "image_first") -> str:
     """Special tokens whole, runs of letters, single digits, blank runs, single other characters.
 
     The alternatives cover every character, so the pieces of a prompt joined
-    again are the prompt.
+    again are the prompt. The frequent kinds come first; a special token starts
+    with none of them.
     """
     special = "|".join(re.escape(token) for _, token, _ in fixed.SPECIAL_TOKENS[style])
-    blanks = fixed.WHITESPACE_CLASS
-    other = r"[^\p{L}\p{N}" + blanks[1:]
-    return "|".join([special, r"\p{L}+", r"\p{N}", blanks + "+", other])
+    return "|".join([r"\p{L}+", fixed.WHITESPACE_CLASS + "+", r"\p{N}", special, "(?s:.)"])
 
 
 def pieces(prompt: Column | str, style: str = "image_first") -> Column:

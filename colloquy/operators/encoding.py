@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy import fixed
 from colloquy.functions import tokens
@@ -32,9 +35,6 @@ def tokenize_with(
     df: DataFrame, encode: Callable[[list[str]], list[list[int]]], prompt: str = "prompt", out: str = "input_ids"
 ) -> DataFrame:
     """Plug in any tokenizer: ``encode`` maps a list of prompts to lists of ids, batch by batch."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     at = df.columns.index(prompt)
 
     def run(batches):
@@ -83,12 +83,12 @@ def encode(
     unknown_id: int = UNKNOWN_ID,
     out: str = "input_ids",
 ) -> DataFrame:
-    """``key`` columns and the ids of their pieces, in order.
+    """``key`` columns and the ids of their pieces, in order; built-in expressions only.
 
     ``vocab_rows`` is the most rows ``vocab`` can have (its ``size`` plus the
     special tokens). Up to ``BROADCAST_ROWS`` the table is broadcast. Beyond
-    that only the most used pieces are, and the rest is joined by shuffle, with
-    already resolved rows spread evenly instead of under one empty key.
+    that only the ids below half of that are, and the rest is joined by shuffle,
+    with already resolved rows spread evenly instead of under one empty key.
     Pieces go back to their sample in one aggregation, which needs no exchange
     if ``df`` is already partitioned by ``key``. Select only narrow columns
     besides ``pieces``; each is repeated per piece.
@@ -98,7 +98,9 @@ def encode(
     if vocab_rows <= BROADCAST_ROWS:
         hit = flat.join(F.broadcast(ids), F.col("_piece") == F.col("_known"), "left")
     else:
-        in_head = (F.col("_id") < BROADCAST_ROWS // 2) | (F.col("_id") >= fixed.FIRST_RESERVED_ID)
+        in_head = (F.col("_id") < BROADCAST_ROWS // 2) | F.col("_known").isin(
+            [t for style in fixed.SPECIAL_TOKENS.values() for _, t, _ in style]
+        )
         head, tail = ids.where(in_head), ids.where(~in_head)
         flat = flat.join(
             F.broadcast(head.toDF("_head", "_head_id")), F.col("_piece") == F.col("_head"), "left"
@@ -111,11 +113,48 @@ def encode(
             .join(tail, F.col("_wanted") == F.col("_known"), "left")
             .withColumn("_id", F.coalesce("_head_id", "_id"))
         )
-    one = F.when(
-        F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_id", F.lit(unknown_id)).alias("_id"))
+    # Place and id share one number, which collects and sorts faster than a struct.
+    packed = F.shiftleft(F.col("_at").cast("bigint"), 32) + F.coalesce("_id", F.lit(unknown_id))
+    ordered = F.sort_array(F.collect_list(packed))
+    unpacked = F.transform(ordered, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    return hit.groupBy(*key).agg(unpacked.alias(out))
+
+
+def encode_rows(
+    df: DataFrame,
+    vocab: DataFrame,
+    vocab_rows: int,
+    pieces: str = "pieces",
+    unknown_id: int = UNKNOWN_ID,
+    out: str = "input_ids",
+) -> DataFrame:
+    """``df`` with ids in place of pieces, row by row: no exchange, also on streams.
+
+    The vocabulary, at most ``BROADCAST_ROWS`` rows, goes to the tasks once; an
+    Arrow kernel looks up all pieces of a batch of rows together. All columns
+    of ``df`` take the way through Arrow, so select only narrow ones.
+    """
+    if vocab_rows > BROADCAST_ROWS:
+        raise ValueError(f"a vocabulary of over {BROADCAST_ROWS} rows needs encode()")
+    table = vocab.select("piece", F.col("token_id").cast("int")).limit(vocab_rows + 1).toArrow()
+    if table.num_rows > vocab_rows:
+        raise ValueError(f"the vocabulary has more than the announced {vocab_rows} rows")
+    known, ids = table.column(0).combine_chunks(), table.column(1).combine_chunks()
+    kept = [f for f in df.schema.fields if f.name != pieces]
+    names = [f.name for f in kept]
+
+    def look_up(batches):
+        for batch in batches:
+            rows = batch.column(pieces)
+            place = pc.index_in(rows.values, value_set=known.cast(rows.values.type))
+            found = pc.fill_null(ids.take(place), unknown_id)
+            mask = rows.is_null() if rows.null_count else None
+            encoded = pa.ListArray.from_arrays(rows.offsets, found, mask=mask)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), encoded], names=[*names, out])
+
+    return df.mapInArrow(
+        look_up, T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
     )
-    ordered = F.sort_array(F.collect_list(one))
-    return hit.groupBy(*key).agg(F.transform(ordered, lambda x: x["_id"]).alias(out))
 
 
 def truncation_report(

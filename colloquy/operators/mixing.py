@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy import fixed
@@ -36,30 +36,38 @@ def single_source(ranked: DataFrame, rank: str = "rank", out: str = "pos") -> Da
     return ranked.withColumnRenamed(rank, out)
 
 
-def drawn_source(slot: Column, probability: dict, seed: int) -> Column:
+def with_drawn_source(slots: DataFrame, slot: str, probability: dict, seed: int, out: str) -> DataFrame:
     """First source whose cumulative share exceeds the slot's uniform draw."""
     u = hash_fraction(hash_key(seed, slot)) / F.lit(float(1 << 32))
     live = [(k, p) for k, p in probability.items() if p > 0]
-    out, reached = None, 0.0
+    choice, reached = None, 0.0
     for k, p in live[:-1]:
         reached += p
-        out = F.when(u < reached, F.lit(k)) if out is None else out.when(u < reached, F.lit(k))
+        hit = F.col("_u") < reached
+        choice = F.when(hit, F.lit(k)) if choice is None else choice.when(hit, F.lit(k))
     last = F.lit(live[-1][0])
-    return last if out is None else out.otherwise(last)
+    # The draw is a column of its own, so the md5 is taken once and not once per source.
+    drawn = slots.withColumn("_u", u).withColumn(out, last if choice is None else choice.otherwise(last))
+    return drawn.drop("_u")
+
+
+def _tasks(spark: SparkSession, most: int) -> int:
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(1, min(most, wide))
 
 
 def _slots(spark: SparkSession, total: int, block: int, probability: dict, seed: int, source: str) -> DataFrame:
     """``(block, slot, source)`` for slots ``[0, total)``.
 
-    Only block numbers are exchanged; the slots are generated behind that
-    exchange, so counting per block needs no further one.
+    The blocks are range-partitioned at their origin and slots are generated
+    from them in place, so counting and numbering per block need no exchange.
     """
-    blocks = spark.range(math.ceil(total / block)).withColumnRenamed("id", "block").repartition("block")
+    n = math.ceil(total / block)
+    blocks = spark.range(0, n, 1, _tasks(spark, n)).withColumnRenamed("id", "block")
     first = F.col("block") * F.lit(block)
     last = F.least(first + F.lit(block), F.lit(total)) - 1
-    return blocks.select("block", F.explode(F.sequence(first, last)).alias("slot")).withColumn(
-        source, drawn_source(F.col("slot"), probability, seed)
-    )
+    slots = blocks.select("block", F.explode(F.sequence(first, last)).alias("slot"))
+    return with_drawn_source(slots, "slot", probability, seed, source)
 
 
 def _block_counts(slots: DataFrame, source: str) -> DataFrame:
@@ -81,13 +89,18 @@ def _filled_at(spark, lengths, probability, seed, source, total, block) -> dict:
     need = _per_source(lengths, source)
     crossing = counts.where((F.col("before") < need) & (need <= F.col("before") + F.col("draws")))
     first = F.col("block") * F.lit(block)
+    # One block per source, spread by count because its bytes are too few to tell.
+    spread = crossing.select(source, "block", (need - F.col("before")).alias("_nth")).repartition(
+        _tasks(spark, len(lengths)), source
+    )
+    slots = spread.select(
+        F.col(source).alias("_want"),
+        "_nth",
+        F.explode(F.sequence(first, F.least(first + F.lit(block), F.lit(total)) - 1)).alias("slot"),
+    )
     inside = (
-        crossing.select(
-            F.col(source).alias("_want"),
-            (need - F.col("before")).alias("_nth"),
-            F.explode(F.sequence(first, F.least(first + F.lit(block), F.lit(total)) - 1)).alias("slot"),
-        )
-        .where(drawn_source(F.col("slot"), probability, seed) == F.col("_want"))
+        with_drawn_source(slots, "slot", probability, seed, "_drawn")
+        .where(F.col("_drawn") == F.col("_want"))
         .withColumn("_n", F.row_number().over(Window.partitionBy("_want").orderBy("slot")))
         .where(F.col("_n") == F.col("_nth"))
     )
@@ -138,8 +151,8 @@ def interleave(
     """Mixed order of shuffled sources: ``pos`` (slot) and ``pass`` (0 for a row's first use).
 
     ``ranked`` holds key columns with a contiguous 0-based ``rank`` per source
-    (see ``seeded_shuffle``). Draws are counted per block of slots. A source
-    that is repeated often gets several copies of its rows, one per group of
+    (see ``seeded_shuffle``); it is read twice, so give a stored or pinned frame
+    if computing it is dear. Draws are counted per block of slots. A source that is repeated often gets several copies of its rows, one per group of
     passes, so no row has to meet more than about ``HITS_PER_ROW`` slots.
     """
     spark = ranked.sparkSession

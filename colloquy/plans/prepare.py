@@ -17,9 +17,11 @@ from colloquy.functions.templates import (
     render_transcript,
 )
 from colloquy.operators.batching import assign_batches, pad_to_longest
-from colloquy.operators.encoding import encode
+from colloquy.operators.encoding import BROADCAST_ROWS, encode, encode_rows
+from colloquy.operators.mixing import interleave
+from colloquy.operators.ordering import seeded_shuffle
 from colloquy.operators.quality import VARIANTS, reject_reason
-from colloquy.operators.skew import salted_left_join
+from colloquy.operators.skew import pin, salted_left_join
 
 
 @dataclass(frozen=True)
@@ -99,6 +101,25 @@ def attach(plan: DataFrame, payload: DataFrame, key: list[str], spread: str = "p
     return salted_left_join(plan, payload, key, spread, how="inner")
 
 
+def mixed_order(
+    samples: DataFrame,
+    weights: dict,
+    config: PrepareConfig = PrepareConfig(),
+    key: str = "id",
+    source: str = "source_id",
+    seed: int = fixed.DEFAULT_SEED,
+    stop: str = fixed.DEFAULT_STOP,
+) -> DataFrame:
+    """``(pos, source, pass, key)`` of the accepted samples, shuffled and interleaved.
+
+    The samples are read once: only the keys that pass are kept, and those and
+    the finished order are pinned, both a few bytes per sample.
+    """
+    keys = pin(accept(samples, config).select(source, key))
+    ranked = seeded_shuffle(keys, key, seed, source)
+    return pin(interleave(ranked, weights, seed, stop, source))
+
+
 def training_arrays(
     prepared: DataFrame,
     plan: DataFrame,
@@ -111,6 +132,10 @@ def training_arrays(
 
     Every sample is encoded once, however often the plan repeats it.
     """
-    ids = encode(prepared.select(*key, "pieces"), vocab, vocab_rows, key)
+    narrow = prepared.select(*key, "pieces")
+    if vocab_rows <= BROADCAST_ROWS:
+        ids = encode_rows(narrow, vocab, vocab_rows)
+    else:
+        ids = encode(narrow, vocab, vocab_rows, key)
     placed = assign_batches(attach(plan, ids, list(key)), batch_size)
     return pad_to_longest(placed)

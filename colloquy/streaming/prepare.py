@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from colloquy import fixed
 from colloquy.operators.batching import assign_batches, pad_to_longest
-from colloquy.operators.encoding import encode
+from colloquy.operators.encoding import encode_rows
 from colloquy.operators.ordering import seeded_shuffle
 from colloquy.operators.quality import quarantine, reject_summary
 from colloquy.plans import prepare as batch
@@ -27,18 +27,12 @@ def reject_stream(samples: DataFrame, variant: str = "current", source: str = "s
 
 
 def batch_of_epoch(
-    prepared: DataFrame,
-    vocab: DataFrame,
-    vocab_rows: int,
-    batch_size: int,
-    seed: int = fixed.DEFAULT_SEED,
-    key: str = "id",
+    encoded: DataFrame, batch_size: int, seed: int = fixed.DEFAULT_SEED, key: str = "id"
 ) -> DataFrame:
-    """One micro-batch: shuffled by hash over all its sources, encoded, batched and padded."""
-    keyed = prepared.withColumn("_all", F.lit(0))
-    order = seeded_shuffle(keyed.select("_all", key), key, seed, "_all", out="pos").drop("_all")
-    ids = encode(prepared.select(key, "pieces"), vocab, vocab_rows, (key,))
-    return pad_to_longest(assign_batches(order.join(ids, key), batch_size))
+    """One micro-batch: shuffled by hash over all its sources, batched and padded."""
+    keyed = encoded.withColumn("_all", F.lit(0))
+    placed = seeded_shuffle(keyed.select("_all", key, "input_ids"), key, seed, "_all", out="pos")
+    return pad_to_longest(assign_batches(placed.drop("_all"), batch_size))
 
 
 def batch_stream(
@@ -56,21 +50,22 @@ def batch_stream(
     """Writes ``path/epoch=N``; a micro-batch that is retried overwrites its own folder.
 
     Order and batches are defined inside a micro-batch only; a batch is named by
-    ``(epoch, batch_id)``. ``vocab`` is a stored table, read again per micro-batch.
+    ``(epoch, batch_id)``. The vocabulary is looked up when the stream starts.
     """
 
     def write(frame: DataFrame, epoch: int) -> None:
-        frame.persist()  # read by the bucket counts, the numbering and the encoder
+        frame.persist()  # read by the bucket counts and by the numbering
         try:
-            ready = batch_of_epoch(frame, vocab, vocab_rows, batch_size, seed)
+            ready = batch_of_epoch(frame, batch_size, seed)
             if on_epoch is not None:
                 on_epoch(ready, epoch)
             ready.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
         finally:
             frame.unpersist()
 
+    prepared = prepare_stream(samples, config).select("id", "pieces")
     return (
-        prepare_stream(samples, config)
+        encode_rows(prepared, vocab, vocab_rows)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
