@@ -184,7 +184,7 @@ def interleave(
     if max(copies.values()) > 1:
         n = _per_source(copies, source)
         picks = picks.withColumn("_copy", F.pmod("pass", n).cast("bigint"))
-        ranked = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(0), n - 1)).cast("bigint"))
+        ranked = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint"))))
         return picks.join(ranked, [source, rank, "_copy"]).drop("_copy", rank)
     return picks.join(ranked, [source, rank]).drop(rank)
 
