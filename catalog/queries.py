@@ -711,12 +711,12 @@ def mixture_shares(spark, sf):
 @query
 def training_rows(spark, sf):
     """End to end: mixed order, encoded once per sample, expanded, cut, batched, padded, labelled."""
-    prepared = P.prepare(
-        fx.samples(spark, sf).withColumnRenamed("conv_id", "id"), P.PrepareConfig(max_length=2048)
-    ).withColumn("source_id", F.col("source_id").cast("int"))
-    keyed = fx.samples(spark, sf).withColumn("source_id", F.col("source_id").cast("int"))
-    plan = P.mixed_order(keyed.withColumnRenamed("conv_id", "id"), CONV_WEIGHTS)
-    rows = P.training_arrays(prepared, plan, _vocab(spark, sf), VOCAB_ROWS, 4)
+    config = P.PrepareConfig(max_length=2048)
+    samples = fx.samples(spark, sf).withColumnRenamed("conv_id", "id").withColumn(
+        "source_id", F.col("source_id").cast("int")
+    )
+    plan = P.mixed_order(samples, CONV_WEIGHTS, config)
+    rows = P.training_arrays(samples, plan, _vocab(spark, sf), VOCAB_ROWS, 4, config)
     return rows.select(
         "pos", "id", "pass", "batch_id", big("width"), big("length"), F.md5(joined("labels")).alias("labels_md5")
     )
@@ -773,7 +773,7 @@ def stream_rejects(spark, sf):
 @query
 def stream_batches(spark, sf):
     out = scratch(spark)
-    vocab = E.build_vocab(P.prepare(fx.document_samples(fx.table(spark, sf, "documents"))), VOCAB_SIZE)
+    vocab = E.build_vocab(P.prepare(fx.document_samples(fx.table(spark, sf, "documents")), expand=False), VOCAB_SIZE)
     W.batch_stream(
         _document_stream(spark, sf), vocab, VOCAB_ROWS, f"{out}/rows", f"{out}/state", 8
     ).awaitTermination()

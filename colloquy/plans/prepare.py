@@ -73,24 +73,34 @@ def render_prompts(samples: DataFrame, config: PrepareConfig = PrepareConfig())
     )
 
 
-def prepare(samples: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFrame:
-    """Prompts plus pieces (placeholders expanded, tail cut) and token counts.
+def prepare(samples: DataFrame, config: PrepareConfig = PrepareConfig(), expand: bool = True) -> DataFrame:
+    """Prompts plus pieces (tail cut) and token counts.
 
     Row-local throughout, so the same function serves tables and streams.
-    ``n_tokens`` counts before the cut, ``pieces`` is what remains after it.
+    ``n_tokens`` counts everything before the cut. With ``expand`` each image
+    placeholder among the pieces is repeated; without, that is left to
+    ``expand_ids`` after encoding, where repeating numbers costs less. Cutting
+    first loses nothing, as expansion only moves pieces further back.
     """
+    visual = F.coalesce("n_visual", F.lit(1))
     full = (
         render_prompts(samples, config)
         .withColumn("n_visual", visual_tokens(config))
-        .withColumn("_raw", tokens.pieces("prompt", config.style))
-        .withColumn(
-            "_full",
-            tokens.expand_image_tokens("_raw", F.coalesce("n_visual", F.lit(1)), slot_token(config)),
-        )
+        .withColumn("pieces", tokens.pieces("prompt", config.style))
+        .withColumn("n_tokens", F.size("pieces") + F.col("n_slots") * (visual - 1))
+        .withColumn("pieces", tokens.truncate("pieces", config.max_length))
     )
-    return full.withColumns(
-        {"n_tokens": F.size("_full"), "pieces": tokens.truncate("_full", config.max_length)}
-    ).drop("_raw", "_full")
+    if not expand:
+        return full
+    spread = tokens.expand_image_tokens("pieces", visual, slot_token(config))
+    return full.withColumn("pieces", tokens.truncate(spread, config.max_length))
+
+
+def expand_ids(config: PrepareConfig, ids: str = "input_ids") -> Column:
+    """Encoded prompt with its image placeholders repeated ``n_visual`` times and its tail cut."""
+    image_id = next(i for i, t, _ in fixed.SPECIAL_TOKENS[config.style] if t == slot_token(config))
+    spread = tokens.expand_image_tokens(ids, F.coalesce("n_visual", F.lit(1)), image_id)
+    return tokens.truncate(spread, config.max_length)
 
 
 def attach(plan: DataFrame, payload: DataFrame, key: list[str], spread: str = "pos") -> DataFrame:
@@ -121,21 +131,23 @@ def mixed_order(
 
 
 def training_arrays(
-    prepared: DataFrame,
+    samples: DataFrame,
     plan: DataFrame,
     vocab: DataFrame,
     vocab_rows: int,
     batch_size: int,
+    config: PrepareConfig = PrepareConfig(),
     key: tuple[str, ...] = ("source_id", "id"),
 ) -> DataFrame:
-    """Padded ids, mask and labels per position, from prepared samples and a mixed order.
+    """Padded ids, mask and labels per position, from samples and a mixed order.
 
     Every sample is encoded once, however often the plan repeats it.
     """
-    narrow = prepared.select(*key, "pieces")
+    narrow = prepare(samples, config, expand=False).select(*key, "n_visual", "pieces")
     if vocab_rows <= BROADCAST_ROWS:
         ids = encode_rows(narrow, vocab, vocab_rows)
     else:
-        ids = encode(narrow, vocab, vocab_rows, key)
+        ids = encode(narrow, vocab, vocab_rows, (*key, "n_visual"))
+    ids = ids.withColumn("input_ids", expand_ids(config)).drop("n_visual")
     placed = assign_batches(attach(plan, ids, list(key)), batch_size)
     return pad_to_longest(placed)

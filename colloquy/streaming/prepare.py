@@ -63,9 +63,10 @@ def batch_stream(
         finally:
             frame.unpersist()
 
-    prepared = prepare_stream(samples, config).select("id", "pieces")
+    prepared = batch.prepare(samples, config, expand=False).select("id", "n_visual", "pieces")
     return (
         encode_rows(prepared, vocab, vocab_rows)
+        .select("id", batch.expand_ids(config).alias("input_ids"))
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

@@ -70,5 +70,6 @@ def test_batch_stream_covers_every_sample_once(spark, folder, tmp_path):
     widths = rows.groupBy("epoch", "batch_id").agg(F.countDistinct(F.size("input_ids")).alias("w"), F.count("*").alias("n"))
     assert widths.where("w <> 1 OR n > 8").count() == 0
     ids = {r[0]: r[1] for r in E.encode_rows(prepared.select("id", "pieces"), vocab, 55).collect()}
+    assert any(151646 in v for v in ids.values())
     for r in rows.collect():
         assert r["input_ids"][: r["length"]] == ids[r["id"]]
