@@ -79,16 +79,30 @@ def step_plan(df: DataFrame, accumulate: int = 1, max_steps: int | None = None)
 
 
 def pad_to_longest(
-    df: DataFrame, ids: str = "input_ids", by: str = "batch_id", pad_id: int = fixed.PAD_ID
+    df: DataFrame,
+    ids: str = "input_ids",
+    by: str | tuple[str, ...] = "batch_id",
+    pad_id: int = fixed.PAD_ID,
 ) -> DataFrame:
-    """Right-pad to the longest row of the batch; adds ``length``, ``width``, mask and labels."""
-    sized = df.withColumn("length", F.size(ids)).withColumn(
-        "width", F.max("length").over(Window.partitionBy(by))
-    )
-    masked = sized.withColumns(
-        {ids: tokens.pad(ids, "width", pad_id), "attention_mask": tokens.attention_mask("length", "width")}
+    """Right-pad to the longest row of the batch; adds ``length``, ``width``, mask and labels.
+
+    The mask is set exactly for the ids that were there before padding, so
+    labels are those ids followed by ignored places (what ``tokens.labels``
+    yields from the mask), built by copying arrays rather than by element.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    missing = F.col("width") - F.col("length")
+    return (
+        df.withColumn("length", F.size(ids))
+        .withColumn("width", F.max("length").over(Window.partitionBy(*keys)))
+        .withColumns(
+            {
+                "attention_mask": tokens.attention_mask("length", "width"),
+                "labels": F.concat(ids, F.array_repeat(F.lit(fixed.IGNORE_LABEL), missing)),
+                ids: tokens.pad(ids, "width", pad_id),
+            }
+        )
     )
-    return masked.withColumn("labels", tokens.labels(ids, "attention_mask"))
 
 
 def batch_summary(df: DataFrame, by: str | tuple[str, ...] = "batch_id") -> DataFrame:

@@ -22,6 +22,7 @@ from colloquy.operators.mixing import interleave
 from colloquy.operators.ordering import seeded_shuffle
 from colloquy.operators.quality import VARIANTS, reject_reason
 from colloquy.operators.skew import pin, salted_left_join
+from colloquy.sources.write import shard_of
 
 
 @dataclass(frozen=True)
@@ -138,10 +139,14 @@ def training_arrays(
     batch_size: int,
     config: PrepareConfig = PrepareConfig(),
     key: tuple[str, ...] = ("source_id", "id"),
+    rows_per_shard: int | None = None,
 ) -> DataFrame:
     """Padded ids, mask and labels per position, from samples and a mixed order.
 
-    Every sample is encoded once, however often the plan repeats it.
+    Every sample is encoded once, however often the plan repeats it. With
+    ``rows_per_shard`` (a multiple of ``batch_size``) rows are partitioned by
+    output shard before padding. A batch lies within one shard, so padding and
+    ``write_training_shards`` then share that single exchange.
     """
     narrow = prepare(samples, config, expand=False).select(*key, "n_visual", "pieces")
     if vocab_rows <= BROADCAST_ROWS:
@@ -150,4 +155,9 @@ def training_arrays(
         ids = encode(narrow, vocab, vocab_rows, (*key, "n_visual"))
     ids = ids.withColumn("input_ids", expand_ids(config)).drop("n_visual")
     placed = assign_batches(attach(plan, ids, list(key)), batch_size)
-    return pad_to_longest(placed)
+    if rows_per_shard is None:
+        return pad_to_longest(placed)
+    if rows_per_shard % batch_size:
+        raise ValueError("rows_per_shard must be a multiple of batch_size")
+    sharded = placed.withColumn("shard", shard_of(rows_per_shard)).repartition("shard")
+    return pad_to_longest(sharded, by=("shard", "batch_id"))

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shard_of(rows_per_shard: int, position: str = "pos"):
+    if rows_per_shard < 1:
+        raise ValueError("rows_per_shard must be positive")
+    return F.floor(F.col(position) / F.lit(rows_per_shard)).cast("long")
+
+
 def write_training_shards(
     df: DataFrame, path: str, rows_per_shard: int, position: str = "pos", mode: str = "overwrite"
 ) -> None:
@@ -13,19 +19,13 @@ def write_training_shards(
 
     The shard is computed from the position, so no bounds are sampled, a retried
     task writes the same file again, and positions spread evenly whatever the
-    sources look like. Sorting by shard keeps one writer open per task.
+    sources look like. Sorting by shard keeps one writer open per task. A frame
+    that has a ``shard`` column is already partitioned by it (see
+    ``plans.prepare.training_arrays``) and does not move again.
     """
-    if rows_per_shard < 1:
-        raise ValueError("rows_per_shard must be positive")
-    shard = F.floor(F.col(position) / F.lit(rows_per_shard)).cast("long")
-    (
-        df.withColumn("shard", shard)
-        .repartition("shard")
-        .sortWithinPartitions("shard", position)
-        .write.mode(mode)
-        .partitionBy("shard")
-        .parquet(path)
-    )
+    if "shard" not in df.columns:
+        df = df.withColumn("shard", shard_of(rows_per_shard, position)).repartition("shard")
+    df.sortWithinPartitions("shard", position).write.mode(mode).partitionBy("shard").parquet(path)
 
 
 def write_quarantine(df: DataFrame, path: str, mode: str = "overwrite") -> None:

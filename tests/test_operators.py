@@ -257,3 +257,26 @@ def test_session_checkpoint_dir_is_used(spark):
     skew.ensure_checkpoint_dir(spark)
     used = spark.sparkContext.getCheckpointDir()
     assert used is not None and (shared is None or shared.rstrip("/") in used)
+
+
+def test_arrays_move_once_to_their_shard(spark, tmp_path):
+    """Padding and the sharded write use the same exchange; both ways give the same rows."""
+    from colloquy.plans import prepare as P
+    from colloquy.schema import SAMPLE
+
+    rows = [(f"s{i}", ("r", 64 + i, 300) if i % 2 else None, [("human", f"<image> q {i}"), ("gpt", "word " * (1 + i % 5))]) for i in range(60)]
+    samples = spark.createDataFrame(rows, SAMPLE).withColumn("source_id", (F.substring("id", 2, 3).cast("int") % 3))
+    config = P.PrepareConfig(max_length=700)
+    vocab = E.build_vocab(P.prepare(samples, config, expand=False), 30).cache()
+    plan = P.mixed_order(samples, {0: 1.0, 1: 2.0, 2: 1.0}, config)
+    plain = P.training_arrays(samples, plan, vocab, 35, 4, config)
+    sharded = P.training_arrays(samples, plan, vocab, 35, 4, config, rows_per_shard=16)
+    assert sorted(map(repr, sharded.drop("shard").collect())) == sorted(map(repr, plain.collect()))
+    text = sharded._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(shard") == 1 and "Exchange hashpartitioning(batch_id" not in text
+    write_training_shards(sharded, str(tmp_path / "t"), 16)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == plan.count()
+    assert back.where(F.col("shard") != F.floor(F.col("pos") / 16)).count() == 0
+    masked = back.where(F.col("labels") != K.labels("input_ids", "attention_mask"))
+    assert masked.count() == 0
