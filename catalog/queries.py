@@ -764,7 +764,12 @@ def stream_rejects(spark, sf):
     name = f"rejects_{uuid.uuid4().hex}"
     counts = W.reject_stream(_document_stream(spark, sf))
     running = (
-        counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+        counts.writeStream.outputMode("complete")
+        .format("memory")
+        .queryName(name)
+        .option("checkpointLocation", f"{scratch(spark)}/state")
+        .trigger(availableNow=True)
+        .start()
     )
     running.awaitTermination()
     return spark.table(name)

@@ -93,6 +93,8 @@ def encode(
     if ``df`` is already partitioned by ``key``. Select only narrow columns
     besides ``pieces``; each is repeated per piece.
     """
+    if vocab.limit(vocab_rows + 1).count() > vocab_rows:
+        raise ValueError(f"the vocabulary has more than the announced {vocab_rows} rows")
     flat = df.select(*key, F.posexplode_outer(pieces).alias("_at", "_piece"))
     ids = vocab.select(F.col("piece").alias("_known"), F.col("token_id").alias("_id"))
     if vocab_rows <= BROADCAST_ROWS:

@@ -15,6 +15,8 @@ from colloquy.operators.skew import pin
 
 BUCKETS = 4096
 BLOCK_ROWS = 1 << 18
+# A table of one row per source is broadcast; a mixture has no more sources than this.
+MAX_SOURCES = 100_000
 _ROW_BITS = 33
 
 
@@ -70,7 +72,8 @@ def seeded_shuffle(
 
     Buckets are leading hash bits, so they are even whatever the source sizes
     are, and a source with most of the rows is numbered by ``buckets`` tasks.
-    ``key`` is unique within a source; neither column is NULL.
+    ``key`` is unique within a source and neither column is NULL;
+    ``SourceSpec.row_key`` makes such a key where samples have none.
     """
     md5 = hash_key(seed, source, key)
     keyed = df.withColumn("shuffle_key", md5).withColumn(
@@ -136,8 +139,9 @@ def bounded_shuffle(
     """
     placed = global_position(df, source, arrival or key, out="_at")
     starts = placed.groupBy(source).agg(F.min("_at").alias("_start"))
+    if starts.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"over {MAX_SOURCES} sources")
     size = F.lit(buffer) if isinstance(buffer, int) else _per_source(buffer, source)
-    # One row per configured source.
     arrived = placed.join(F.broadcast(starts), source).withColumn(
         "_block", F.floor((F.col("_at") - F.col("_start")) / size)
     )

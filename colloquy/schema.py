@@ -59,7 +59,9 @@ class SourceSpec:
 
     ``streaming=None`` takes the mixture-wide flag. ``split_column`` names the
     (partition) column that holds the split; ``None`` says the path holds one
-    split only.
+    split only. ``row_key`` adds a column of that name with the file and row
+    number of each Parquet row: a unique, repeatable key for sources whose own
+    ids are missing or repeated.
     """
 
     path: str
@@ -71,6 +73,7 @@ class SourceSpec:
     schema: T.StructType | None = None
     split_column: str | None = "split"
     source_id: int | str | None = None
+    row_key: str | None = None
     options: dict[str, str] = field(default_factory=dict)
 
 

@@ -12,6 +12,9 @@ from colloquy.schema import SourceSpec, check_specs
 
 
 def _tag(df: DataFrame, spec: SourceSpec, source_id) -> DataFrame:
+    if spec.row_key is not None:
+        place = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index")
+        df = df.withColumn(spec.row_key, place)
     if spec.split_column is not None and spec.split_column in df.columns:
         df = df.where(F.col(spec.split_column) == spec.split).drop(spec.split_column)
     return df.withColumns(

@@ -157,8 +157,9 @@ def test_encode_ways_agree(spark, monkeypatch):
 
 def test_vocab_refuses_too_many_rows(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"])], "sample_id long, pieces array<string>")
-    with pytest.raises(ValueError):
-        E.encode_rows(df, E.build_vocab(df, 3), 2)
+    for encode in (E.encode_rows, E.encode):
+        with pytest.raises(ValueError):
+            encode(df, E.build_vocab(df, 3), 2)
 
 
 def test_pieces_cover_the_text(spark):

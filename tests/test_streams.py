@@ -38,6 +38,12 @@ def test_split_prunes_partitions(spark, folder):
     assert "PartitionFilters: [isnotnull(split" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_row_key_is_unique_and_repeatable(spark, folder):
+    df = read_source(spark, spec(folder, row_key="row"))
+    first, again = (sorted(r[0] for r in df.select("row").collect()) for _ in range(2))
+    assert first == again and len(set(first)) == 119
+
+
 def test_prepare_stream_equals_batch(spark, folder, tmp_path):
     stream = read_mixture(spark, [spec(folder, streaming=True)])
     out = str(tmp_path / "out")
