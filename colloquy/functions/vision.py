@@ -14,7 +14,8 @@ GRID = [(h, w) for h in fixed.GRID_EDGES for w in fixed.GRID_EDGES]
 def best_resolution(width: Column | str, height: Column | str, grid=GRID) -> Column:
     """``STRUCT<h, w>`` of the grid: most usable pixels, then least waste, then first listed."""
     w, h = column(width).cast("bigint"), column(height).cast("bigint")
-    cells = F.array(*[F.struct(F.lit(gh).alias("h"), F.lit(gw).alias("w")) for gh, gw in grid])
+    # One parsed literal instead of a call per cell; it folds to a constant.
+    cells = F.expr("array(" + ", ".join(f"named_struct('h', {gh}, 'w', {gw})" for gh, gw in grid) + ")")
 
     def rated(cell: Column, i: Column) -> Column:
         scale = F.least(cell["w"] / w, cell["h"] / h)
