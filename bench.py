@@ -22,7 +22,7 @@ from catalog.queries import QUERIES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-COPIES = int(os.environ.get("BENCH_COPIES", "100"))
+COPIES = int(os.environ.get("BENCH_COPIES", "20"))
 
 HEADLINE = [
     "cleaned_text",

@@ -12,21 +12,49 @@ GRID = [(h, w) for h in fixed.GRID_EDGES for w in fixed.GRID_EDGES]
 
 
 def best_resolution(width: Column | str, height: Column | str, grid=GRID) -> Column:
-    """``STRUCT<h, w>`` of the grid: most usable pixels, then least waste, then first listed."""
-    w, h = column(width).cast("bigint"), column(height).cast("bigint")
-    # One parsed literal instead of a call per cell; it folds to a constant.
-    cells = F.expr("array(" + ", ".join(f"named_struct('h', {gh}, 'w', {gw})" for gh, gw in grid) + ")")
-
-    def rated(cell: Column, i: Column) -> Column:
-        scale = F.least(cell["w"] / w, cell["h"] / h)
-        usable = F.least(F.floor(w * scale) * F.floor(h * scale), w * h)
-        waste = cell["w"].cast("bigint") * cell["h"] - usable
-        return F.struct(
-            usable.alias("usable"), (-waste).alias("thrift"), (-i).alias("first"), cell.alias("cell")
+    """``STRUCT<h, w>`` of the grid: most usable pixels, then least waste, then first listed.
+
+    All numbers are whole and far below 2**53, so doubles hold them exactly;
+    cell areas are constants and each cell's scale is taken once.
+    """
+    cells = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('h', {gh}D, 'w', {gw}D, 'area', {gh * gw}D, 'first', {-i}D)"
+            for i, (gh, gw) in enumerate(grid)
+        )
+        + ")"
+    )
+
+    def best(size: Column) -> Column:
+        w, h = size["w"], size["h"]
+        scaled = F.transform(
+            cells, lambda c: F.struct(F.least(c["w"] / w, c["h"] / h).alias("s"), c.alias("c"))
         )
+        usable = F.transform(
+            scaled,
+            lambda x: F.struct(
+                F.least((F.floor(w * x["s"]) * F.floor(h * x["s"])).cast("double"), w * h).alias("usable"),
+                x["c"].alias("c"),
+            ),
+        )
+        rated = F.transform(
+            usable,
+            lambda x: F.struct(
+                x["usable"].alias("usable"),
+                (x["usable"] - x["c"]["area"]).alias("thrift"),
+                x["c"]["first"].alias("first"),
+                x["c"].alias("c"),
+            ),
+        )
+        return F.array_max(rated)["c"]
 
-    best = F.array_max(F.transform(cells, rated))
-    return F.when((w > 0) & (h > 0), best["cell"])
+    w, h = column(width).cast("double"), column(height).cast("double")
+    cell = bind(
+        bind(F.struct(w.alias("w"), h.alias("h")), best),
+        lambda c: F.struct(c["h"].cast("int").alias("h"), c["w"].cast("int").alias("w")),
+    )
+    return F.when((w > 0) & (h > 0), cell)
 
 
 def visual_tokens_anyres(width: Column | str, height: Column | str, max_tiles: int = 1, grid=GRID) -> Column:
