@@ -26,30 +26,36 @@ def _number(*hex_bytes: Column) -> Column:
     return F.conv(F.concat(*hex_bytes), 16, 10).cast("int")
 
 
-def _jpeg_size(data: bytes | None):
-    """Walk the marker segments up to the frame header."""
-    at, end = 2, len(data or b"")
-    while at + 9 <= end:
-        if data[at] != 0xFF:
-            return None
-        marker = data[at + 1]
-        if marker == 0xFF:  # fill byte
-            at += 1
-        elif marker == 0x01 or 0xD0 <= marker <= 0xD8:  # markers without a segment
-            at += 2
-        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            return int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7])
-        elif marker in (0xD9, 0xDA):  # end of image or start of scan before any frame header
-            return None
-        else:
-            at += 2 + int.from_bytes(data[at + 2 : at + 4])
-    return None
-
-
-@F.pandas_udf(_SIZE)
-def _jpeg_sizes(content: pd.Series) -> pd.DataFrame:
-    sizes = [_jpeg_size(c) or (None, None) for c in content]
-    return pd.DataFrame(sizes, columns=["width", "height"], index=content.index).astype("Int32")
+def _jpeg_reader():
+    """The helper for JPEG rows. It is a closure, so tasks get it with the query and need no import."""
+
+    def size_of(data: bytes | None):
+        """Walk the marker segments up to the frame header."""
+        at, end = 2, len(data or b"")
+        while at + 9 <= end:
+            if data[at] != 0xFF:
+                return None
+            marker = data[at + 1]
+            if marker == 0xFF:  # fill byte
+                at += 1
+            elif marker == 0x01 or 0xD0 <= marker <= 0xD8:  # markers without a segment
+                at += 2
+            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7])
+            elif marker in (0xD9, 0xDA):  # end of image or start of scan before any frame header
+                return None
+            else:
+                at += 2 + int.from_bytes(data[at + 2 : at + 4])
+        return None
+
+    def sizes_of(content: pd.Series) -> pd.DataFrame:
+        sizes = [size_of(c) or (None, None) for c in content]
+        return pd.DataFrame(sizes, columns=["width", "height"], index=content.index).astype("Int32")
+
+    return F.pandas_udf(sizes_of, _SIZE)
+
+
+_jpeg_sizes = _jpeg_reader()
 
 
 def image_size(content: Column | str, jpeg: bool = True) -> Column:
