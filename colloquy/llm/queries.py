@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import warc
+from colloquy.llm import chat, packing, warc
 from colloquy.llm.common import shared_folder, table
 
 
@@ -14,6 +16,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_report(spark, path)
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        same.alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    count = chat.tokenizer_counts(public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.window_digests(chat.chat_windows(turns, count))
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encode = packing.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), encode)
+
+
 QUERIES = {
+    "op2_chat_windows": op2_chat_windows,
+    "op5_pack": op5_pack,
     "op10_warc": op10_warc,
 }
