@@ -13,6 +13,7 @@ any other. Ties of ``turn`` are ordered by role, then text.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable
 
@@ -91,8 +92,6 @@ _TOKENIZERS: dict = {}
 
 def _loaded(path: str):
     if path not in _TOKENIZERS:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -20,6 +20,9 @@ ties are pieces like any other.
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -39,14 +42,43 @@ LARGE = 8
 CACHE_WORDS = 1 << 20
 
 
+# White-space words of these characters are unchanged by Unicode normalisation and
+# lower-cased one character at a time, so that they can be split here.
+_LATIN = re.compile("[\x21-\x7e\u00c0-\u017f]+")
+_PARTS = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]"
+    "|[^\\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+)
+
+
 class _WordIds(dict):
-    """Ids of white-space words as little-endian bytes, for tokenizers that never join words.
+    """Ids of white-space words as little-endian bytes, for a tokenizer that never joins words.
 
-    Bounded: it is emptied when full.
+    Words of plain letters and marks are put together from their parts, which
+    recur more often. Both tables are bounded: they are emptied when full.
     """
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def learn(self, words: list[str]) -> None:
+        plain = {w: _PARTS.findall(w.lower()) for w in words if _LATIN.fullmatch(w)}
+        parts = list({p for split in plain.values() for p in split} - self.parts.keys())
+        if len(self.parts) + len(parts) > CACHE_WORDS:
+            self.parts.clear()
+            parts = list({p for split in plain.values() for p in split})
+        self.parts.update(zip(parts, self.ids(parts)))
+        for w, split in plain.items():
+            self[w] = b"".join([self.parts[p] for p in split])
+        odd = [w for w in words if w not in plain]
+        self.update(zip(odd, self.ids(odd)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -54,34 +86,28 @@ class _WordIds(dict):
         if len(self) + len(missing) > CACHE_WORDS:
             self.clear()
             missing = list({w for words in split for w in words})
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(missing)
         return [b"".join([self[w] for w in words]) for words in split]
 
 
-_ENCODERS: dict = {}
+#: Per worker process, so only functions of this module that workers import touch it.
+_ENCODERS: dict[str, _WordIds] = {}
 
 
-def word_encoder(path: str):
-    """``texts -> ids as bytes`` for a tokenizer file whose pieces never span white space.
+def encode_words(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of ``texts`` by a tokenizer file whose lower-casing pieces never span white space.
 
     A text with ``<|`` may hold a special token and is encoded as a whole.
     """
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _WordIds(path)
+    words = _ENCODERS[path]
+    plain = iter(words.encode([t for t in texts if "<|" not in t]))
+    return [words.ids([t])[0] if "<|" in t else next(plain) for t in texts]
 
-    def encode(texts: list[str]) -> list[bytes]:
-        if path not in _ENCODERS:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
 
-            _ENCODERS[path] = _WordIds(Tokenizer.from_file(path))
-        words = _ENCODERS[path]
-        plain = iter(words.encode([t for t in texts if "<|" not in t]))
-        whole = lambda t: np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if "<|" in t else next(plain) for t in texts]
-
-    return encode
+def word_encoder(path: str):
+    return functools.partial(encode_words, path)
 
 
 def pieces(

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, packing, warc
+from colloquy.llm import chat, hyperminhash, katz, langid, packing, warc
 from colloquy.llm.common import shared_folder, table
 
 
@@ -29,13 +29,40 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.window_digests(chat.chat_windows(turns, count))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = packing.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), encode)
 
 
+def _held_out(folds: int):
+    """Whether a document's id is in the held-out fold; a NULL id is not."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+    return F.coalesce(fold == 1, F.lit(False))
+
+
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _ = katz.katz_scores(table(spark, sf_dir, "documents"), ~_held_out(5))
+    return scores.withColumn("held_out", ~F.col("learned")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, ~_held_out(3))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", _held_out(3).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op2_chat_windows": op2_chat_windows,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_pack": op5_pack,
+    "op7_katz": op7_katz,
+    "op8_language": op8_language,
     "op10_warc": op10_warc,
 }
