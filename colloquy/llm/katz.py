@@ -455,7 +455,7 @@ def katz_scores(
             sums = [np.add.reduceat(x, chunk.starts) for x in ((chunk.uses > 0).astype(np.int64)[chunk.tokens], base, scores)]
             out += zip(row["keys"], row["learns"], row["lengths"], *sums)
         types = [left.schema.field("keys").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = ["key", "learned", "n_tokens", "n_known", "base_score", "score"]
+        names = [key, "learned", "n_tokens", "n_known", "base_score", "score"]
         arrays, names = _rows(out, types, names)
         return pa.Table.from_arrays(arrays, names=names)
 
