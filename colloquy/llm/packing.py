@@ -39,7 +39,7 @@ CAPACITY = 2048
 GROUPS = 96
 #: Pieces above capacity / LARGE are grouped; so many fit in a sequence at most.
 LARGE = 8
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 3 << 19
 
 
 # White-space words of these characters are unchanged by Unicode normalisation and
@@ -69,20 +69,22 @@ class _WordIds(dict):
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def learn(self, words: list[str]) -> None:
-        plain = {w: _PARTS.findall(w.lower()) for w in words if _LATIN.fullmatch(w)}
-        parts = list({p for split in plain.values() for p in split} - self.parts.keys())
+        latin = words if _LATIN.fullmatch("".join(words)) else [w for w in words if _LATIN.fullmatch(w)]
+        plain = {w: [w.lower()] if w.isalpha() else _PARTS.findall(w.lower()) for w in latin}
+        parts = [p for p in {p for split in plain.values() for p in split} if p not in self.parts]
         if len(self.parts) + len(parts) > CACHE_WORDS:
             self.parts.clear()
             parts = list({p for split in plain.values() for p in split})
         self.parts.update(zip(parts, self.ids(parts)))
+        known = self.parts
         for w, split in plain.items():
-            self[w] = b"".join([self.parts[p] for p in split])
+            self[w] = known[split[0]] if len(split) == 1 else b"".join([known[p] for p in split])
         odd = [w for w in words if w not in plain]
         self.update(zip(odd, self.ids(odd)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list({w for words in split for w in words} - self.keys())
+        missing = [w for w in {w for words in split for w in words} if w not in self]
         if len(self) + len(missing) > CACHE_WORDS:
             self.clear()
             missing = list({w for words in split for w in words})
