@@ -6,16 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, hyperminhash, katz, langid, packing, warc
+from colloquy.llm import chat, hyperminhash, katz, langid, packing, quality_rules, secret_scan, site_style, warc
 from colloquy.llm.common import shared_folder, table
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_style.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), path)
     return warc.page_report(spark, path)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secret_scan.train(secret_scan.labelled_samples(docs))
+    of_kind = lambda k: F.size(F.filter("rules", lambda s: s["kind"] == k)).cast("bigint")
+    return secret_scan.scan(docs, model).select(
+        "doc_id",
+        *[of_kind(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])],
+        F.sha2(secret_scan.span_text("rules"), 256).alias("base_sha256"),
+        secret_scan.span_text("spans").alias("spans"),
+    )
+
+
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(2).select(
@@ -33,6 +50,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = packing.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), encode)
@@ -59,10 +82,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_chat_windows": op2_chat_windows,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_quality_rules": op4_quality_rules,
     "op5_pack": op5_pack,
     "op7_katz": op7_katz,
     "op8_language": op8_language,
+    "op9_main_text": op9_main_text,
     "op10_warc": op10_warc,
 }
