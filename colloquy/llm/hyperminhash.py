@@ -269,19 +269,34 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Members of unresolved keys, repeated for every pair of blocks that they are in."""
-    sizes = members.groupBy("key").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    """Members of unresolved keys, dealt to the tasks ``(key, i, j)`` that compare them.
+
+    Of two members in different components one is outside the key's largest
+    component: a probe. Probe block ``j`` meets member block ``i``, so members are
+    repeated for every probe block, mostly one, and probes for every member block.
+    """
+    by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    largest = by_root.groupBy("key").agg(
+        F.max(F.struct("n", "root", "chars")).alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("c")
     )
-    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return (
-        members.join(sizes, "key")
-        .withColumn("mine", mine)
-        .withColumn("other", other)
-        .withColumn("i", F.least("mine", "other"))
-        .withColumn("j", F.greatest("mine", "other"))
-        .drop("other", "blocks")
+    needed = lambda n, chars: F.greatest(F.ceil(n / BLOCK_MEMBERS), F.ceil(chars / BLOCK_CHARS), F.lit(1)).cast("int")
+    sizes = largest.select(
+        "key", F.col("top.root").alias("main"), needed(F.col("n"), F.col("c")).alias("blocks"),
+        needed(F.col("n") - F.col("top.n"), F.col("c") - F.col("top.chars")).alias("probe_blocks"),
+    )
+    dealt = members.join(sizes, "key").withColumns(
+        {
+            "probe": F.col("root") != F.col("main"),
+            "mine": F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"),
+            "probe_mine": F.pmod(F.xxhash64("class", F.lit(1)), F.col("probe_blocks")).cast("int"),
+        }
+    )
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = F.transform(upto("probe_blocks"), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j")))
+    as_probe = F.transform(upto("blocks"), lambda i: F.struct(i.alias("i"), F.col("probe_mine").alias("j")))
+    both = F.when(F.col("probe"), F.array_union(as_member, as_probe)).otherwise(as_member)
+    return dealt.select("key", "class", "root", "probe", "mine", "probe_mine", F.explode(both).alias("to")).select(
+        "key", "class", "root", "probe", "mine", "probe_mine", "to.i", "to.j"
     )
 
 
@@ -301,8 +316,8 @@ def _block_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words
         kinds = _registers_of([r["small"] for r in rows], [r["large"] for r in rows], n)
         small = np.array([r["small"] is not None for r in rows])
         label = {r["root"]: r["root"] for r in rows}
-        mine = np.array([r["mine"] for r in rows])
-        across = rows[0]["i"] != rows[0]["j"]
+        here = np.array([r["mine"] == r["i"] for r in rows])
+        probes = [k for k, r in enumerate(rows) if r["probe"] and r["probe_mine"] == r["j"]]
         sets, out = {}, []
 
         def root(x):
@@ -316,10 +331,9 @@ def _block_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words
                 sets[k] = shingle_set(rows[k]["text"], words)
             return sets[k]
 
-        for k in range(len(rows)):
-            rest = np.arange(k + 1, len(rows))
-            if across:
-                rest = rest[mine[rest] != mine[k]]
+        for k in probes:
+            rest = np.flatnonzero(here)
+            rest = rest[rest != k]
             rest = rest[np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * percent]
             if not len(rest):
                 continue
