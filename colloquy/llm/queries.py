@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, hyperminhash, katz, langid, packing, quality_rules, secret_scan, site_style, warc
+from colloquy.llm import chat, hyperminhash, katz, langid, packing, qgram_filter, quality_rules, secret_scan, site_style, warc
 from colloquy.llm.common import shared_folder, table
 
 
@@ -67,6 +67,11 @@ def _held_out(folds: int):
     return F.coalesce(fold == 1, F.lit(False))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = qgram_filter.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, _ = katz.katz_scores(table(spark, sf_dir, "documents"), ~_held_out(5))
     return scores.withColumn("held_out", ~F.col("learned")).select(
@@ -87,6 +92,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_quality_rules": op4_quality_rules,
     "op5_pack": op5_pack,
+    "op6_decontaminate": op6_decontaminate,
     "op7_katz": op7_katz,
     "op8_language": op8_language,
     "op9_main_text": op9_main_text,
