@@ -2,13 +2,74 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from colloquy.llm import hyperminhash, packing, qgram_filter, quality_rules, secret_scan
 from colloquy.llm.common import stored, table
 
-STAGES = []
 
-#: Packing needs a tokenizer, which SQL has not.
+def _those(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` that are (``left_semi``) or are not (``left_anti``) among ``(doc_id, text_hash)`` rows; NULLs are equal."""
+    marked = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(marked, same, how).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that pass the rules and are no outliers of their language and source."""
+    return _those(docs, quality_rules.verdicts(docs).where("kept"), "left_semi")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest ``doc_id`` of each group of near copies (five-word shingles, 80 percent).
+
+    Rows that repeat an id and its text are one document.
+    """
+    kept = hyperminhash.near_duplicates(docs, words=5, percent=80).where("kept").groupBy("doc_id").count()
+    kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("count").alias("_n")), "kept-ids")
+    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
+    if not kept.where("_n > 1").limit(1).count():
+        return mine.select(*docs.columns)
+    again = mine.where("_n > 1").dropDuplicates(["doc_id", "text"])
+    return mine.where("_n = 1").unionByName(again).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark passage."""
+    found = qgram_filter.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _those(docs, found.select("doc_id", "text_hash").distinct(), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts by ``<secret>``; all documents stay."""
+    model = secret_scan.train(secret_scan.labelled_samples(docs))
+    found = secret_scan.rule_spans(F.coalesce("text", F.lit(""))), secret_scan.markov_spans(F.coalesce("text", F.lit("")), model)
+    spans = docs.withColumns({"_rules": found[0], "_more": found[1]}).withColumn(
+        "_spans", F.array_sort(F.concat("_rules", "_more"))
+    )
+    clean = F.when(F.size("_spans") > 0, secret_scan.redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    return spans.withColumn("text", clean).withColumn(
+        "n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    ).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048: one row per piece of a document, with its place."""
+    encode = packing.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, encode)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secrets),
+    ("packing", pack),
+]
+
+#: Near copies, robust estimates and a tokenizer are beyond SQL; the tests compare stages with brute force.
 ORACLE_SQL = None
 
 
