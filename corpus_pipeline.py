@@ -12,8 +12,8 @@ from colloquy.llm.common import stored, table
 
 def _those(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """``docs`` that are (``left_semi``) or are not (``left_anti``) among ``(doc_id, text_hash)`` rows; NULLs are equal."""
-    marked = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    marked = rows.select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_hash"))
     return docs.join(marked, same, how).select(*docs.columns)
 
 
@@ -28,12 +28,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id and its text are one document.
     """
     kept = hyperminhash.near_duplicates(docs, words=5, percent=80).where("kept").groupBy("doc_id").count()
-    kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("count").alias("_n")), "kept-ids")
-    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
-    if not kept.where("_n > 1").limit(1).count():
+    kept = stored(kept.select(F.col("doc_id").alias("_llm_id"), F.col("count").alias("_llm_n")), "kept-ids")
+    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_llm_id")))
+    if not kept.where("_llm_n > 1").limit(1).count():
         return mine.select(*docs.columns)
-    again = mine.where("_n > 1").dropDuplicates(["doc_id", "text"])
-    return mine.where("_n = 1").unionByName(again).select(*docs.columns)
+    again = mine.where("_llm_n > 1").dropDuplicates(["doc_id", "text"])
+    return mine.where("_llm_n = 1").unionByName(again).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by ``<secret>``; all documents stay."""
     model = secret_scan.train(secret_scan.labelled_samples(docs))
     found = secret_scan.rule_spans(F.coalesce("text", F.lit(""))), secret_scan.markov_spans(F.coalesce("text", F.lit("")), model)
-    spans = docs.withColumns({"_rules": found[0], "_more": found[1]}).withColumn(
-        "_spans", F.array_sort(F.concat("_rules", "_more"))
+    spans = docs.withColumns({"_llm_rules": found[0], "_llm_more": found[1]}).withColumn(
+        "_llm_spans", F.array_sort(F.concat("_llm_rules", "_llm_more"))
     )
-    clean = F.when(F.size("_spans") > 0, secret_scan.redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    clean = F.when(F.size("_llm_spans") > 0, secret_scan.redact(F.col("text"), F.col("_llm_spans"))).otherwise(F.col("text"))
     return spans.withColumn("text", clean).withColumn(
-        "n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        "n_chars", F.when(F.size("_llm_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     ).select(*docs.columns)
 
 
