@@ -63,13 +63,19 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some conversations missing, some empty, some without the user or the reply turns."""
+    """Some conversations missing, some empty, some without user or reply turns, some with markers that cleaning makes."""
     conv, turns = F.col("conv_id"), F.col("conversations")
+
+    def with_split_marker(t):
+        asked = F.concat(F.lit("<ima<image>ge> "), F.coalesce(t["value"], F.lit("")))
+        return t.withField("value", F.when(t["src"].isin("human", "user"), asked).otherwise(t["value"]))
+
     gapped = (
         F.when(conv % 17 == 1, F.lit(None))
         .when(conv % 17 == 2, F.slice(turns, 1, 0))
         .when(conv % 17 == 3, F.filter(turns, lambda t: ~t["src"].isin("human", "user")))
         .when(conv % 17 == 4, F.filter(turns, lambda t: ~t["src"].isin("gpt", "assistant")))
+        .when(conv % 17 == 5, F.transform(turns, with_split_marker))
         .otherwise(turns)
     )
     return samples(spark, sf_dir).withColumn("conversations", gapped)
@@ -99,14 +105,14 @@ def document_samples(documents: DataFrame) -> DataFrame:
 
 
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(conv_id, content)``: PNG, GIF and JPEG headers of the sample sizes, and damaged ones."""
-    w, h, kind = F.col("img_w"), F.col("img_h"), F.col("conv_id") % 5
+    """``(conv_id, content)``: headers of the sample sizes in six formats, and damaged ones."""
+    w, h, kind = F.col("img_w"), F.col("img_h"), F.col("conv_id") % 10
 
     def big(n, digits):
         return F.lpad(F.hex(n), digits, "0")
 
-    def little(n):
-        return F.concat(F.substring(big(n, 4), 3, 2), F.substring(big(n, 4), 1, 2))
+    def little(n, digits=4):
+        return F.concat(*[F.substring(big(n, digits), at, 2) for at in range(digits - 1, 0, -2)])
 
     jpeg = F.concat(
         F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), big(h, 4), big(w, 4), F.lit("03011100")
@@ -116,6 +122,11 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("474946383961"), little(w), little(h)))
         .when(kind == 2, jpeg)
         .when(kind == 3, F.lit("89504E470D0A1A0A"))
+        .when(kind == 5, F.concat(F.lit("424D" + "00" * 12 + "28000000"), little(w, 8), little(h, 8)))
+        .when(kind == 6, F.concat(F.lit("5249464600000000574542505650385800000000" + "00" * 4), little(w - 1, 6), little(h - 1, 6)))
+        .when(kind == 7, F.concat(F.lit("49492A0008000000020000010300" + "01000000"), little(w), F.lit("0000" + "01010300" + "01000000"), little(h), F.lit("0000")))
+        .when(kind == 8, F.concat(F.lit("5249464600000000574542505650382000000000" + "0000009D012A"), little(w), little(h)))
+        .when(kind == 9, F.concat(F.lit("89504E470D0A1A0A0000000D49484452FFFFFFFF"), big(h, 8)))
         .otherwise(F.md5(F.col("conv_id").cast("string")))
     )
     per_sample = raw_turns(spark, sf_dir).where("img_w IS NOT NULL").groupBy("conv_id").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -23,7 +24,7 @@ from colloquy.operators import metrics as G
 from colloquy.operators import mixing as I
 from colloquy.operators import ordering as O
 from colloquy.operators import quality as Q
-from colloquy.operators.skew import ensure_checkpoint_dir
+from colloquy.operators.skew import ensure_checkpoint_dir, pin
 from colloquy.plans import prepare as P
 from colloquy.schema import SourceSpec
 from colloquy.sources import images as S
@@ -37,8 +38,8 @@ QUERIES: dict[str, Query] = {}
 
 LANG_WEIGHTS = {"de": 2.0, "en": 1.0, "es": 3.0, "fr": 2.0}
 CONV_WEIGHTS = {0: 1.0, 1: 2.0, 2: 1.0}
-VOCAB_SIZE = 2_000
-VOCAB_ROWS = VOCAB_SIZE + len(fixed.SPECIAL_TOKENS["image_first"])
+# Every id below those of bytes and special tokens; and a small one, to meet unknown pieces.
+VOCAB_SIZE, FEW_WORDS = E.MAX_WORDS, 2_000
 
 
 def query(fn: Query) -> Query:
@@ -225,12 +226,12 @@ def filtered_samples(spark, sf):
 
 @F.pandas_udf(T.BooleanType())
 def _prime_width(width: pd.Series) -> pd.Series:
-    return width.fillna(0).astype("int64") % 7 == 0
+    return width.map(lambda w: w > 1 and all(w % d for d in range(2, math.isqrt(int(w)) + 1))).astype(bool)
 
 
 @query
 def filtered_samples_python(spark, sf):
-    return Q.filter_samples(fx.samples(spark, sf), _prime_width("image.width")).select("conv_id")
+    return Q.filter_samples(fx.samples(spark, sf), _prime_width(F.coalesce("image.width", F.lit(0)))).select("conv_id")
 
 
 # ---------------------------------------------------------------- text and templates
@@ -458,7 +459,7 @@ def special_token_uses(spark, sf):
 def _ids(spark, sf):
     """``(conv_id, source_id, image, input_ids)``."""
     narrow = _pieces(spark, sf).select("conv_id", "source_id", "image", "pieces")
-    return E.encode(narrow, _vocab(spark, sf), VOCAB_ROWS, ("conv_id", "source_id", "image"))
+    return E.encode(narrow, _vocab(spark, sf))
 
 
 @query
@@ -468,8 +469,9 @@ def encoded_ids(spark, sf):
 
 @query
 def encoded_ids_by_row(spark, sf):
-    """The same ids by dictionary lookup inside the rows."""
-    rows = E.encode_rows(_pieces(spark, sf).select("conv_id", "pieces"), _vocab(spark, sf), VOCAB_ROWS)
+    """By a small vocabulary: most pieces are unknown to it and become bytes."""
+    pieces = _pieces(spark, sf)
+    rows = E.encode(pieces.select("conv_id", "pieces"), E.build_vocab(pieces, FEW_WORDS))
     return rows.select("conv_id", joined("input_ids").alias("input_ids"))
 
 
@@ -492,7 +494,7 @@ def expanded_image_tokens(spark, sf):
 
 @query
 def truncated_ids(spark, sf):
-    return _ids(spark, sf).select("conv_id", joined(K.truncate("input_ids", 256)).alias("input_ids"))
+    return _ids(spark, sf).select("conv_id", joined(K.truncate("input_ids", 1024)).alias("input_ids"))
 
 
 @query
@@ -500,11 +502,15 @@ def truncation_losses(spark, sf):
     return E.truncation_report(_expanded(spark, sf), 1024)
 
 
-def _batched(spark, sf, batch_size=4, max_length=512):
-    """Conversations in shuffled order, cut, batched over all sources and padded."""
-    ids = _ids(spark, sf).withColumn("input_ids", K.truncate("input_ids", max_length)).withColumn("all", F.lit(0))
-    placed = O.seeded_shuffle(ids, "conv_id", source="all", out="pos")
-    return B.pad_to_longest(B.assign_batches(placed, batch_size))
+def _batched(spark, sf, batch_size=4, max_length=2048):
+    """Conversations in shuffled order, batched over all sources, expanded, cut and padded."""
+    config = P.PrepareConfig(max_length=max_length)
+    ids = pin(_ids(spark, sf).withColumn("n_visual", P.visual_tokens(config)))
+    keys = ids.select("conv_id").withColumn("all", F.lit(0))
+    placed = O.seeded_shuffle(keys, "conv_id", source="all", out="pos").drop("all").join(ids, "conv_id")
+    return B.pad_to_longest(
+        B.assign_batches(placed, batch_size), length=P.expanded_length(config), ready=P.expand_ids(config)
+    )
 
 
 @query
@@ -614,7 +620,7 @@ def shuffled_documents(spark, sf):
 
 @query
 def buffered_shuffle(spark, sf):
-    return O.bounded_shuffle(_documents(spark, sf), "id", {"de": 16, "en": 100, "es": 7, "fr": 1000})
+    return O.bounded_shuffle(_documents(spark, sf), "id", {"de": 16, "en": 100, "es": 7})
 
 
 @query
@@ -624,7 +630,12 @@ def source_shares(spark, sf):
 
 
 def interleaved_documents(spark, sf, stop):
-    return I.interleave(O.seeded_shuffle(_documents(spark, sf), "id"), LANG_WEIGHTS, stop=stop)
+    return I.interleave(_shuffled(_documents(spark, sf)), LANG_WEIGHTS, stop=stop)
+
+
+def _shuffled(keys):
+    """The order of narrow keys, each read once."""
+    return pin(O.seeded_shuffle(pin(keys), "id"))
 
 
 @query
@@ -639,7 +650,7 @@ def interleave_first_exhausted(spark, sf):
 
 @query
 def interleave_conversations(spark, sf):
-    return I.interleave(O.seeded_shuffle(_conversation_keys(spark, sf), "id"), CONV_WEIGHTS)
+    return I.interleave(_shuffled(_conversation_keys(spark, sf)), CONV_WEIGHTS)
 
 
 @query
@@ -659,7 +670,7 @@ def _planned(spark, sf):
     flags = fx.samples_with_gaps(spark, sf).select(
         F.col("conv_id").alias("id"), Q.reject_reason("current").isNull().alias("valid")
     )
-    return interleave_conversations(spark, sf).join(flags, "id")
+    return pin(interleave_conversations(spark, sf).join(flags, "id"))
 
 
 @query
@@ -687,13 +698,13 @@ def batches_without_rows(spark, sf):
 
 @query
 def rank_shards(spark, sf):
-    plan = interleave_all_exhausted(spark, sf).select("pos", "id")
+    plan = pin(interleave_all_exhausted(spark, sf).select("pos", "id"))
     return B.shard_plan(plan, world=7, batch_size=4, workers=2)
 
 
 @query
 def optimizer_steps(spark, sf):
-    plan = B.shard_plan(interleave_all_exhausted(spark, sf).select("pos", "id"), world=2, batch_size=1)
+    plan = B.shard_plan(pin(interleave_all_exhausted(spark, sf).select("pos", "id")), world=2, batch_size=1)
     return B.step_plan(plan, accumulate=4, max_steps=100).select("pos", "id", "rank", "batch_in_rank", "step")
 
 
@@ -708,18 +719,29 @@ def mixture_shares(spark, sf):
     return report.withColumns({"realised": F.round("realised", 6), "requested": F.round("requested", 6)})
 
 
-@query
-def training_rows(spark, sf):
-    """End to end: mixed order, encoded once per sample, expanded, cut, batched, padded, labelled."""
-    config = P.PrepareConfig(max_length=2048)
-    samples = fx.samples(spark, sf).withColumnRenamed("conv_id", "id").withColumn(
-        "source_id", F.col("source_id").cast("int")
-    )
-    plan = P.mixed_order(samples, CONV_WEIGHTS, config)
-    rows = P.training_arrays(samples, plan, _vocab(spark, sf), VOCAB_ROWS, 4, config)
-    return rows.select(
-        "pos", "id", "pass", "batch_id", big("width"), big("length"), F.md5(joined("labels")).alias("labels_md5")
-    )
+def _training(name: str, weights: dict, **config) -> Query:
+    def run(spark, sf):
+        """End to end: mixed order, encoded once per sample, batched, expanded, cut, padded, labelled."""
+        settings = P.PrepareConfig(max_length=2048, **config)
+        samples = fx.samples(spark, sf).withColumnRenamed("conv_id", "id").withColumn(
+            "source_id", F.col("source_id").cast("int")
+        )
+        plan = P.mixed_order(samples, weights, settings)
+        vocab = E.build_vocab(E.tokenize(P.render_prompts(samples, settings), style=settings.style), VOCAB_SIZE, style=settings.style)
+        rows = P.training_arrays(samples, plan, vocab, 4, settings)
+        return rows.select(
+            "pos", "id", "pass", "batch_id", "ref", big("width"), big("length"), F.md5(joined("labels")).alias("labels_md5")
+        )
+
+    run.__name__ = name
+    return run
+
+
+query(_training("training_rows", CONV_WEIGHTS))
+# Source 0 has no images, so the strict variant accepts none of it.
+query(_training("training_rows_strict", {k: CONV_WEIGHTS[k] for k in (1, 2)}, variant="strict"))
+query(_training("training_rows_legacy", CONV_WEIGHTS, variant="legacy"))
+query(_training("training_rows_interleaved", CONV_WEIGHTS, style="interleaved"))
 
 
 # ---------------------------------------------------------------- metrics
@@ -754,34 +776,38 @@ def stream_prepare(spark, sf):
     prepared = W.prepare_stream(_document_stream(spark, sf))
     return run_stream(
         prepared.select(
-            "id", big("n_slots"), big("n_tokens"), big_size("pieces"), F.md5("prompt").alias("prompt_md5")
+            "id", big("n_slots"), big("n_tokens"), big_size("pieces"), F.md5("prompt").alias("prompt_md5"),
+            F.md5(F.array_join("pieces", "\x1f")).alias("pieces_md5"),
         )
     )
 
 
 @query
 def stream_rejects(spark, sf):
-    name = f"rejects_{uuid.uuid4().hex}"
+    out = scratch(spark)
     counts = W.reject_stream(_document_stream(spark, sf))
     running = (
         counts.writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", f"{scratch(spark)}/state")
+        .foreachBatch(lambda frame, _: frame.write.mode("overwrite").parquet(f"{out}/counts"))
+        .option("checkpointLocation", f"{out}/state")
         .trigger(availableNow=True)
         .start()
     )
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counts.schema).parquet(f"{out}/counts")
 
 
 @query
 def stream_batches(spark, sf):
+    """Documents by language as weighted sources, mixed and batched inside the micro-batch."""
     out = scratch(spark)
-    vocab = E.build_vocab(P.prepare(fx.document_samples(fx.table(spark, sf, "documents")), expand=False), VOCAB_SIZE)
+    samples = fx.document_samples(fx.table(spark, sf, "documents"))
+    vocab = E.build_vocab(E.tokenize(P.render_prompts(samples)), VOCAB_SIZE)
     W.batch_stream(
-        _document_stream(spark, sf), vocab, VOCAB_ROWS, f"{out}/rows", f"{out}/state", 8
+        _document_stream(spark, sf), vocab, f"{out}/rows", f"{out}/state", 8, weights=LANG_WEIGHTS
     ).awaitTermination()
     rows = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows")
-    summary = B.batch_summary(rows.withColumn("epoch", big("epoch")), ("epoch", "batch_id"))
-    return summary.withColumn("pad_share", F.round("pad_share", 6))
+    return rows.select(
+        big("epoch"), "pos", "id", "source_id", "batch_id", big("width"), big("length"),
+        F.md5(joined("labels")).alias("labels_md5"),
+    )

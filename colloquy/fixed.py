@@ -10,9 +10,9 @@ from __future__ import annotations
 # The 29 code points that Python's str.strip() and re's \s accept.
 # ---------------------------------------------------------------------------
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # The same set as a regular-expression class (valid for Java and for RE2).
 WHITESPACE_CLASS = (
@@ -91,7 +91,6 @@ PAD_ID = 151643
 IMAGE_ID = 151646
 FIRST_RESERVED_ID = 151643
 IGNORE_LABEL = -100
-CONTEXT_LIMIT = {"image_first": 32768, "interleaved": 262144}
 
 # ---------------------------------------------------------------------------
 # Vision settings.

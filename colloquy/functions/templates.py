@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from colloquy import fixed
 from colloquy.functions.messages import part_texts
-from colloquy.functions.text import bind, column, py_strip, role_legacy
+from colloquy.functions.text import bind, column, json_one_line, py_strip, role_legacy
 from colloquy.schema import PART, TOOL_CALL
 
 _FRAGMENT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
@@ -200,7 +200,13 @@ def _join_fragments(fragments: Column, add_vision_id: bool) -> Column:
 
 
 def render_tools(messages: Column | str, tools: Column | str, **options) -> Column:
-    """Interleaved chat with a tool catalogue, tool calls and tool responses."""
+    """Interleaved chat with a tool catalogue, tool calls and tool responses.
+
+    The JSON of tools and arguments is printed as its parsed value is written.
+    """
+    tools = F.transform(column(tools), json_one_line)
+    call = lambda c: c.withField("arguments", json_one_line(c["arguments"]))
+    messages = F.transform(column(messages), lambda m: m.withField("tool_calls", F.transform(m["tool_calls"], call)))
     return render_chat_interleaved(messages, tools=tools, with_tool_calls=True, **options)
 
 

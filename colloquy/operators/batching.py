@@ -50,15 +50,23 @@ def empty_batches(planned: DataFrame, valid: Column, fail: bool = False) -> Data
 
 
 def shard_plan(
-    df: DataFrame, world: int, batch_size: int = 1, workers: int = 1, position: str = "pos"
+    df: DataFrame,
+    world: int,
+    batch_size: int = 1,
+    workers: int = 1,
+    position: str = "pos",
+    length: int | None = None,
 ) -> DataFrame:
     """Rank, batch within the rank and loader worker of every position.
 
     Ranks take positions round robin; the first rows are used again at the end
     until all ranks have equally many. Each row derives its own repeats from the
-    row count, so nothing is re-read or unioned.
+    length of the plan, so nothing is re-read or unioned. ``length`` counts the
+    positions of the unfiltered plan; without it, it is the last position plus
+    one, for which ``df`` is evaluated once more. Positions may have gaps, as
+    ``filter='after'`` leaves them.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n = F.lit(length) if length is not None else df.agg((F.max(position) + 1).alias("n")).scalar()
     total = F.ceil(F.col("_n") / F.lit(world)).cast("bigint") * F.lit(world)
     spread = (
         df.withColumn("_n", n)
@@ -83,9 +91,14 @@ def pad_to_longest(
     ids: str = "input_ids",
     by: str | tuple[str, ...] = "batch_id",
     pad_id: int = fixed.PAD_ID,
+    length: Column | None = None,
+    ready: Column | None = None,
 ) -> DataFrame:
     """Right-pad to the longest row of the batch; adds ``length``, ``width``, mask and labels.
 
+    Rows may cross the exchange in a compact form: then ``ready`` makes their final
+    ids, and ``length`` says beforehand how many those will be.
+
     The mask is set exactly for the ids that were there before padding, so
     labels are those ids followed by ignored places (what ``tokens.labels``
     yields from the mask), built by copying arrays rather than by element.
@@ -93,8 +106,9 @@ def pad_to_longest(
     keys = [by] if isinstance(by, str) else list(by)
     missing = F.col("width") - F.col("length")
     return (
-        df.withColumn("length", F.size(ids))
+        df.withColumn("length", F.size(ids) if length is None else length.cast("int"))
         .withColumn("width", F.max("length").over(Window.partitionBy(*keys)))
+        .withColumn(ids, F.col(ids) if ready is None else ready)
         .withColumns(
             {
                 "attention_mask": tokens.attention_mask("length", "width"),

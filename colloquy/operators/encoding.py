@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,13 @@ from pyspark.sql import types as T
 from colloquy import fixed
 from colloquy.functions import tokens
 from colloquy.operators.ordering import global_position
+from colloquy.operators.skew import pin
 
-# A vocabulary entry is about 40 bytes: 500 000 rows are some 20 MB.
-BROADCAST_ROWS = 500_000
-UNKNOWN_ID = fixed.FIRST_RESERVED_ID - 1
+# Words are numbered from 0 and pieces without a number become their UTF-8 bytes,
+# whose 256 ids end where the reserved ones begin. So a vocabulary has at most
+# this many words, some 6 MB, whatever the corpus is.
+BYTE_BASE = fixed.FIRST_RESERVED_ID - 256
+MAX_WORDS = BYTE_BASE
 
 
 def special_tokens(spark: SparkSession, style: str = "image_first") -> DataFrame:
@@ -51,20 +55,28 @@ def tokenize_with(
 def build_vocab(df: DataFrame, size: int, pieces: str = "pieces", style: str = "image_first") -> DataFrame:
     """``(piece, uses, token_id, special)``: the ``size`` most used pieces, ties by piece.
 
-    Piece counts combine map-side, so a piece that makes up a third of the text
-    costs one partial row per task. Ids are positions in a range-partitioned
-    order; special tokens keep their reserved ids.
+    Give it whole, uncut pieces. Counts combine map-side, so a piece that makes up
+    a third of the text costs one partial row per task. How many pieces have how
+    many uses says from which use count on pieces are needed; only those, not the
+    long tail of one-use pieces, are ordered. Special tokens keep their reserved ids.
     """
-    if not 0 < size <= UNKNOWN_ID:
-        raise ValueError(f"size must be within 1 and {UNKNOWN_ID}")
+    if not 0 < size <= MAX_WORDS:
+        raise ValueError(f"size must be within 1 and {MAX_WORDS}")
     reserved = [t for _, t, _ in fixed.SPECIAL_TOKENS[style]]
-    counts = (
+    counts = pin(
         df.select(F.explode(pieces).alias("piece"))
         .where(~F.col("piece").isin(reserved))
         .groupBy("piece")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
-    ranked = global_position(counts, F.col("uses").desc(), F.col("piece"), out="_at")
+    # At most ``size`` use counts are looked at, as each has a piece.
+    ladder = counts.groupBy("uses").count().orderBy(F.col("uses").desc()).limit(size).collect()
+    least, reached = 0, 0
+    for step in ladder:
+        least, reached = step["uses"], reached + step["count"]
+        if reached >= size:
+            break
+    ranked = global_position(counts.where(F.col("uses") >= least), F.col("uses").desc(), F.col("piece"), out="_at")
     words = ranked.where(F.col("_at") < size).select(
         "piece", "uses", F.col("_at").cast("int").alias("token_id"), F.lit(False).alias("special")
     )
@@ -74,84 +86,53 @@ def build_vocab(df: DataFrame, size: int, pieces: str = "pieces", style: str = "
     return words.unionByName(fixed_ids)
 
 
-def encode(
-    df: DataFrame,
-    vocab: DataFrame,
-    vocab_rows: int,
-    key: tuple[str, ...] = ("sample_id",),
-    pieces: str = "pieces",
-    unknown_id: int = UNKNOWN_ID,
-    out: str = "input_ids",
-) -> DataFrame:
-    """``key`` columns and the ids of their pieces, in order; built-in expressions only.
-
-    ``vocab_rows`` is the most rows ``vocab`` can have (its ``size`` plus the
-    special tokens). Up to ``BROADCAST_ROWS`` the table is broadcast. Beyond
-    that only the ids below half of that are, and the rest is joined by shuffle,
-    with already resolved rows spread evenly instead of under one empty key.
-    Pieces go back to their sample in one aggregation, which needs no exchange
-    if ``df`` is already partitioned by ``key``. Select only narrow columns
-    besides ``pieces``; each is repeated per piece.
-    """
-    if vocab.limit(vocab_rows + 1).count() > vocab_rows:
-        raise ValueError(f"the vocabulary has more than the announced {vocab_rows} rows")
-    flat = df.select(*key, F.posexplode_outer(pieces).alias("_at", "_piece"))
-    ids = vocab.select(F.col("piece").alias("_known"), F.col("token_id").alias("_id"))
-    if vocab_rows <= BROADCAST_ROWS:
-        hit = flat.join(F.broadcast(ids), F.col("_piece") == F.col("_known"), "left")
-    else:
-        in_head = (F.col("_id") < BROADCAST_ROWS // 2) | F.col("_known").isin(
-            [t for style in fixed.SPECIAL_TOKENS.values() for _, t, _ in style]
-        )
-        head, tail = ids.where(in_head), ids.where(~in_head)
-        flat = flat.join(
-            F.broadcast(head.toDF("_head", "_head_id")), F.col("_piece") == F.col("_head"), "left"
-        )
-        # Two NUL characters never form a piece, so a resolved row meets nothing.
-        elsewhere = F.concat(F.lit("\0\0"), F.pmod(F.xxhash64(*key, "_at"), F.lit(4096)).cast("string"))
-        wanted = F.when(F.col("_head_id").isNull(), F.col("_piece")).otherwise(elsewhere)
-        hit = (
-            flat.withColumn("_wanted", wanted)
-            .join(tail, F.col("_wanted") == F.col("_known"), "left")
-            .withColumn("_id", F.coalesce("_head_id", "_id"))
-        )
-    # Place and id share one number, which collects and sorts faster than a struct.
-    packed = F.shiftleft(F.col("_at").cast("bigint"), 32) + F.coalesce("_id", F.lit(unknown_id))
-    ordered = F.sort_array(F.collect_list(packed))
-    unpacked = F.transform(ordered, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-    return hit.groupBy(*key).agg(unpacked.alias(out))
-
-
-def encode_rows(
-    df: DataFrame,
-    vocab: DataFrame,
-    vocab_rows: int,
-    pieces: str = "pieces",
-    unknown_id: int = UNKNOWN_ID,
-    out: str = "input_ids",
-) -> DataFrame:
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all strings and the length of each."""
+    lengths = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = pc.binary_join(pa.array([values.cast(pa.binary()).to_pylist()], pa.list_(pa.binary())), b"")[0].as_py()
+    return np.frombuffer(joined, np.uint8), lengths
+
+
+def encode(df: DataFrame, vocab: DataFrame, pieces: str = "pieces", out: str = "input_ids") -> DataFrame:
     """``df`` with ids in place of pieces, row by row: no exchange, also on streams.
 
-    The vocabulary, at most ``BROADCAST_ROWS`` rows, goes to the tasks once; an
-    Arrow kernel looks up all pieces of a batch of rows together. All columns
-    of ``df`` take the way through Arrow, so select only narrow ones.
+    A piece that is not in the vocabulary becomes the ids of its UTF-8 bytes, so
+    ``decode`` gives the text back. The vocabulary, at most ``MAX_WORDS`` and the
+    special tokens, goes to the executors once and its table is built once per
+    task; an Arrow kernel looks up all pieces of a batch of rows together. All
+    columns of ``df`` take the way through Arrow, so select only narrow ones.
     """
-    if vocab_rows > BROADCAST_ROWS:
-        raise ValueError(f"a vocabulary of over {BROADCAST_ROWS} rows needs encode()")
-    table = vocab.select("piece", F.col("token_id").cast("int")).limit(vocab_rows + 1).toArrow()
-    if table.num_rows > vocab_rows:
-        raise ValueError(f"the vocabulary has more than the announced {vocab_rows} rows")
-    known, ids = table.column(0).combine_chunks(), table.column(1).combine_chunks()
+    most = MAX_WORDS + max(map(len, fixed.SPECIAL_TOKENS.values()))
+    table = vocab.select("piece", F.col("token_id").cast("int")).limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError(f"the vocabulary has more than {most} rows")
+    sent = df.sparkSession.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in table.columns))))
     kept = [f for f in df.schema.fields if f.name != pieces]
     names = [f.name for f in kept]
 
     def look_up(batches):
+        known = sent.value
         for batch in batches:
             rows = batch.column(pieces)
-            place = pc.index_in(rows.values, value_set=known.cast(rows.values.type))
-            found = pc.fill_null(ids.take(place), unknown_id)
+            distinct = pc.dictionary_encode(rows.flatten())
+            ids = np.array([known.get(p, -1) for p in distinct.dictionary.to_pylist()], np.int64)
+            place = distinct.indices.to_numpy(zero_copy_only=False)
+            flat = ids[place] if len(place) else np.zeros(0, np.int64)
+            counts = np.ones(len(flat), np.int64)
+            odd = np.flatnonzero(flat < 0)
+            if len(odd):
+                data, lengths = _bytes_of(distinct.dictionary.take(pa.array(place[odd])))
+                counts[odd] = lengths
+            ends = np.cumsum(counts)
+            found = np.repeat(flat, counts)
+            if len(odd):
+                found[np.repeat(flat < 0, counts)] = data.astype(np.int64) + BYTE_BASE
+            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+            edges = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
             mask = rows.is_null() if rows.null_count else None
-            encoded = pa.ListArray.from_arrays(rows.offsets, found, mask=mask)
+            encoded = pa.ListArray.from_arrays(
+                pa.array(edges, pa.int32()), pa.array(found, pa.int32()), mask=mask
+            )
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), encoded], names=[*names, out])
 
     return df.mapInArrow(
@@ -159,6 +140,23 @@ def encode_rows(
     )
 
 
+def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", out: str = "text") -> DataFrame:
+    """The text that ``encode`` was given, from its ids."""
+    pairs = vocab.select(F.col("token_id").cast("int"), "piece").limit(MAX_WORDS + 1000).collect()
+    words = df.sparkSession.sparkContext.broadcast({r["token_id"]: r["piece"].encode() for r in pairs})
+    at = df.columns.index(ids)
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for row in batch.column(at).to_pylist():
+                parts = None if row is None else [words.value.get(i) or bytes([i - BYTE_BASE]) for i in row]
+                texts.append(None if parts is None else b"".join(parts).decode())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+
+
 def truncation_report(
     df: DataFrame,
     max_length: int,

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def epoch_metric(metrics: DataFrame) -> DataFrame:
-    """Epoch loss: mean of step losses weighted by batch size."""
+    """Epoch loss: mean of step losses weighted by batch size. Steps without a loss have no weight."""
+    weight = F.when(F.col("loss").isNotNull(), F.col("batch_size"))
     return metrics.groupBy("run", "epoch").agg(
         F.count(F.lit(1)).alias("steps"),
         F.sum("batch_size").alias("samples"),
-        (F.sum(F.col("loss") * F.col("batch_size")) / F.sum("batch_size")).alias("loss"),
+        (F.sum(F.col("loss") * F.col("batch_size")) / F.sum(weight)).alias("loss"),
     )
 
 

@@ -15,8 +15,6 @@ from colloquy.operators.skew import pin
 
 BUCKETS = 4096
 BLOCK_ROWS = 1 << 18
-# A table of one row per source is broadcast; a mixture has no more sources than this.
-MAX_SOURCES = 100_000
 _ROW_BITS = 33
 
 
@@ -134,15 +132,17 @@ def bounded_shuffle(
 ) -> DataFrame:
     """Shuffle inside consecutive blocks of ``buffer`` rows of every source's arrival order.
 
-    ``buffer`` may differ by source: ``{source: rows}``. All blocks but the last
-    are full, so a row's place is its block's start plus its place in the block.
+    ``buffer`` may differ by source: ``{source: rows}``, with the default size for
+    sources it does not name. All blocks but the last are full, so a row's place
+    is its block's start plus its place in the block.
     """
     placed = global_position(df, source, arrival or key, out="_at")
     starts = placed.groupBy(source).agg(F.min("_at").alias("_start"))
-    if starts.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    size = F.lit(buffer) if isinstance(buffer, int) else _per_source(buffer, source)
-    arrived = placed.join(F.broadcast(starts), source).withColumn(
+    size = F.lit(buffer)
+    if isinstance(buffer, dict):
+        named, size = _per_source(buffer, source), F.lit(fixed.DEFAULT_SHUFFLE_BUFFER)
+        size = size if named is None else F.coalesce(named, size)
+    arrived = placed.join(starts, source).withColumn(
         "_block", F.floor((F.col("_at") - F.col("_start")) / size)
     )
     inside = F.row_number().over(

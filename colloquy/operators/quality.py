@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquy import fixed
 from colloquy.functions.messages import has_assistant_text, has_null_turn, has_turns, has_user_turn
 from colloquy.functions.templates import placeholder_count
+from colloquy.functions.text import clean_text, is_assistant, is_user
 
 VARIANTS = ("current", "strict", "legacy")
 
@@ -31,9 +32,17 @@ def filter_samples(df: DataFrame, predicate: Column) -> DataFrame:
 
 
 def reject_reason(
-    variant: str = "current", conv: str = "conversations", image: str = "image", decodable: str | None = None
+    variant: str = "current",
+    conv: str = "conversations",
+    image: str = "image",
+    decodable: str | None = None,
+    slot: str = fixed.IMAGE_SLOT,
 ) -> Column:
-    """First reason that rejects a sample, NULL for an accepted one."""
+    """First reason that rejects a sample, NULL for an accepted one.
+
+    ``misaligned`` are samples whose cleaned texts still hold the ``slot`` marker of
+    the prompt's style, so that the prompt would show more slots than images.
+    """
     with_image = F.col(image).isNotNull()
     reason = F.when(F.col(conv).isNull(), "null_conversation")
     if variant != "legacy":
@@ -50,9 +59,23 @@ def reject_reason(
         reason = reason.when(with_image & ~has_user_turn(conv), "image_without_slot")
     if decodable is not None:
         reason = reason.when(with_image & ~F.coalesce(F.col(decodable), F.lit(False)), "image_not_decodable")
+    if variant != "legacy":
+        reason = reason.when(has_stray_slot(conv, slot), "misaligned")
     return reason
 
 
+def has_stray_slot(conv: str = "conversations", slot: str = fixed.IMAGE_SLOT) -> Column:
+    """Whether a turn that a message is built from holds ``slot`` after cleaning."""
+
+    def stray(t):
+        # A marker that survives cleaning was put together by it or stood there before.
+        suspect = F.contains(t["value"], F.lit(slot)) | F.contains(t["value"], F.lit(fixed.IMAGE_SLOT))
+        left = F.contains(clean_text(t["value"]), F.lit(slot))
+        return (is_user(t["src"]) | is_assistant(t["src"])) & F.coalesce(suspect, F.lit(False)) & left
+
+    return F.coalesce(F.exists(conv, stray), F.lit(False))
+
+
 def quarantine(df: DataFrame, variant: str = "current", **columns) -> DataFrame:
     """Adds ``reject_reason``; ``sources.write.write_quarantine`` splits it in one pass."""
     if variant not in VARIANTS:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def salted_left_join(
     A key with ``n`` left rows is split into ``ceil(n / hot_rows)`` salts by the
     hash of ``spread``; only the matching right rows of such keys are repeated,
     once per salt. Counting the keys is a map-side combined aggregate of the key
-    columns alone, and fewer than ``rows / hot_rows`` keys are broadcast.
+    columns alone. Rows with a NULL key meet nothing, so they do not move at all.
     """
     keys = [key] if isinstance(key, str) else list(key)
     hot = (
@@ -58,14 +59,17 @@ def salted_left_join(
         .where(F.col("_salts") > 1)
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))
+    unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    keyed, rest = left.where(~unmatched), left.where(unmatched) if how == "left" else None
     salted_left = (
-        left.join(F.broadcast(hot), keys, "left")
+        keyed.join(hot, keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
         .drop("_salts")
     )
     salted_right = (
-        right.join(F.broadcast(hot), keys, "left")
+        right.join(hot, keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    joined = salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    return joined if rest is None else joined.unionByName(rest, allowMissingColumns=True)

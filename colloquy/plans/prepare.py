@@ -17,7 +17,7 @@ from colloquy.functions.templates import (
     render_transcript,
 )
 from colloquy.operators.batching import assign_batches, pad_to_longest
-from colloquy.operators.encoding import BROADCAST_ROWS, encode, encode_rows
+from colloquy.operators.encoding import encode
 from colloquy.operators.mixing import interleave
 from colloquy.operators.ordering import seeded_shuffle
 from colloquy.operators.quality import VARIANTS, reject_reason
@@ -57,12 +57,14 @@ def visual_tokens(config: PrepareConfig, image: str = "image") -> Column:
         count = vision.visual_tokens_anyres(w, h, config.max_tiles)
     else:
         count = vision.visual_tokens_dynamic(w, h)
-    return F.when(F.col(image).isNotNull(), F.coalesce(count, F.lit(fixed.BASE_VISUAL_TOKENS).cast("bigint")))
+    # Of an image of unknown size one style shows the base tokens, the other its one placeholder.
+    unknown = fixed.BASE_VISUAL_TOKENS if config.style == "image_first" else 1
+    return F.when(F.col(image).isNotNull(), F.coalesce(count, F.lit(unknown).cast("bigint")))
 
 
 def accept(samples: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFrame:
     """Samples without a reject reason. The test stops at the first turn that decides."""
-    return samples.where(reject_reason(config.variant).isNull())
+    return samples.where(reject_reason(config.variant, slot=slot_token(config)).isNull())
 
 
 def render_prompts(samples: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFrame:
@@ -97,13 +99,22 @@ def prepare(samples: DataFrame, config: PrepareConfig = PrepareConfig(), expand:
     return full.withColumn("pieces", tokens.truncate(spread, config.max_length))
 
 
+def _image_id(config: PrepareConfig) -> int:
+    return next(i for i, t, _ in fixed.SPECIAL_TOKENS[config.style] if t == slot_token(config))
+
+
 def expand_ids(config: PrepareConfig, ids: str = "input_ids") -> Column:
     """Encoded prompt with its image placeholders repeated ``n_visual`` times and its tail cut."""
-    image_id = next(i for i, t, _ in fixed.SPECIAL_TOKENS[config.style] if t == slot_token(config))
-    spread = tokens.expand_image_tokens(ids, F.coalesce("n_visual", F.lit(1)), image_id)
+    spread = tokens.expand_image_tokens(ids, F.coalesce("n_visual", F.lit(1)), _image_id(config))
     return tokens.truncate(spread, config.max_length)
 
 
+def expanded_length(config: PrepareConfig, ids: str = "input_ids") -> Column:
+    """How many ids ``expand_ids`` will give, without expanding them."""
+    slots = F.size(F.filter(ids, lambda x: x == _image_id(config)))
+    return F.least(F.size(ids) + slots * (F.coalesce("n_visual", F.lit(1)) - 1), F.lit(config.max_length))
+
+
 def attach(plan: DataFrame, payload: DataFrame, key: list[str], spread: str = "pos") -> DataFrame:
     """Join payload (unique on ``key``) to a finished plan of positions.
 
@@ -112,6 +123,24 @@ def attach(plan: DataFrame, payload: DataFrame, key: list[str], spread: str = "p
     return salted_left_join(plan, payload, key, spread, how="inner")
 
 
+def keyed(samples: DataFrame, out: str = "row_key") -> DataFrame:
+    """``samples`` with a unique key, for sources whose own ids are missing or repeated.
+
+    The numbered samples are pinned, so the key stays with its row. Parquet
+    sources get a key without that from ``SourceSpec.row_key``.
+    """
+    return pin(samples.withColumn(out, F.monotonically_increasing_id()))
+
+
+def _checked_keys(samples: DataFrame, source: str, key: str) -> DataFrame:
+    """Pinned ``(source, key)`` rows, refused where a key is missing or repeated."""
+    keys = pin(samples.select(source, key))
+    repeated = keys.groupBy(source, key).count().where(F.col(key).isNull() | F.col(source).isNull() | (F.col("count") > 1))
+    if repeated.limit(1).count():
+        raise ValueError(f"{key} is missing or repeated; give the samples a key with keyed() or SourceSpec.row_key")
+    return keys
+
+
 def mixed_order(
     samples: DataFrame,
     weights: dict,
@@ -121,13 +150,15 @@ def mixed_order(
     seed: int = fixed.DEFAULT_SEED,
     stop: str = fixed.DEFAULT_STOP,
 ) -> DataFrame:
-    """``(pos, source, pass, key)`` of the accepted samples, shuffled and interleaved.
+    """``(pos, source, pass, key)``, shuffled and interleaved as the variant does it.
 
-    The samples are read once: only the keys that pass are kept, and those and
-    the finished order are pinned, both a few bytes per sample.
+    The strict variant validates before it mixes. The others mix all samples and
+    drop the invalid ones from the finished batches, which ``training_arrays``
+    does; their positions are part of the order here. The samples are read once:
+    only keys are kept, and those and the finished order are pinned.
     """
-    keys = pin(accept(samples, config).select(source, key))
-    ranked = seeded_shuffle(keys, key, seed, source)
+    chosen = accept(samples, config) if config.variant == "strict" else samples
+    ranked = seeded_shuffle(_checked_keys(chosen, source, key), key, seed, source)
     return pin(interleave(ranked, weights, seed, stop, source))
 
 
@@ -135,29 +166,30 @@ def training_arrays(
     samples: DataFrame,
     plan: DataFrame,
     vocab: DataFrame,
-    vocab_rows: int,
     batch_size: int,
     config: PrepareConfig = PrepareConfig(),
     key: tuple[str, ...] = ("source_id", "id"),
     rows_per_shard: int | None = None,
 ) -> DataFrame:
-    """Padded ids, mask and labels per position, from samples and a mixed order.
-
-    Every sample is encoded once, however often the plan repeats it. With
-    ``rows_per_shard`` (a multiple of ``batch_size``) rows are partitioned by
-    output shard before padding. A batch lies within one shard, so padding and
-    ``write_training_shards`` then share that single exchange.
+    """Padded ids, mask, labels and image ref per position, from samples and a mixed order.
+
+    Every accepted sample is encoded once, however often the plan repeats it;
+    positions of other samples are left out, and their batches are the shorter for
+    it. Ids travel with one placeholder per image and are expanded, cut, padded and
+    labelled after the last exchange. With ``rows_per_shard`` (a multiple of
+    ``batch_size``) rows are partitioned by output shard before padding. A batch lies
+    within one shard, so padding and ``write_training_shards`` then share that exchange.
     """
-    narrow = prepare(samples, config, expand=False).select(*key, "n_visual", "pieces")
-    if vocab_rows <= BROADCAST_ROWS:
-        ids = encode_rows(narrow, vocab, vocab_rows)
-    else:
-        ids = encode(narrow, vocab, vocab_rows, (*key, "n_visual"))
-    ids = ids.withColumn("input_ids", expand_ids(config)).drop("n_visual")
-    placed = assign_batches(attach(plan, ids, list(key)), batch_size)
+    whole = render_prompts(samples, config).withColumn("n_visual", visual_tokens(config))
+    narrow = whole.select(
+        *key, F.col("image.ref").alias("ref"), "n_visual", tokens.pieces("prompt", config.style).alias("pieces")
+    )
+    compact = encode(narrow, vocab)
+    placed = assign_batches(attach(plan, compact, list(key)), batch_size)
+    finish = {"length": expanded_length(config), "ready": expand_ids(config)}
     if rows_per_shard is None:
-        return pad_to_longest(placed)
+        return pad_to_longest(placed, **finish).drop("n_visual")
     if rows_per_shard % batch_size:
         raise ValueError("rows_per_shard must be a multiple of batch_size")
     sharded = placed.withColumn("shard", shard_of(rows_per_shard)).repartition("shard")
-    return pad_to_longest(sharded, by=("shard", "batch_id"))
+    return pad_to_longest(sharded, by=("shard", "batch_id"), **finish).drop("n_visual")

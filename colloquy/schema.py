@@ -35,22 +35,6 @@ TOOL_CALL = T.StructType(
 MESSAGE = T.StructType(
     [T.StructField("role", T.StringType()), T.StructField("content", T.ArrayType(PART))]
 )
-CHAT_MESSAGE = T.StructType(
-    [
-        T.StructField("role", T.StringType()),
-        T.StructField("content", T.ArrayType(PART)),
-        T.StructField("tool_calls", T.ArrayType(TOOL_CALL)),
-    ]
-)
-METRIC = T.StructType(
-    [
-        T.StructField("run", T.LongType()),
-        T.StructField("epoch", T.LongType()),
-        T.StructField("step", T.LongType()),
-        T.StructField("batch_size", T.LongType()),
-        T.StructField("loss", T.DoubleType()),
-    ]
-)
 
 
 @dataclass(frozen=True)
@@ -92,6 +76,12 @@ def check_specs(specs: Sequence[SourceSpec], streaming: bool = False) -> list[So
     return specs
 
 
+def stream_mixture(specs: Sequence[SourceSpec]) -> tuple[dict, dict]:
+    """Weights and shuffle buffers by ``source_id``, as ``streaming.prepare.batch_stream`` takes them."""
+    ids = [i if s.source_id is None else s.source_id for i, s in enumerate(check_specs(specs, True))]
+    return {i: s.weight for i, s in zip(ids, specs)}, {i: s.shuffle_buffer_size for i, s in zip(ids, specs)}
+
+
 def shares(weights: dict) -> dict:
     """``w / sum(w)`` per source, for weights that describe a distribution."""
     values = {k: float(w) for k, w in weights.items()}

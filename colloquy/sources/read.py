@@ -15,7 +15,9 @@ def _tag(df: DataFrame, spec: SourceSpec, source_id) -> DataFrame:
     if spec.row_key is not None:
         place = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index")
         df = df.withColumn(spec.row_key, place)
-    if spec.split_column is not None and spec.split_column in df.columns:
+    if spec.split_column is not None:
+        if spec.split_column not in df.columns:
+            raise ValueError(f"{spec.path} has no column {spec.split_column!r}; split_column=None reads all of it")
         df = df.where(F.col(spec.split_column) == spec.split).drop(spec.split_column)
     return df.withColumns(
         {"source_id": F.lit(source_id), "weight": F.lit(float(spec.weight))}

@@ -13,17 +13,23 @@ def shard_of(rows_per_shard: int, position: str = "pos"):
 
 
 def write_training_shards(
-    df: DataFrame, path: str, rows_per_shard: int, position: str = "pos", mode: str = "overwrite"
+    df: DataFrame,
+    path: str,
+    rows_per_shard: int,
+    position: str = "pos",
+    mode: str = "overwrite",
+    partitioned: bool = False,
 ) -> None:
     """Parquet under ``shard=N/``, shard N holding positions ``[N*rows, (N+1)*rows)`` in order.
 
     The shard is computed from the position, so no bounds are sampled, a retried
     task writes the same file again, and positions spread evenly whatever the
-    sources look like. Sorting by shard keeps one writer open per task. A frame
-    that has a ``shard`` column is already partitioned by it (see
-    ``plans.prepare.training_arrays``) and does not move again.
+    sources look like. Sorting by shard keeps one writer open per task. With
+    ``partitioned`` the frame comes with its ``shard`` column and is partitioned
+    by it (see ``plans.prepare.training_arrays``), so it does not move again; without,
+    a column of that name is replaced.
     """
-    if "shard" not in df.columns:
+    if not partitioned:
         df = df.withColumn("shard", shard_of(rows_per_shard, position)).repartition("shard")
     df.sortWithinPartitions("shard", position).write.mode(mode).partitionBy("shard").parquet(path)
 

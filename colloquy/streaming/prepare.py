@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from colloquy import fixed
+from colloquy.functions.tokens import pieces
 from colloquy.operators.batching import assign_batches, pad_to_longest
-from colloquy.operators.encoding import encode_rows
-from colloquy.operators.ordering import seeded_shuffle
+from colloquy.operators.encoding import encode
+from colloquy.operators.mixing import interleave
+from colloquy.operators.ordering import bounded_shuffle, seeded_shuffle
 from colloquy.operators.quality import quarantine, reject_summary
+from colloquy.operators.skew import pin
 from colloquy.plans import prepare as batch
 
 
@@ -27,18 +30,41 @@ def reject_stream(samples: DataFrame, variant: str = "current", source: str = "s
 
 
 def batch_of_epoch(
-    encoded: DataFrame, batch_size: int, seed: int = fixed.DEFAULT_SEED, key: str = "id"
+    encoded: DataFrame,
+    batch_size: int,
+    seed: int = fixed.DEFAULT_SEED,
+    key: str = "id",
+    source: str = "source_id",
+    weights: dict | None = None,
+    buffer: int | dict = fixed.DEFAULT_SHUFFLE_BUFFER,
+    stop: str = fixed.DEFAULT_STOP,
+    config: batch.PrepareConfig = batch.PrepareConfig(),
 ) -> DataFrame:
-    """One micro-batch: shuffled by hash over all its sources, batched and padded."""
-    keyed = encoded.withColumn("_all", F.lit(0))
-    placed = seeded_shuffle(keyed.select("_all", key, "input_ids"), key, seed, "_all", out="pos")
-    return pad_to_longest(assign_batches(placed.drop("_all"), batch_size))
+    """One micro-batch: every source shuffled in its own buffer, interleaved by weight, batched and padded.
+
+    Without ``weights`` each row of the micro-batch is used once, in one shuffled
+    order over all sources. Sources that the micro-batch lacks do not count in
+    the draw. Only keys are shuffled; ids join the finished order, still with one
+    placeholder per image, and are expanded after the last exchange.
+    """
+    keys = encoded.select(source, key)
+    if weights is None:
+        shuffled = seeded_shuffle(keys.withColumn("_all", F.lit(0)), key, seed, "_all", out="pos").drop("_all")
+        plan = shuffled.withColumn("pass", F.lit(0).cast("bigint"))
+    else:
+        here = {r[source] for r in keys.select(source).distinct().limit(len(weights) + 1).collect()}
+        if not here <= set(weights):
+            raise ValueError(f"sources without weight: {here - set(weights)}")
+        ranked = bounded_shuffle(keys, key, buffer, seed, source)
+        plan = interleave(ranked, {k: w for k, w in weights.items() if k in here}, seed, stop, source)
+    placed = assign_batches(batch.attach(plan, encoded, [source, key]), batch_size)
+    padded = pad_to_longest(placed, length=batch.expanded_length(config), ready=batch.expand_ids(config))
+    return padded.drop("n_visual")
 
 
 def batch_stream(
     samples: DataFrame,
     vocab: DataFrame,
-    vocab_rows: int,
     path: str,
     checkpoint: str,
     batch_size: int,
@@ -46,27 +72,33 @@ def batch_stream(
     seed: int = fixed.DEFAULT_SEED,
     trigger: dict | None = None,
     on_epoch: Callable[[DataFrame, int], None] | None = None,
+    weights: dict | None = None,
+    buffer: int | dict = fixed.DEFAULT_SHUFFLE_BUFFER,
+    stop: str = fixed.DEFAULT_STOP,
 ) -> StreamingQuery:
     """Writes ``path/epoch=N``; a micro-batch that is retried overwrites its own folder.
 
     Order and batches are defined inside a micro-batch only; a batch is named by
-    ``(epoch, batch_id)``. The vocabulary is looked up when the stream starts.
+    ``(epoch, batch_id)``. ``weights`` and ``buffer`` (by source) come from the
+    sources' specs, see ``schema.stream_mixture``. ``id`` is unique within a source
+    and micro-batch. The vocabulary is looked up when the stream starts.
     """
 
     def write(frame: DataFrame, epoch: int) -> None:
-        frame.persist()  # read by the bucket counts and by the numbering
-        try:
-            ready = batch_of_epoch(frame, batch_size, seed)
-            if on_epoch is not None:
-                on_epoch(ready, epoch)
-            ready.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        finally:
-            frame.unpersist()
-
-    prepared = batch.prepare(samples, config, expand=False).select("id", "n_visual", "pieces")
+        frame = pin(frame)  # read for the order, for the sources and for the rows
+        if frame.limit(1).count() == 0:
+            return
+        ready = batch_of_epoch(frame, batch_size, seed, weights=weights, buffer=buffer, stop=stop, config=config)
+        if on_epoch is not None:
+            on_epoch(ready, epoch)
+        ready.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    whole = batch.render_prompts(samples, config).withColumn("n_visual", batch.visual_tokens(config))
+    prepared = whole.select(
+        "source_id", "id", F.col("image.ref").alias("ref"), "n_visual", pieces("prompt", config.style).alias("pieces")
+    )
     return (
-        encode_rows(prepared, vocab, vocab_rows)
-        .select("id", batch.expand_ids(config).alias("input_ids"))
+        encode(prepared, vocab)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

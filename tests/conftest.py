@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
+from colloquy.workers import reach_package  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,5 +21,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    reach_package(session)
     yield session
     session.stop()

@@ -152,7 +152,9 @@ def test_interleaved_chat(spark):
 def test_json_one_line(spark):
     import json
 
-    texts = ['{"a":[1,2, {"b" : "x, y: \\" z"}],\n "c":null}', "[]", '{"k":"ü \\\\"}', '"' + "a\\n" * 20000 + '"']
+    texts = ['{"a": 1.50, "b":[1e5,1E-7, -0, -0.0, 123456789012345678901234567890, 0.1, 1e16, 1.5e300, 12345.678e2, 100.0]}']
+    texts += [r'"caf\u00e9 \ud83d\ude00 \/ \u0022 \u005c \u000a \u001f \n"', '{"n": -12.25E+3, "t":true}']
+    texts += ['{"a":[1,2, {"b" : "x, y: \\" z"}],\n "c":null}', "[]", '{"k":"ü \\\\"}', '"' + "a\\n" * 20000 + '"']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(X.json_one_line("t")).collect()]
     assert got == [json.dumps(json.loads(t), ensure_ascii=False) for t in texts]

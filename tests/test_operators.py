@@ -138,28 +138,30 @@ def test_salted_join_with_hot_and_null_keys(spark):
     assert inner.count() == left.where("ref IS NOT NULL").count()
 
 
-def test_encode_ways_agree(spark, monkeypatch):
-    words = ["a", "b", "<image>", "zz", " ", "ü"]
-    rows = [(i, [words[(i * k) % 6] for k in range(i % 9)]) for i in range(300)] + [(300, None)]
-    df = spark.createDataFrame(rows, "sample_id long, pieces array<string>")
-    vocab = E.build_vocab(df, 3)
+def test_encoding_is_lossless(spark):
+    words = ["a", "b", "<image>", "zz", " ", "ü", "😀", ""]
+    rows = [(i, [words[(i * k) % 8] for k in range(i % 9)]) for i in range(300)] + [(300, None)]
+    df = spark.createDataFrame(rows, "sample_id long, pieces array<string>").repartition(3)
+    vocab = E.build_vocab(df, 3).cache()
     table = {r["piece"]: r["token_id"] for r in vocab.collect()}
-    want = {i: None if p is None else [table.get(w, E.UNKNOWN_ID) for w in p] for i, p in rows}
-    by_row = {r[0]: r[1] for r in E.encode_rows(df, vocab, 8).select("sample_id", "input_ids").collect()}
-    assert by_row == want
-    joined = {r[0]: r[1] for r in E.encode(df, vocab, 8).collect()}
-    monkeypatch.setattr(E, "BROADCAST_ROWS", 2)
-    beyond = {r[0]: r[1] for r in E.encode(df, vocab, 8).collect()}
-    assert joined == beyond == {i: ids or [] for i, ids in want.items()}
+    ids = lambda w: [table[w]] if w in table else [E.BYTE_BASE + b for b in w.encode()]
+    want = {i: None if p is None else [x for w in p for x in ids(w)] for i, p in rows}
+    encoded = E.encode(df, vocab)
+    assert {r[0]: r[1] for r in encoded.select("sample_id", "input_ids").collect()} == want
+    back = {r[0]: r[1] for r in E.decode(encoded, vocab).select("sample_id", "text").collect()}
+    assert back == {i: None if p is None else "".join(p) for i, p in rows}
+    everything = E.encode(df, E.build_vocab(df, E.MAX_WORDS))
+    assert everything.where(F.exists("input_ids", lambda x: (x >= E.BYTE_BASE) & (x < fixed.FIRST_RESERVED_ID))).count() == 0
+
+
+def test_vocab_orders_only_what_it_needs(spark):
+    words = [("often",)] * 5 + [("twice",)] * 2 + [(f"w{i:03d}",) for i in range(200)] + [("also",)] * 2
+    df = spark.createDataFrame(words, "w string").select(F.array("w").alias("pieces"))
+    for size, want in ((2, ["often", "also"]), (4, ["often", "also", "twice", "w000"]), (500, None)):
+        got = [r["piece"] for r in E.build_vocab(df, size).where("not special").orderBy("token_id").collect()]
+        assert got == want if want else len(got) == 203
     with pytest.raises(ValueError):
-        E.encode_rows(df, vocab, 8)
-
-
-def test_vocab_refuses_too_many_rows(spark):
-    df = spark.createDataFrame([(1, ["a", "b", "c"])], "sample_id long, pieces array<string>")
-    for encode in (E.encode_rows, E.encode):
-        with pytest.raises(ValueError):
-            encode(df, E.build_vocab(df, 3), 2)
+        E.build_vocab(df, E.MAX_WORDS + 1)
 
 
 def test_pieces_cover_the_text(spark):
@@ -268,16 +270,148 @@ def test_arrays_move_once_to_their_shard(spark, tmp_path):
     rows = [(f"s{i}", ("r", 64 + i, 300) if i % 2 else None, [("human", f"<image> q {i}"), ("gpt", "word " * (1 + i % 5))]) for i in range(60)]
     samples = spark.createDataFrame(rows, SAMPLE).withColumn("source_id", (F.substring("id", 2, 3).cast("int") % 3))
     config = P.PrepareConfig(max_length=700)
-    vocab = E.build_vocab(P.prepare(samples, config, expand=False), 30).cache()
+    vocab = E.build_vocab(E.tokenize(P.render_prompts(samples, config)), 30).cache()
     plan = P.mixed_order(samples, {0: 1.0, 1: 2.0, 2: 1.0}, config)
-    plain = P.training_arrays(samples, plan, vocab, 35, 4, config)
-    sharded = P.training_arrays(samples, plan, vocab, 35, 4, config, rows_per_shard=16)
+    plain = P.training_arrays(samples, plan, vocab, 4, config)
+    sharded = P.training_arrays(samples, plan, vocab, 4, config, rows_per_shard=16)
     assert sorted(map(repr, sharded.drop("shard").collect())) == sorted(map(repr, plain.collect()))
     text = sharded._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(shard") == 1 and "Exchange hashpartitioning(batch_id" not in text
-    write_training_shards(sharded, str(tmp_path / "t"), 16)
+    # Arrays grow after the last exchange only: nothing below one expands or pads.
+    below = text[text.index("Exchange hashpartitioning(shard"):]
+    assert "flatten(" not in below and "array_repeat(" not in below
+    assert {r["ref"] for r in sharded.select("ref").collect()} == {"r", None}
+    write_training_shards(sharded, str(tmp_path / "t"), 16, partitioned=True)
     back = spark.read.parquet(str(tmp_path / "t"))
-    assert back.count() == plan.count()
+    assert back.count() == plan.count()  # every sample here is valid
+    again = back.withColumn("shard", F.lit(7))
+    write_training_shards(again, str(tmp_path / "u"), 8)
+    renewed = spark.read.parquet(str(tmp_path / "u"))
+    assert renewed.where(F.col("shard") != F.floor(F.col("pos") / 8)).count() == 0
     assert back.where(F.col("shard") != F.floor(F.col("pos") / 16)).count() == 0
     masked = back.where(F.col("labels") != K.labels("input_ids", "attention_mask"))
     assert masked.count() == 0
+
+
+def small_samples(spark, rows):
+    from colloquy.schema import SAMPLE
+
+    return spark.createDataFrame(rows, SAMPLE).withColumn("source_id", F.lit(0))
+
+
+def test_current_variant_mixes_first_and_strict_filters_first(spark):
+    from colloquy.plans import prepare as P
+
+    rows = [(f"s{i}", ("r", 64, 64), [("human", "q"), ("gpt", "a" if i % 3 else " ")]) for i in range(20)]
+    samples = small_samples(spark, rows)
+    vocab = E.build_vocab(E.tokenize(P.render_prompts(samples)), 30)
+    for variant, positions in (("current", 20), ("strict", 13)):
+        config = P.PrepareConfig(variant=variant)
+        plan = P.mixed_order(samples, {0: 1.0}, config)
+        assert plan.count() == positions
+        got = P.training_arrays(samples, plan, vocab, 4, config).select("pos", "batch_id", "id").collect()
+        assert len(got) == 13 and all(r["batch_id"] == r["pos"] // 4 for r in got)
+        assert all(int(r["id"][1:]) % 3 for r in got)
+        ranks = B.shard_plan(spark.createDataFrame(got), world=3, length=positions)
+        assert {r["pos"] for r in got} <= {r["pos"] for r in ranks.collect()}
+    gapped = spark.createDataFrame([(0,), (4,), (50,)], "pos long")
+    assert sorted(r["pos"] for r in B.shard_plan(gapped, world=34).collect()) == [0, 4, 50, 51, 55]
+
+
+def test_missing_and_repeated_ids_are_refused_or_keyed(spark):
+    from colloquy.plans import prepare as P
+
+    rows = [(i, None, [("human", f"q{k}"), ("gpt", f"answer {k}")]) for k, i in enumerate(["a", "a", None, "d"])]
+    samples = small_samples(spark, rows)
+    with pytest.raises(ValueError):
+        P.mixed_order(samples, {0: 1.0})
+    keyed = P.keyed(samples)
+    plan = P.mixed_order(keyed, {0: 1.0}, key="row_key")
+    vocab = E.build_vocab(E.tokenize(P.render_prompts(samples)), 100)
+    got = P.training_arrays(keyed, plan, vocab, 2, key=("source_id", "row_key"))
+    assert sorted(r["pos"] for r in got.collect()) == [0, 1, 2, 3]
+    texts = E.decode(got.withColumn("ids", F.slice("input_ids", F.lit(1), F.col("length"))), vocab, "ids").collect()
+    assert sorted(r["text"].split("answer ")[1][0] for r in texts) == ["0", "1", "2", "3"]
+
+
+def test_unnamed_sources_have_the_default_buffer(spark):
+    got = O.bounded_shuffle(keys(spark, {0: 40, 1: 30}), "id", {0: 8}).collect()
+    for source, n in ((0, 40), (1, 30)):
+        assert sorted(r["rank"] for r in got if r["source_id"] == source) == list(range(n))
+
+
+def test_missing_split_column_is_refused(spark, tmp_path):
+    from colloquy.sources.read import read_source
+
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    with pytest.raises(ValueError):
+        read_source(spark, SourceSpec(str(tmp_path / "p"), split="test"))
+    assert read_source(spark, SourceSpec(str(tmp_path / "p"), split_column=None)).count() == 3
+
+
+def test_null_keys_stay_spread(spark):
+    left = spark.range(0, 40_000, 1, 8).select(
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 5000)).alias("ref"), F.col("id").alias("pos")
+    )
+    right = left.where("ref IS NOT NULL").select("ref").distinct().withColumn("content", F.md5("ref"))
+    got = skew.salted_left_join(left, right, "ref", "pos")
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= 2 * sum(sizes) / 8
+
+
+def test_damaged_and_further_image_headers(spark):
+    le = lambda n, k: n.to_bytes(k, "little")
+    rows = [
+        ("wide", bytes.fromhex("89504E470D0A1A0A0000000D49484452FFFFFFFF00000140"), None, 320),
+        ("bmp", b"BM" + b"\0" * 12 + le(40, 4) + le(500, 4) + le(300, 4), 500, 300),
+        ("bmp down", b"BM" + b"\0" * 12 + le(40, 4) + le(500, 4) + (-300).to_bytes(4, "little", signed=True), 500, 300),
+        ("bmp old", b"BM" + b"\0" * 12 + le(12, 4) + le(70, 2) + le(80, 2), 70, 80),
+        ("webp", b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0\0\0\0\x9d\x01\x2a" + le(641, 2) + le(480, 2), 641, 480),
+        ("webp lossless", b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + le((1000 - 1) | (700 - 1) << 14, 4), 1000, 700),
+        ("webp extended", b"RIFF\0\0\0\0WEBPVP8X\0\0\0\0\0\0\0\0" + le(69_999, 3) + le(3, 3), 70_000, 4),
+        ("tiff", b"II*\0" + le(8, 4) + le(3, 2) + le(254, 2) + le(4, 2) + le(1, 4) + le(0, 4)
+         + le(256, 2) + le(3, 2) + le(1, 4) + le(33, 4) + le(257, 2) + le(4, 2) + le(1, 4) + le(70_001, 4), 33, 70_001),
+        ("tiff big-endian", b"MM\0*" + (8).to_bytes(4) + (2).to_bytes(2) + b"\x01\0\0\x03\0\0\0\x01\0\x40\0\0\x01\x01\0\x03\0\0\0\x01\0\x30\0\0", 64, 48),
+        ("tiff cut", b"II*\0" + le(8, 4) + le(3, 2), None, None),
+        ("tiff far", b"II*\0" + le(4_000_000_000, 4), None, None),
+        ("webp cut", b"RIFF\0\0\0\0WEBPVP8 ", None, None),
+    ]
+    df = spark.createDataFrame(rows, "name string, content binary, w int, h int")
+    for r in df.select("*", image_size("content").alias("s")).collect():
+        assert (r["s"]["width"], r["s"]["height"]) == (r["w"], r["h"]), r["name"]
+
+
+def test_image_folder(spark, tmp_path):
+    from colloquy.sources.images import image_decodable, read_images
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A0000000D494844520000028000000140"))
+    (tmp_path / "sub" / "b.png").write_bytes(b"no image")
+    got = image_decodable(read_images(spark, str(tmp_path), "*.png")).collect()
+    assert sorted((r["ref"].rsplit("/", 1)[1], r["decodable"]) for r in got) == [("a.png", True), ("b.png", False)]
+
+
+def test_stray_markers_are_misaligned(spark):
+    from colloquy.operators.quality import reject_reason
+
+    rows = [("a", ("r", 1, 1), [("human", "<ima<image>ge> x"), ("gpt", "y")]), ("b", None, [("human", "<|image_pad|> x"), ("gpt", "y")]),
+            ("c", ("r", 1, 1), [("human", "<image> x"), ("gpt", "y")]), ("d", None, [("system", "<ima<image>ge>"), ("human", "x"), ("gpt", "y")])]
+    samples = small_samples(spark, rows)
+    got = {r[0]: (r[1], r[2]) for r in samples.select("id", reject_reason("current"), reject_reason("current", slot="<|image_pad|>")).collect()}
+    assert got == {"a": ("misaligned", None), "b": (None, "misaligned"), "c": (None, None), "d": (None, None)}
+
+
+def test_unknown_image_size_by_style(spark):
+    from colloquy.plans import prepare as P
+
+    samples = small_samples(spark, [("a", ("r", None, None), [("human", "q"), ("gpt", "y")])])
+    for style, want in (("image_first", 729), ("interleaved", 1)):
+        assert samples.select(P.visual_tokens(P.PrepareConfig(style=style))).first()[0] == want
+
+
+def test_steps_without_loss_have_no_weight(spark):
+    from colloquy.operators.metrics import epoch_metric
+
+    rows = [(0, 0, 0, 4, 1.0), (0, 0, 1, 100, None), (0, 0, 2, 4, 3.0)]
+    got = epoch_metric(spark.createDataFrame(rows, "run int, epoch int, step int, batch_size int, loss double")).first()
+    assert (got["steps"], got["samples"], got["loss"]) == (3, 108, 2.0)

@@ -65,17 +65,41 @@ def test_reject_stream_equals_batch(spark, folder):
 
 
 def test_batch_stream_covers_every_sample_once(spark, folder, tmp_path):
-    prepared = P.prepare(read_mixture(spark, [spec(folder)]))
-    vocab = E.build_vocab(prepared, 50)
+    samples = read_mixture(spark, [spec(folder)])
+    prepared = P.prepare(samples)
+    vocab = E.build_vocab(E.tokenize(P.render_prompts(samples)), 50)
     stream = read_mixture(spark, [spec(folder, streaming=True, options={"maxFilesPerTrigger": "2"})])
     out = str(tmp_path / "rows")
-    drain(W.batch_stream(stream, vocab, 55, out, str(tmp_path / "ck"), 8))
+    drain(W.batch_stream(stream, vocab, out, str(tmp_path / "ck"), 8))
     rows = spark.read.option("basePath", out).parquet(out)
     assert rows.select("epoch").distinct().count() > 1
     assert sorted(r[0] for r in rows.select("id").collect()) == sorted(r[0] for r in prepared.select("id").collect())
     widths = rows.groupBy("epoch", "batch_id").agg(F.countDistinct(F.size("input_ids")).alias("w"), F.count("*").alias("n"))
     assert widths.where("w <> 1 OR n > 8").count() == 0
-    ids = {r[0]: r[1] for r in E.encode_rows(prepared.select("id", "pieces"), vocab, 55).collect()}
+    config = P.PrepareConfig()
+    whole = P.render_prompts(samples).select("id", P.visual_tokens(config).alias("n_visual"), P.tokens.pieces("prompt").alias("pieces"))
+    ids = {r[0]: r[1] for r in E.encode(whole, vocab).select("id", P.expand_ids(config)).collect()}
     assert any(151646 in v for v in ids.values())
     for r in rows.collect():
         assert r["input_ids"][: r["length"]] == ids[r["id"]]
+
+
+def test_weighted_stream_mixes_inside_each_epoch(spark, folder, tmp_path):
+    from colloquy.schema import stream_mixture
+
+    specs = [spec(folder, streaming=True, weight=3.0, source_id="x", options={"maxFilesPerTrigger": "2"}),
+             spec(folder, streaming=True, weight=1.0, source_id="y", options={"maxFilesPerTrigger": "2"})]
+    weights, buffers = stream_mixture(specs)
+    assert weights == {"x": 3.0, "y": 1.0} and buffers == {"x": 10_000, "y": 10_000}
+    samples = read_mixture(spark, [spec(folder)])
+    vocab = E.build_vocab(E.tokenize(P.render_prompts(samples)), 50)
+    out = str(tmp_path / "rows")
+    drain(W.batch_stream(read_mixture(spark, specs), vocab, out, str(tmp_path / "ck"), 4, weights=weights, buffer=buffers))
+    rows = spark.read.option("basePath", out).parquet(out)
+    for epoch in [r[0] for r in rows.select("epoch").distinct().collect()]:
+        mine = rows.where(F.col("epoch") == epoch)
+        n = mine.count()
+        assert sorted(r[0] for r in mine.select("pos").collect()) == list(range(n))
+        first = mine.where("pass = 0").select("source_id", "id")
+        assert first.distinct().count() == first.count()
+        assert mine.groupBy("batch_id").count().where("count > 4").count() == 0
