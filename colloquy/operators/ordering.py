@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from colloquy import fixed
 from colloquy.operators.skew import pin
 
+# At least so many buckets, and no more rows in one than this on average.
 BUCKETS = 4096
+BUCKET_ROWS = 1 << 18
 BLOCK_ROWS = 1 << 18
 _ROW_BITS = 33
 
@@ -63,16 +65,21 @@ def seeded_shuffle(
     key: str,
     seed: int = fixed.DEFAULT_SEED,
     source: str = "source_id",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     out: str = "rank",
 ) -> DataFrame:
     """Full permutation of every source: ``out`` is the 0-based place in its shuffled order.
 
+    The number of buckets grows with the rows, which are counted for it; the
+    order does not depend on it. Give pinned keys where they are dear to compute.
+
     Buckets are leading hash bits, so they are even whatever the source sizes
     are, and a source with most of the rows is numbered by ``buckets`` tasks.
     ``key`` is unique within a source and neither column is NULL;
     ``SourceSpec.row_key`` makes such a key where samples have none.
     """
+    if buckets is None:
+        buckets = max(BUCKETS, -(-df.count() // BUCKET_ROWS))
     md5 = hash_key(seed, source, key)
     keyed = df.withColumn("shuffle_key", md5).withColumn(
         "_bucket", F.shiftright(hash_fraction(F.col("shuffle_key")) * F.lit(buckets), 32)
