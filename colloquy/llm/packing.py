@@ -39,7 +39,7 @@ CAPACITY = 2048
 GROUPS = 96
 #: Pieces above capacity / LARGE are grouped; so many fit in a sequence at most.
 LARGE = 8
-CACHE_WORDS = 3 << 19
+CACHE_WORDS = 3 << 18
 
 
 # White-space words of these characters are unchanged by Unicode normalisation and
