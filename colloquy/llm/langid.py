@@ -4,7 +4,8 @@
   non-letters being one space, hashed to ``DIMENSIONS``.
 - Document frequencies are counted over all training rows.
 - Weights are fitted by follow-the-regularised-leader with an elastic net on a
-  bounded sample: at most ``per_language`` rows of each language, chosen by hash.
+  bounded sample: at most ``per_language`` rows of each language and ``MOST_ROWS``
+  in all, in equal shares, chosen by hash. Only these reach the driver.
   A fifth of the sample is kept back to fit the temperature.
 - Whole texts are used everywhere; long ones go through in slices.
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1 << 15
 SLICE = 1 << 20
 PER_LANGUAGE = 1000
+MOST_ROWS = 8000
 MAX_LANGUAGES = 400
 EPOCHS = 4
 
@@ -169,6 +171,7 @@ def train(
     sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} language labels")
+    per_language = min(per_language, MOST_ROWS // max(1, len(sizes)))
     df, n = _document_frequencies(rows.select("_text"))
     if not n:
         return None
