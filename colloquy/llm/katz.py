@@ -6,7 +6,7 @@ Model over the words seen in training, one end token per text and one unknown wo
              = alpha(v) P(w)            elsewhere
     P(w)     = d_c c(w) / N, or what is left for the unknown word
 
-``d_c`` is Katz's discount for counts up to ``k`` and 1 above. ``alpha(v)`` makes
+``d_c`` is Katz's discount for counts up to ``k``, by smoothed counts of counts, and 1 above. ``alpha(v)`` makes
 the sum over all words one; ``den(v)`` is the count of ``v``, plus one where the
 discounts leave nothing to back off to. A text's first word follows a start mark.
 The order is two: counting trigrams as well would not fit the disk that the
@@ -28,6 +28,7 @@ documents like any other; without training rows every token is unknown.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +45,8 @@ CHUNK_TOKENS = 1 << 21
 BUCKET_WORDS = 1 << 20
 DISCOUNTED = 5
 MIN_COUNT = 2
+#: Slope of the counts of counts where one alone is known.
+ZIPF = -2.0
 END = b"\n"  # white space, so no word
 START = -2
 UNKNOWN = -1
@@ -294,14 +297,27 @@ def _bigram_table(answers: DataFrame) -> DataFrame:
 
 
 def discounts(n: dict[int, int], k: int) -> list[float]:
-    """Katz's ``d_1 .. d_k`` from counts of counts; all 1 where Good-Turing gives no discount within (0, 1]."""
-    if all(n.get(r, 0) for r in range(1, k + 2)):
-        tail = (k + 1) * n[k + 1] / n[1]
-        if tail < 1:
-            d = [((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) for r in range(1, k + 1)]
-            if all(0 < x <= 1 for x in d):
-                return d
-    return [1.0] * k
+    """Katz's ``d_1 .. d_k`` from counts of counts, smoothed by a line through their logarithms.
+
+    The line is that of simple Good-Turing, fitted to what ``n`` has for ``1 .. k + 1``: a
+    count without n-grams is left out, and its neighbours stand for the gap. On a line Katz's
+    formula gives ``0 < d_1 < .. < d_k < 1`` whatever its slope. One count of counts
+    has no slope and takes ``ZIPF``. All 1 without any, and for ``k`` below 2.
+    """
+    seen = [r for r in range(1, k + 2) if n.get(r, 0)]
+    if not seen or k < 2:
+        return [1.0] * k
+    slope = ZIPF
+    if len(seen) > 1:
+        gaps = [t - q for q, t in zip([0, *seen], [*seen[1:], 2 * seen[-1] - seen[-2]])]
+        x, y = np.log(seen), np.log([2 * n[r] / gap for r, gap in zip(seen, gaps)])
+        slope = float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+    # On the line r* / r is (1 + 1/r) ** (slope + 1), and the tail is (k + 1) ** (slope + 1).
+    e = slope + 1
+    if abs(e) < 1e-9:
+        return [1 - math.log1p(1 / r) / math.log(k + 1) for r in range(1, k + 1)]
+    tail = math.expm1(e * math.log(k + 1))
+    return [1 - math.expm1(e * math.log1p(1 / r)) / tail for r in range(1, k + 1)]
 
 
 @dataclass

@@ -5,6 +5,7 @@ import os
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,35 @@ def test_no_training_rows_and_empty_table(spark):
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.score) for r in got.collect()) == [(1, 3, 0, 0.0), (2, 1, 0, 0.0)]
     got, _ = K.katz_scores(df.limit(0), F.lit(True))
     assert got.collect() == []
+
+
+def good_turing(n, k):
+    """Katz's formula on counts of counts that a fitted power law gives; no gaps in ``n``."""
+    slope, level = np.polyfit(np.log(range(1, k + 2)), np.log([n[r] for r in range(1, k + 2)]), 1)
+    s = {r: math.exp(level) * r**slope for r in n}
+    tail = (k + 1) * s[k + 1] / s[1]
+    return [((r + 1) * s[r + 1] / s[r] / r - tail) / (1 - tail) for r in range(1, k + 1)]
+
+
+@pytest.mark.parametrize(
+    "n",
+    [
+        [15748, 3158, 906, 461, 318, 181],  # plain
+        [200420, 57120, 23804, 13644, 12859, 6775],  # more words used five times than four times would give
+        [1000, 400, 200, 80, 150, 60],  # n_4 < n_5
+        [10, 20, 40, 80, 160, 320],  # rising
+    ],
+)
+def test_discounts_hold_at_any_counts_of_counts(n):
+    n = dict(enumerate(n, 1))
+    d = K.discounts(n, 5)
+    assert d == pytest.approx(good_turing(n, 5), rel=1e-9)
+    assert all(0 < x < 1 for x in d) and d == sorted(d)
+
+
+def test_discounts_with_gaps_and_little_to_go_by():
+    full, doubled = K.discounts({1: 900, 2: 300, 3: 100}, 5), K.discounts({2: 900, 4: 300, 6: 100}, 5)
+    for d in (full, doubled, K.discounts({3: 7}, 5), K.discounts({1: 6, 2: 3, 3: 2}, 2), K.discounts({1: 60, 2: 30, 3: 20}, 2)):
+        assert all(0 < x < 1 for x in d) and d == sorted(d)
+    assert K.discounts({1: 60, 2: 30, 3: 20}, 2) == pytest.approx([1 - math.log(2) / math.log(3), 1 - math.log(1.5) / math.log(3)])
+    assert K.discounts({}, 5) == K.discounts({9: 4}, 5) == [1.0] * 5
