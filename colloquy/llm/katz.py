@@ -218,7 +218,7 @@ class _Chunk:
         return out
 
     def bigrams(self, buckets: int):
-        """Distinct bigrams of known words: left and right ids, training counts, order by bucket, and inverse."""
+        """Distinct bigrams of known words: left and right ids, training counts, order by bucket, inverse, and uses of the right word."""
         left = np.where(self.before < 0, START, self.gid[self.before])
         known = (left != UNKNOWN) & (self.gid[self.tokens] != UNKNOWN)
         local = (self.before[known] + 1) << 32 | self.tokens[known]
@@ -226,10 +226,11 @@ class _Chunk:
         counts = np.bincount(inverse[self.train[known]], minlength=len(pairs)).astype(np.int64)
         first = (pairs >> 32) - 1
         left = np.where(first < 0, START, self.gid[first])
-        right = self.gid[pairs & 0xFFFFFFFF]
+        last = pairs & 0xFFFFFFFF
+        right = self.gid[last]
         mixed = (left * np.int64(-7046029254386353131) + right) * np.int64(-4417276706812531889)
         bucket = ((mixed.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        return left, right, counts, bucket, np.lexsort((right, left, bucket)), known, inverse, first
+        return left, right, counts, bucket, np.lexsort((right, left, bucket)), known, inverse, first, self.uses[last]
 
 
 def _bigram_requests(table: DataFrame, answers: DataFrame, word_buckets: int, buckets: int) -> DataFrame:
@@ -237,22 +238,26 @@ def _bigram_requests(table: DataFrame, answers: DataFrame, word_buckets: int, bu
         out = []
         for row in left.to_pylist():
             chunk = _Chunk(row, right.to_pylist(), word_buckets)
-            v, w, n, bucket, order, *_ = chunk.bigrams(buckets)
+            v, w, n, bucket, order, *_, u = chunk.bigrams(buckets)
             for b, at in _split(bucket, order):
                 shift = np.diff(v[at], prepend=0)
-                out.append((row["p"], b, _zip(shift), _zip(w[at]), _zip(n[at].astype(np.uint32))))
-        names = ["p", "bucket", "v", "w", "n"]
-        arrays, names = _rows(out, [pa.int64(), pa.int64()] + [pa.binary()] * 3, names)
+                out.append((row["p"], b, _zip(shift), _zip(w[at]), _zip(n[at].astype(np.uint32)), _zip(u[at])))
+        names = ["p", "bucket", "v", "w", "n", "u"]
+        arrays, names = _rows(out, [pa.int64(), pa.int64()] + [pa.binary()] * 4, names)
         return pa.Table.from_arrays(arrays, names=names)
 
     asked = answers.where("kind = 1")
     return (
-        table.groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(run, "p bigint, bucket bigint, v binary, w binary, n binary")
+        table.groupBy("p")
+        .cogroup(asked.groupBy("p"))
+        .applyInArrow(run, "p bigint, bucket bigint, v binary, w binary, n binary, u binary")
     )
 
 
 def _count_bigrams(requests: DataFrame, min_count: int, k: int) -> DataFrame:
-    """Kind 2: kept bigrams of a request by place, and counts. ``p`` NULL: 4 left and right ids, 5 counts, 6 counts of counts."""
+    """Kind 2: kept bigrams of a request by place, and counts. ``p`` NULL: 4 left and right ids,
+    5 counts and uses of the right word, 6 counts of counts.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("p").to_pylist()
@@ -261,6 +266,7 @@ def _count_bigrams(requests: DataFrame, min_count: int, k: int) -> DataFrame:
         sizes = [len(x) for x in w]
         w = np.concatenate(w)
         n = np.concatenate([_unzip(r["n"], np.uint32) for r in rows]).astype(np.int64)
+        u = np.concatenate([_unzip(r["u"], np.int64) for r in rows])
         order = np.lexsort((w, v))
         new = np.r_[True, (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])]
         place = np.empty(len(order), np.int64)
@@ -272,7 +278,7 @@ def _count_bigrams(requests: DataFrame, min_count: int, k: int) -> DataFrame:
         bucket = rows[0]["bucket"]
         out = [
             (None, 4, bucket, _zip(v[first][kept]), _zip(w[first][kept])),
-            (None, 5, bucket, _zip(total[kept]), b""),
+            (None, 5, bucket, _zip(total[kept]), _zip(u[first][kept])),
             (None, 6, bucket, _zip(low.astype(np.int64)), b""),
         ]
         at = 0
@@ -338,12 +344,6 @@ class Katz:
     def unknown(self) -> float:
         return 1 - self.seen_mass * self.scale
 
-    def word_column(self, uses: str) -> Column:
-        d = F.lit(1.0)
-        for r, x in enumerate(self.word_discounts, 1):
-            d = F.when(F.col(uses) == r, x).otherwise(d)
-        return d * F.col(uses) / float(max(self.tokens, 1)) * self.scale
-
 
 def _discounted(uses: np.ndarray, d: list[float]) -> np.ndarray:
     out = uses.astype(float)
@@ -352,21 +352,23 @@ def _discounted(uses: np.ndarray, d: list[float]) -> np.ndarray:
     return out
 
 
-def _bigram_discount(uses: str, d: list[float]) -> Column:
-    out = F.lit(1.0)
-    for r, x in enumerate(d, 1):
-        out = F.when(F.col(uses) == r, x).otherwise(out)
-    return out
+def _weights(model: Katz, counted: DataFrame, texts: int) -> DataFrame:
+    """``(left, alpha, den)`` of every context with a kept bigram.
 
+    A bucket adds up its bigrams by context before anything moves.
+    """
+    d, d2, share = model.word_discounts, model.bigram_discounts, model.scale / max(model.tokens, 1)
 
-def _weights(model: Katz, texts: int) -> DataFrame:
-    """``(left, alpha, den)`` of every context with a kept bigram."""
-    lower = model.words.select(F.col("word").alias("right"), model.word_column("uses").alias("low"))
-    sums = (
-        model.bigrams.join(lower, "right")
-        .groupBy("left")
-        .agg(F.sum("low").alias("low"), F.sum(_bigram_discount("uses", model.bigram_discounts) * F.col("uses")).alias("mass"))
-    )
+    def run(table: pa.Table) -> pa.Table:
+        by = {r["kind"]: r for r in table.to_pylist()}
+        v, place = np.unique(_unzip(by[4]["first"], np.int64), return_inverse=True)
+        low = _discounted(_unzip(by[5]["second"], np.int64), d) * share
+        mass = _discounted(_unzip(by[5]["first"], np.int64), d2)
+        sums = [np.bincount(place, x, len(v)) for x in (low, mass)]
+        return pa.table({"left": v, "low": sums[0], "mass": sums[1]})
+
+    parts = counted.where("kind in (4, 5)").groupBy("bucket").applyInArrow(run, "left bigint, low double, mass double")
+    sums = parts.groupBy("left").agg(F.sum("low").alias("low"), F.sum("mass").alias("mass"))
     start = model.words.sparkSession.range(1).select(F.lit(START).cast("bigint").alias("left"), F.lit(texts).cast("bigint").alias("n"))
     contexts = model.words.select(F.col("word").alias("left"), F.col("uses").alias("n")).unionByName(start)
     den = F.when(F.col("n") - F.col("mass") > 1e-9 * F.col("n"), F.col("n")).otherwise(F.col("n") + 1).cast("double")
@@ -431,14 +433,14 @@ def katz_scores(
     scale = 1.0 if mass < 1 - 1e-12 else total / (total + 1)
 
     counted = stored(_count_bigrams(_bigram_requests(table, answers, word_buckets, buckets), min_count, k), "katz-bigrams")
-    bigrams = stored(_bigram_table(counted), "katz-bigram-table")
+    bigrams = _bigram_table(counted)
     low2 = np.zeros(k + 2, np.int64)
     for (blob,) in counted.where("kind = 6").select("first").toLocalIterator():
         low2 += _unzip(bytes(blob), np.int64)
     model = Katz(
         words, bigrams, words, total, vocabulary, d, discounts(dict(enumerate(low2.tolist())), k), mass, scale
     )
-    model.backoff = stored(_weights(model, texts), "katz-backoff")
+    model.backoff = stored(_weights(model, counted, texts), "katz-backoff")
     start = model.backoff.where(F.col("left") == START).first()
     alpha_start, den_start = (start["alpha"], start["den"]) if start else (1.0, 0.0)
     weights = _weight_answers(model.backoff, answers)
@@ -455,7 +457,7 @@ def katz_scores(
             p[chunk.uses == 0] = unknown
             log_p, log_alpha = np.log10(p), np.log10(alpha)
             scores = log_p[chunk.tokens] + np.where(chunk.before < 0, np.log10(alpha_start), log_alpha[chunk.before])
-            _, _, counts, bucket, order, known, inverse, first = chunk.bigrams(buckets)
+            _, _, counts, bucket, order, known, inverse, first, _ = chunk.bigrams(buckets)
             kept = np.zeros(len(counts), np.int64)
             for a in replies:
                 if a["kind"] == 2:

@@ -73,7 +73,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, _ = katz.katz_scores(table(spark, sf_dir, "documents"), ~_held_out(5))
+    scores, _ = katz.katz_scores(table(spark, sf_dir, "documents"), ~_held_out(5), min_count=1)
     return scores.withColumn("held_out", ~F.col("learned")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.llm import katz as K
+from colloquy.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,6 +88,18 @@ def test_given_documents_in_small_chunks(spark):
     check(spark, rows, fold, fold_column(), chunk_tokens=3000, bucket_words=2000)
 
 
+def test_query_scores_bigrams_seen_once(spark, tmp_path):
+    seen = [(i, f"a{i} b{i} a{i} c a{i} b{i + 1}") for i in range(40)]
+    rows = [*seen, *((100 + i, f"a{i} b{i + 1} c") for i in range(40)), (900, "a1 c a1"), (901, "b1 b2 new")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.score) for r in queries.op7_katz(spark, str(tmp_path)).collect())
+    want = sorted((r[0], r[6]) for r in brute(rows, fold, min_count=1))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
+    assert want != sorted((r[0], r[6]) for r in brute(rows, fold))  # the cut would show
+
+
 def test_few_rows(spark):
     check(spark, [(1, "a b a b c"), (2, "a b a b a b d"), (3, "e")], lambda d: d < 3, F.col("doc_id") < 3)
     check(spark, [(1, "a a a a"), (2, None)], lambda d: True, F.lit(True))
