@@ -13,7 +13,9 @@ rows adds one partial row per task. Half-sample limits are ``percentile_approx``
 with an accuracy of 1/10000.
 
 ``FLOORS`` are least standard deviations: where most documents agree exactly, as on
-having no symbols, plain estimates would make any other value an outlier.
+having no symbols, plain estimates would make any other value an outlier. So that each
+statistic can reject by itself, repeated words count against the rest up to what the base
+rule lets pass, and repeated lines against the different ones.
 
 Rows: a NULL text has no words and fails the base rules. A NULL language or source
 is a value of its own. Groups under ``MIN_GROUP`` documents are pooled by language, then
@@ -40,7 +42,7 @@ REWEIGHT = 0.975
 REJECT = 1e-6
 STEPS = 5
 BROADCAST_GROUPS = 20_000
-#: Word length (log), symbols, capitals, repeated words and repeated lines (roots of shares).
+#: Word length (log), symbols and capitals (roots of shares), repeated words and repeated lines (roots of odds).
 FLOORS = (0.08, 0.03, 0.05, 0.2, 0.2)
 P = len(FLOORS)
 X = [f"x{i}" for i in range(P)]
@@ -109,13 +111,15 @@ def base_failed() -> Column:
 
 
 def vector() -> dict[str, Column]:
+    """Repeated words and lines are odds, not shares: like the share while small, without bound near the most that passes."""
+    limit = MAX_REPEAT_PERCENT / 100
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
     return {
         "x0": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))),
         "x1": share("n_symbols", "word_chars"),
         "x2": share("n_capitals", "word_chars"),
-        "x3": share("n_repeat_words", "n_words"),
-        "x4": share("n_dup_lines", "n_lines"),
+        "x3": F.sqrt(limit * F.col("n_repeat_words") / (F.greatest(limit * F.col("n_words") - F.col("n_repeat_words"), F.lit(0)) + 1)),
+        "x4": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines") - F.col("n_dup_lines"), F.lit(1))),
     }
 
 

@@ -137,6 +137,22 @@ def test_quality_statistics_and_outliers(spark):
     assert quality_rules.verdicts(docs.limit(0)).collect() == []
 
 
+def test_repeats_alone_reject(spark):
+    r = random.Random(5)
+    pool = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(40)]
+    some = lambda n: [r.choice(pool) for _ in range(n)]
+    lined = lambda w: "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
+    rows = [(i, lined(some(400))) for i in range(150)]
+    again = some(90)
+    rows += [(1000, "\n".join(some(400))), (1001, lined([*again, *some(111), *again, *some(109)]))]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality_rules.verdicts(docs).collect()}
+    lines, words = got[1000], got[1001]
+    assert lines.n_dup_lines == 360 and lines.n_repeat_words < 40 and words.n_dup_lines == 0 and 180 <= words.n_repeat_words < 200
+    assert not lines.base_failed and not words.base_failed
+    assert [i for i in sorted(got) if not got[i].kept] == [1000, 1001]
+
+
 def test_mcd_against_exact_concentration(spark):
     r = np.random.default_rng(0)
     clean = r.normal(size=(400, quality_rules.P)) @ np.diag([0.5, 1, 2, 1, 0.7])
