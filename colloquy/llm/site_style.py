@@ -9,7 +9,7 @@ elements (with their classes and ids) down to it. Over a host's pages
   it, of log(pages with that text) / log(pages with the node),
 
 and a branch is as important as the most important node in it. Branches below
-``threshold`` on hosts with enough pages are removed from each page. Two priors
+``threshold`` on hosts with enough pages, copies counted once, are removed from each page. Two priors
 hold for every page, also on hosts with few: elements that are navigation, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or comments by tag, class, id or
 role have no importance, and where a page marks its article, plain elements in it have
@@ -101,13 +101,15 @@ class _Element:
         )
         self.main = starts_main or (parent is not None and parent.main)
         self.children = []
+        # What a marked article lies in does not decide on it.
+        opens_main = starts_main and not (parent is not None and parent.main)
+        self.prunable = parent.prunable if parent is not None and not opens_main else ()
         if parent is not None and len(parent.path) >= MAX_DEPTH:
-            self.node, self.path, self.prunable = parent.node, parent.path, parent.prunable
+            self.node, self.path = parent.node, parent.path
             return
         above = parent.node if parent is not None else 0
         self.node = xxhash.xxh64_intdigest(f"{above} {tag} {style}") >> 1
         self.path = ((*parent.path, self.node) if parent is not None else (self.node,))
-        self.prunable = parent.prunable if parent is not None else ()
         if tag not in ("html", "body") and not starts_main and (style or not self.main):
             self.prunable = (*self.prunable, self.node)
 
@@ -215,24 +217,44 @@ def _features(page: Page):
     return out
 
 
-def style_nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(host, node, kind, feature, n)``: the merged style trees; ``n`` counts pages."""
+def _copies(pages: DataFrame, url: str, html: str, broadcast_groups: int) -> DataFrame:
+    """``(_url, _html, _copies)`` per page: how often its host has its content."""
+    rows = pages.select(
+        F.col(url).alias("_url"), F.col(html).alias("_html"),
+        F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), f"^{_HOST.pattern}", 1)).alias("_site"),
+        F.xxhash64(html).alias("_content"),
+    )
+    same = rows.groupBy("_site", "_content").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    same = stored(same, "copies")
+    if same.count() <= broadcast_groups:
+        same = F.broadcast(same)
+    return rows.join(same, ["_site", "_content"], "left").select("_url", "_html", F.coalesce("_copies", F.lit(1)).alias("_copies"))
+
+
+def style_nodes(
+    pages: DataFrame, url: str = "url", html: str = "html", broadcast_groups: int = BROADCAST_NODES
+) -> DataFrame:
+    """``(host, node, kind, feature, n)``: the merged style trees; ``n`` counts distinct contents of pages.
+
+    Each of a content's ``c`` copies on a host counts ``1 / c``, so no page has to move.
+    """
 
     def run(batches):
         for batch in batches:
             seen: Counter = Counter()
-            for u, source in zip(*(c.to_pylist() for c in batch.columns)):
+            for u, source, copies in zip(*(c.to_pylist() for c in batch.columns)):
                 host = xxhash.xxh64_intdigest(host_of(u)) >> 1
-                seen.update((host, *f) for f in _features(parse(source)))
+                for f in _features(parse(source)):
+                    seen[(host, *f)] += 1 / copies
             columns = zip(*((*k, n) for k, n in seen.items())) if seen else ((),) * 5
             names = ["host", "node", "kind", "feature", "n"]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    rows = pages.select(F.col(url).alias("_url"), F.col(html).alias("_html")).mapInArrow(
-        run, "host bigint, node bigint, kind int, feature bigint, n bigint"
+    rows = _copies(pages, url, html, broadcast_groups).mapInArrow(
+        run, "host bigint, node bigint, kind int, feature bigint, n double"
     )
-    return rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+    return rows.groupBy("host", "node", "kind", "feature").agg(F.round(F.sum("n")).cast("bigint").alias("n"))
 
 
 def removed_branches(nodes: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -273,7 +295,7 @@ def extract(
 ) -> DataFrame:
     """``(key, url, text)`` per row of ``pages``: its main text, one block a line."""
     kind = pages.schema[key].dataType.simpleString()
-    removed = stored(removed_branches(style_nodes(pages, url, html), threshold, min_pages), "branches")
+    removed = stored(removed_branches(style_nodes(pages, url, html, broadcast_nodes), threshold, min_pages), "branches")
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"))
     few = removed.count() <= broadcast_nodes
     if few:

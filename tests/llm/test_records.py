@@ -160,6 +160,20 @@ def test_extraction_rules():
     assert text(None) == text("") == text("<script>x") == "" and text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_copies_of_a_page_are_one_page_of_its_host(spark):
+    plain = page("<div class=x1><p>same words</p></div>")
+    wrapped = page("<div id=page><article><p>the article</p></article></div>")
+    rows = [(k, "http://plain.example/", plain) for k in range(7)] + [(10 + k, "http://marked.example/", wrapped) for k in range(7)]
+    rows += [(20 + k, "http://two.example/", page(f"<div class=x1><p>text {k % 2}</p></div>")) for k in range(40)]
+    # Distinct pages around one article: the wrapper is alike on all, the article stays.
+    rows += [(100 + k, "http://own.example/", wrapped + " " * k) for k in range(7)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {i: "same words" if i < 10 else f"text {i % 2}" if 20 <= i < 100 else "the article" for i, *_ in rows}
+    for limit in (10**6, 0):  # by broadcast, and by join
+        assert {x.page_id: x.text for x in site_style.extract(df, broadcast_nodes=limit).collect()} == want
+    assert {(r.kind, r.n) for r in site_style.style_nodes(df.where("page_id < 7")).collect()} == {(0, 1), (1, 1), (2, 1), (3, 1)}
+
+
 def test_site_styles_remove_what_a_host_repeats(spark):
     rows = []
     for k in range(12):
