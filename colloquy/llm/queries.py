@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, hyperminhash, katz, langid, packing, qgram_filter, quality_rules, secret_scan, site_style, warc
+from colloquy.llm import (
+    chat,
+    hyperminhash,
+    katz,
+    langid,
+    packing,
+    qgram_filter,
+    quality_rules,
+    resampling,
+    secret_scan,
+    site_style,
+    toxicity,
+    warc,
+    whitening,
+)
 from colloquy.llm.common import shared_folder, table
 
 
@@ -61,10 +75,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), encode)
 
 
-def _held_out(folds: int):
+def _held_out(folds: int, at: int = 1):
     """Whether a document's id is in the held-out fold; a NULL id is not."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    return F.coalesce(fold == 1, F.lit(False))
+    return F.coalesce(fold == at, F.lit(False))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +100,24 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(3).alias("held_out"), "lang_pred", "score")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~_held_out(4, 2))
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_chat_windows": op2_chat_windows,
@@ -97,4 +129,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_main_text": op9_main_text,
     "op10_warc": op10_warc,
+    "op11_toxicity": op11_toxicity,
+    "op12_resample": op12_resample,
+    "op13_whitening": op13_whitening,
 }
