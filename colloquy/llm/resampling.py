@@ -6,8 +6,8 @@ it; a document's weight is the floored mean gain of its features; its score adds
 seeded Gumbel noise, so that the highest scores are a draw without replacement in
 proportion to the weights' exponentials.
 
-How it runs. Buckets are counted by one map-side combined aggregate, whatever the
-number of texts, and their gains (one array of as many entries as there are buckets)
+How it runs. Each partition counts its buckets in one array, whatever the
+number of texts; these arrays are added up, and the gains (one array of as many entries as there are buckets)
 are put to every feature of a document's array of buckets. The draw is a distributed quickselect: random rows still in
 question give pivot keys, one aggregate counts exactly how many rows lie above and
 on each, and the range between the two pivots around the k-th key is all that is
@@ -29,6 +29,8 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,10 +71,18 @@ def _featured(table: DataFrame, keep: dict[str, Column], text: str, buckets: int
 
 def bucket_counts(table: DataFrame, text: str = "text", buckets: int = BUCKETS) -> list[int]:
     """Features of all texts by bucket; at most ``buckets`` rows come to the driver."""
-    at = _featured(table, {}, text, buckets).select(F.explode("_at").alias("at"))
+
+    def run(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("_at").flatten().to_numpy(zero_copy_only=False), minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    counted = _featured(table, {}, text, buckets).select("_at").mapInArrow(run, "at bigint, n bigint")
     out = [0] * buckets
-    for r in at.groupBy("at").count().collect():
-        out[r["at"]] = r["count"]
+    for r in counted.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
     return out
 
 
