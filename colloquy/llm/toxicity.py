@@ -19,7 +19,9 @@ shared one, so rare expressions say nothing about the class. A text of
     peak    the largest of them
 
 and a logistic function of these three, weighted to the classes' shares, gives the
-score. ``D1`` and ``D2`` are those of the lowest log loss on texts that were not counted.
+score. It is fitted to texts that were not counted: each of ``FOLDS`` parts of the sample gets
+its features from the counts of the others, and ``D1`` and ``D2`` are those of the lowest log loss.
+With a single text of a class its features come from all counts.
 
 Sample. Only the fit is bounded: for each class, the distinct texts of lowest hash
 whose characters and number stay within ``sample_chars`` and ``sample_texts``.
@@ -46,8 +48,7 @@ from colloquy.llm.common import stored
 
 SAMPLE_CHARS = 6_000_000
 SAMPLE_TEXTS = 20_000
-#: Texts of which the hash leaves this remainder by ``FOLDS`` calibrate and are not counted.
-FOLDS, CALIBRATES = 5, 0
+FOLDS = 5
 WORD_DISCOUNTS = (0.75, 2.0, 4.0, 8.0, 16.0)
 PAIR_DISCOUNTS = (16.0, 64.0, 256.0)
 SHARED_DISCOUNT = 0.7
@@ -55,7 +56,6 @@ RIDGE = 1.0
 SLICE = 1 << 20
 #: Places of the cut's histogram in each class; the cut lies below twice the expected share.
 PLACES = 256
-FEW = 10
 _START = 0
 _words = re.compile(r"[^\W_]+").findall
 
@@ -90,13 +90,7 @@ class Model:
     def ratios(self, ids: np.ndarray) -> np.ndarray:
         """log P_toxic - log P_ordinary of every id but the first, which is only a context."""
         v, w = ids[:-1], ids[1:]
-        pair = np.where((v >= 0) & (w >= 0), v * len(self.rest[0]) + w, -1)
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        seen = self.pairs[at] == pair
-        ordinary, toxic = (
-            np.where(seen, self.joint[c][at], 0) + self.rest[c][v] * self.single[c][w] for c in (0, 1)
-        )
-        return np.log(toxic) - np.log(ordinary)
+        return log_ratio(self.single, self.rest, self.joint, v, w, *find_pairs(self.pairs, len(self.rest[0]), v, w))
 
     def features(self, text: str | None) -> np.ndarray | None:
         """Mean, excess and peak; None without words."""
@@ -114,11 +108,23 @@ class Model:
         return self.share if x is None else float(_sigmoid(np.append(x, 1.0) @ self.weights))
 
 
+def find_pairs(pairs: np.ndarray, size: int, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of (v, w) in the sorted ``pairs``, and whether they are there."""
+    pair = np.where((v >= 0) & (w >= 0), v * size + w, -1)
+    at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+    return at, pairs[at] == pair
+
+
+def log_ratio(single, rest, joint, v, w, at, seen) -> np.ndarray:
+    ordinary, toxic = (np.where(seen, joint[c][at], 0) + rest[c][v] * single[c][w] for c in (0, 1))
+    return np.log(toxic) - np.log(ordinary)
+
+
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _count(texts: list[str], words: dict[str, int]) -> list[np.ndarray]:
+def encode(texts: list[str], words: dict[str, int]) -> list[np.ndarray]:
     """Ids of each text, with the start mark first; new words get the next id."""
     out = []
     for text in texts:
@@ -130,17 +136,15 @@ def _count(texts: list[str], words: dict[str, int]) -> list[np.ndarray]:
 
 
 class Counts:
-    """Dispersion counts of both classes, from which models of any discounts are made."""
-
-    def __init__(self, texts: tuple[list[str], list[str]]):
-        self.words: dict[str, int] = {}
-        ids = [_count(t, self.words) for t in texts]
-        self.size = len(self.words) + 1  # ids from the start mark on
-        none = [np.zeros(0, np.int64)]
-        pairs = [np.concatenate([np.unique(a[:-1] * self.size + a[1:]) for a in of] or none) for of in ids]
-        self.texts_of = [
-            np.bincount(np.concatenate([np.unique(a[1:]) for a in of] or none), minlength=self.size) for of in ids
-        ]
+    """Dispersion counts of both classes, from which models of any discounts are made.
+
+    ``size`` ids are known in all; those that no counted text holds are as unknown as any other word.
+    """
+
+    def __init__(self, ids: tuple[list[np.ndarray], list[np.ndarray]], size: int):
+        self.size, none = size, [np.zeros(0, np.int64)]
+        pairs = [np.concatenate([np.unique(a[:-1] * size + a[1:]) for a in of] or none) for of in ids]
+        self.texts_of = [np.bincount(np.concatenate([np.unique(a[1:]) for a in of] or none), minlength=size) for of in ids]
         self.pairs = np.unique(np.concatenate(pairs))
         self.uses = [np.bincount(np.searchsorted(self.pairs, p), minlength=len(self.pairs)) for p in pairs]
 
@@ -149,7 +153,7 @@ class Counts:
         k = self.texts_of[0] + self.texts_of[1]
         rest = SHARED_DISCOUNT * (k > 0).sum() / k.sum()
         even = rest / ((k > 0).sum() + 1)
-        return np.append(np.maximum(k - SHARED_DISCOUNT, 0) / k.sum() + np.where(k > 0, even, 0), even)
+        return np.append(np.maximum(k - SHARED_DISCOUNT, 0) / k.sum() + even, even)
 
     def single(self, c: int, discount: float) -> np.ndarray:
         k, shared = self.texts_of[c], self.shared()
@@ -163,17 +167,33 @@ class Counts:
         rest = np.where(total > 0, left / np.maximum(total, 1), 1.0)
         return np.append(rest, 1.0), np.maximum(n - discount, 0) / np.maximum(total, 1)[v]
 
-    def model(self, share: float, word_discount: float, pair_discount: float) -> Model:
+    def model(self, words: dict[str, int], share: float, word_discount: float, pair_discount: float) -> Model:
         pairs = [self.pair(c, pair_discount) for c in (0, 1)]
         # A pair that no class keeps falls back like one that was never seen.
         kept = (pairs[0][1] > 0) | (pairs[1][1] > 0)
         kept[:1] = True
         v, w = self.pairs[kept] // self.size, self.pairs[kept] % self.size
         return Model(
-            share, self.words, v * (self.size + 1) + w, [self.single(c, word_discount) for c in (0, 1)],
+            share, words, v * (self.size + 1) + w, [self.single(c, word_discount) for c in (0, 1)],
             [rest for rest, _ in pairs], [joint[kept] for _, joint in pairs],
         )
 
+    def features(self, ids: list[np.ndarray]) -> dict[tuple[float, float], np.ndarray]:
+        """Mean, excess and peak of texts by every pair of discounts."""
+        v, w = np.concatenate([a[:-1] for a in ids]), np.concatenate([a[1:] for a in ids])
+        at, seen = find_pairs(self.pairs, self.size, v, w)
+        n = np.array([len(a) - 1 for a in ids])
+        starts = np.cumsum(n) - n
+        singles = {d: [self.single(c, d) for c in (0, 1)] for d in WORD_DISCOUNTS}
+        out = {}
+        for e in PAIR_DISCOUNTS:
+            rest, joint = zip(*(self.pair(c, e) for c in (0, 1)))
+            for d, single in singles.items():
+                r = log_ratio(single, rest, joint, v, w, at, seen)
+                excess = np.add.reduceat(np.maximum(r - 1, 0), starts) / np.sqrt(n)
+                out[d, e] = np.column_stack([np.add.reduceat(r, starts) / n, excess, np.maximum.reduceat(r, starts)])
+        return out
+
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Newton steps with a ridge on standardised columns; the weights and the log loss."""
@@ -191,26 +211,29 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 
 def fit(sample: list[tuple[int, int, str]], sizes: tuple[int, int]) -> Model:
-    """From ``(hash, class, text)``; ``sizes`` are the numbers of labelled texts of each class."""
-    share = sizes[1] / max(1, sum(sizes))
-    sample = [s for s in sample if any(words for words in slices(s[2]))]
-    back = [s for s in sample if s[0] % FOLDS == CALIBRATES]
-    counted = [s for s in sample if s[0] % FOLDS != CALIBRATES]
-    of = lambda rows, c: [t for _, k, t in rows if k == c]
-    if any(len(of(rows, c)) < FEW for rows in (back, counted) for c in (0, 1)):
-        back = counted = sample  # too few to set any aside
-    if not (of(sample, 0) and of(sample, 1)):
+    """From ``(hash, class, text)`` in order of hash; ``sizes`` are the numbers of labelled texts of each class."""
+    share, words = sizes[1] / max(1, sum(sizes)), {}
+    ids = encode([t for _, _, t in sample], words)
+    classes = [[a for a, (_, k, _) in zip(ids, sample) if k == c and len(a) > 1] for c in (0, 1)]
+    if not all(classes):
         return Model(share)
-    counts, y = Counts((of(counted, 0), of(counted, 1))), np.array([c for _, c, _ in back])
-    weight = np.array(sizes)[y] / np.bincount([c for _, c, _ in sample], minlength=2)[y]
-    best, least = None, np.inf
-    for word_discount in WORD_DISCOUNTS:
-        for pair_discount in PAIR_DISCOUNTS:
-            model = counts.model(share, word_discount, pair_discount)
-            model.weights, loss = fit_logistic(np.array([model.features(t) for _, _, t in back]), y, weight)
-            if loss < least:
-                best, least = model, loss
-    return best
+    size = len(words) + 1
+    folds = range(FOLDS) if min(map(len, classes)) > 1 else [None]
+    x, y = {}, []
+    for f in folds:
+        others = [[a for i, a in enumerate(of) if f is None or i % FOLDS != f] for of in classes]
+        own = [[a for i, a in enumerate(of) if f is None or i % FOLDS == f] for of in classes]
+        if own[0] or own[1]:
+            y += [c for c in (0, 1) for _ in own[c]]
+            for d, features in Counts(others, size).features(own[0] + own[1]).items():
+                x.setdefault(d, []).append(features)
+    y = np.array(y)
+    weight = (np.array(sizes) / np.array([len(of) for of in classes]))[y]
+    fitted = {d: fit_logistic(np.concatenate(rows), y, weight) for d, rows in x.items()}
+    best = min(fitted, key=lambda d: fitted[d][1])
+    model = Counts(classes, size).model(words, share, *best)
+    model.weights = fitted[best][0]
+    return model
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, learn: Column, key: str, text: str, label: str) -> DataFrame:
