@@ -163,12 +163,26 @@ def draw(slot: str, steps: list[tuple[str, float | None]]) -> str:
     return f"CASE {cases} ELSE {steps[-1][0]} END"
 
 
-def mixed(keys: str, steps: list, stop: str, slots: int) -> tuple[str, ...]:
+SHUFFLED = (
+    f"ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY {order_key('source_id', 'id')}, id) - 1 AS rank FROM keys)",
+)
+# The buffer restated: a row leaves with the next draw of its place, the others follow by hash.
+BUFFERED = (
+    """arrived AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) - 1 AS nth, count(*) OVER (PARTITION BY source_id) AS n,
+      CASE source_id WHEN 'de' THEN 16 WHEN 'en' THEN 100 WHEN 'es' THEN 7 ELSE 10000 END AS b FROM keys)""",
+    f"""stood AS (SELECT *, CASE WHEN nth < b THEN nth ELSE ('0x'||substr({order_key('source_id', 'nth')}, 1, 8))::BIGINT % b END AS place FROM arrived)""",
+    "gone AS (SELECT *, lead(nth) OVER (PARTITION BY source_id, place ORDER BY nth) - b AS early FROM stood)",
+    f"""ranked AS (SELECT id, source_id, coalesce(early, greatest(n - b, 0) + row_number() OVER (PARTITION BY source_id, early IS NULL
+      ORDER BY {order_key('source_id', 'id')}, id) - 1) AS rank FROM gone)""",
+)
+
+
+def mixed(keys: str, steps: list, stop: str, slots: int, ranked: tuple[str, ...] = SHUFFLED) -> tuple[str, ...]:
     """Interleaving restated: number the draws per source, stop where the rule says, wrap around."""
     extreme = "max" if stop == "all_exhausted" else "min"
     return (
         keys,
-        f"ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY {order_key('source_id', 'id')}, id) - 1 AS rank FROM keys)",
+        *ranked,
         "lens AS (SELECT source_id, count(*) AS len FROM keys GROUP BY source_id)",
         f"drawn AS (SELECT slot, {draw('slot', steps)} AS source_id FROM (SELECT unnest(range({slots})) AS slot))",
         "turns AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY slot) AS k FROM drawn)",
@@ -386,9 +400,7 @@ ORACLES: dict[str, str] = {
     "length_budget": with_(*BASE, PROMPT, PIECES, *VISION) + """, sized AS (SELECT c.source_id, len(pieces)-n_slots AS words, CASE WHEN n_slots>0 THEN n_slots*n_visual ELSE 0 END AS visual FROM pieced JOIN prompts USING (conv_id) JOIN conv c USING (conv_id) LEFT JOIN budget USING (conv_id))
         SELECT source_id, count(*) AS rows, sum(words)::BIGINT AS text_tokens, sum(visual)::BIGINT AS visual_tokens, count(*) FILTER (WHERE words+visual>2048) AS too_long FROM sized GROUP BY source_id""",
     "shuffled_documents": with_(DOC_KEYS) + f"SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY {order_key('source_id', 'id')}, id) - 1 AS rank FROM keys",
-    "buffered_shuffle": with_(DOC_KEYS) + f""", sized AS (SELECT *, CASE source_id WHEN 'de' THEN 16 WHEN 'en' THEN 100 WHEN 'es' THEN 7 ELSE 10000 END AS b FROM keys),
-        arrived AS (SELECT *, (row_number() OVER (PARTITION BY source_id ORDER BY id) - 1)//b AS block FROM sized)
-        SELECT id, source_id, block*b + row_number() OVER (PARTITION BY source_id, block ORDER BY {order_key('source_id', 'id')}, id) - 1 AS rank FROM arrived""",
+    "buffered_shuffle": with_(DOC_KEYS, *BUFFERED) + "SELECT id, source_id, rank FROM ranked",
     "source_shares": "SELECT lang AS source_id, count(*) AS weight, round(count(*)/sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY lang",
     "interleave_all_exhausted": with_(*DOC_MIX) + "SELECT source_id, pos, pass, id FROM mixed",
     "interleave_first_exhausted": with_(*mixed(DOC_KEYS, DOC_STEPS, "first_exhausted", DOC_SLOTS)) + "SELECT source_id, pos, pass, id FROM mixed",
@@ -417,9 +429,9 @@ ORACLES: dict[str, str] = {
         *DOC_STREAM, vocab("doc_ready", WORDS), ids_of("doc_ready", "doc_id"),
         """grown AS (SELECT doc_id, flatten(list_transform(ids, lambda x: CASE WHEN x=151646 THEN list_resize([x], coalesce(n_visual, 1), x)
           ELSE [x] END))[1:1024] AS ids FROM ids JOIN doc_ready USING (doc_id))""",
-        *mixed("keys AS (SELECT doc_id AS id, lang AS source_id FROM doc_ready)", DOC_STEPS, "all_exhausted", DOC_SLOTS),
-        "cut AS (SELECT pos, id, source_id, pos//8 AS batch_id, ids FROM mixed JOIN grown ON doc_id=id)",
+        *mixed("keys AS (SELECT doc_id AS id, lang AS source_id FROM doc_ready)", DOC_STEPS, "all_exhausted", DOC_SLOTS, BUFFERED),
+        "cut AS (SELECT pos, pass, id, source_id, pos//8 AS batch_id, ids FROM mixed JOIN grown ON doc_id=id)",
         "wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM cut)",
-    ) + f"SELECT 0::BIGINT AS epoch, pos, id, source_id, batch_id, width, len(ids) AS length, md5({text('ids || list_resize([]::BIGINT[], width-len(ids), -100)')}) AS labels_md5 FROM wide",
+    ) + f"SELECT pos, pass, id, source_id, batch_id, width, len(ids) AS length, md5({text('ids || list_resize([]::BIGINT[], width-len(ids), -100)')}) AS labels_md5 FROM wide",
     "stream_rejects": with_(DOC_SAMPLE) + "SELECT lang AS source_id, 'no_assistant_text' AS reject_reason, count(*) AS rejects FROM doc WHERE told='' GROUP BY lang",
 }

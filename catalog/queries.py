@@ -620,7 +620,7 @@ def shuffled_documents(spark, sf):
 
 @query
 def buffered_shuffle(spark, sf):
-    return O.bounded_shuffle(_documents(spark, sf), "id", {"de": 16, "en": 100, "es": 7})
+    return O.bounded_shuffle(_documents(spark, sf), "id", STREAM_BUFFERS)
 
 
 @query
@@ -797,17 +797,25 @@ def stream_rejects(spark, sf):
     return spark.read.schema(counts.schema).parquet(f"{out}/counts")
 
 
+STREAM_BUFFERS = {"de": 16, "en": 100, "es": 7}
+
+
 @query
 def stream_batches(spark, sf):
-    """Documents by language as weighted sources, mixed and batched inside the micro-batch."""
+    """Documents by language as weighted sources, arriving in three files; buffers and draws go on between them."""
     out = scratch(spark)
-    samples = fx.document_samples(fx.table(spark, sf, "documents"))
+    documents = fx.table(spark, sf, "documents")
+    samples = fx.document_samples(documents)
     vocab = E.build_vocab(E.tokenize(P.render_prompts(samples)), VOCAB_SIZE)
-    W.batch_stream(
-        _document_stream(spark, sf), vocab, f"{out}/rows", f"{out}/state", 8, weights=LANG_WEIGHTS
-    ).awaitTermination()
+    for part in range(3):  # by id, so that files arrive in the order of ids
+        last = documents.agg(F.max("doc_id")).first()[0]
+        place = F.floor(F.col("doc_id") * 3 / F.lit(last + 1))
+        documents.where(place == part).coalesce(1).write.parquet(f"{out}/in/part={part}")
+    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", "1").parquet(f"{out}/in/part=*")
+    mix = {"weights": LANG_WEIGHTS, "buffer": STREAM_BUFFERS}
+    W.batch_stream(fx.document_samples(stream), vocab, f"{out}/rows", f"{out}/state", 8, **mix).awaitTermination()
+    W.finish_batches(spark, f"{out}/rows", f"{out}/state", 8, **mix)
     rows = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows")
     return rows.select(
-        big("epoch"), "pos", "id", "source_id", "batch_id", big("width"), big("length"),
-        F.md5(joined("labels")).alias("labels_md5"),
+        "pos", "pass", "id", "source_id", "batch_id", big("width"), big("length"), F.md5(joined("labels")).alias("labels_md5")
     )

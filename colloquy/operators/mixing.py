@@ -56,16 +56,18 @@ def _tasks(spark: SparkSession, most: int) -> int:
     return max(1, min(most, wide))
 
 
-def _slots(spark: SparkSession, total: int, block: int, probability: dict, seed: int, source: str) -> DataFrame:
-    """``(block, slot, source)`` for slots ``[0, total)``.
+def _slots(
+    spark: SparkSession, total: int, block: int, probability: dict, seed: int, source: str, start: int = 0
+) -> DataFrame:
+    """``(block, slot, source)`` for ``total`` slots from ``start`` on.
 
     The blocks are range-partitioned at their origin and slots are generated
     from them in place, so counting and numbering per block need no exchange.
     """
     n = math.ceil(total / block)
     blocks = spark.range(0, n, 1, _tasks(spark, n)).withColumnRenamed("id", "block")
-    first = F.col("block") * F.lit(block)
-    last = F.least(first + F.lit(block), F.lit(total)) - 1
+    first = F.lit(start) + F.col("block") * F.lit(block)
+    last = F.least(first + F.lit(block), F.lit(start + total)) - 1
     slots = blocks.select("block", F.explode(F.sequence(first, last)).alias("slot"))
     return with_drawn_source(slots, "slot", probability, seed, source)
 
@@ -83,12 +85,12 @@ def _block_size(total: int, n_sources: int, block: int | None) -> int:
     return max(MIN_BLOCK, min(MAX_BLOCK, math.ceil(total * n_sources / OFFSET_ROWS)))
 
 
-def _filled_at(spark, lengths, probability, seed, source, total, block) -> dict:
-    """Per source, the slot that takes its last row for the first time (if below ``total``)."""
-    counts = _block_counts(_slots(spark, total, block, probability, seed, source), source)
+def _filled_at(spark, lengths, probability, seed, source, total, block, start) -> dict:
+    """Per source, the slot that takes its last row for the first time (if among the ``total`` from ``start`` on)."""
+    counts = _block_counts(_slots(spark, total, block, probability, seed, source, start), source)
     need = _per_source(lengths, source)
     crossing = counts.where((F.col("before") < need) & (need <= F.col("before") + F.col("draws")))
-    first = F.col("block") * F.lit(block)
+    first = F.lit(start) + F.col("block") * F.lit(block)
     # One block per source, spread by count because its bytes are too few to tell.
     spread = crossing.select(source, "block", (need - F.col("before")).alias("_nth")).repartition(
         _tasks(spark, len(lengths)), source
@@ -96,7 +98,7 @@ def _filled_at(spark, lengths, probability, seed, source, total, block) -> dict:
     slots = spread.select(
         F.col(source).alias("_want"),
         "_nth",
-        F.explode(F.sequence(first, F.least(first + F.lit(block), F.lit(total)) - 1)).alias("slot"),
+        F.explode(F.sequence(first, F.least(first + F.lit(block), F.lit(start + total)) - 1)).alias("slot"),
     )
     inside = (
         with_drawn_source(slots, "slot", probability, seed, "_drawn")
@@ -115,8 +117,9 @@ def output_length(
     stop: str = fixed.DEFAULT_STOP,
     source: str = "source_id",
     block: int | None = None,
+    start: int = 0,
 ) -> int:
-    """Slots until the stopping rule holds. At most one row per source reaches the driver."""
+    """Slots from ``start`` until the stopping rule holds. At most one row per source reaches the driver."""
     if stop not in STOPS:
         raise ValueError(f"stop must be one of {STOPS}")
     probability = shares(weights)
@@ -133,12 +136,29 @@ def output_length(
     bound = max(expected.values()) if stop == "all_exhausted" else min(expected.values())
     while True:
         size = _block_size(bound, len(lengths), block)
-        filled = _filled_at(spark, lengths, probability, seed, source, bound, size)
+        filled = _filled_at(spark, lengths, probability, seed, source, bound, size, start)
         if filled and (stop == "first_exhausted" or len(filled) == len(lengths)):
-            return (max if stop == "all_exhausted" else min)(filled.values()) + 1
+            return (max if stop == "all_exhausted" else min)(filled.values()) + 1 - start
         bound *= 2
 
 
+def turns(
+    spark: SparkSession, total: int, probability: dict, seed: int, source: str, block: int | None = None, start: int = 0
+) -> DataFrame:
+    """``(slot, source, turn)`` for ``total`` slots from ``start`` on; ``turn`` counts the source's earlier draws among them."""
+    size = _block_size(total, len(probability), block)
+    slots = _slots(spark, total, size, probability, seed, source, start)
+    offsets = _block_counts(slots, source).select("block", source, "before")
+    if math.ceil(total / size) * len(probability) <= OFFSET_ROWS:
+        offsets = F.broadcast(offsets)
+    inside = F.row_number().over(Window.partitionBy("block", source).orderBy("slot"))
+    return (
+        slots.withColumn("_inside", inside)
+        .join(offsets, ["block", source])
+        .select("slot", source, (F.col("before") + F.col("_inside") - 1).alias("turn"))
+    )
+
+
 def interleave(
     ranked: DataFrame,
     weights: dict,
@@ -160,23 +180,12 @@ def interleave(
     lengths = {r[source]: r["count"] for r in counted}
     probability = shares(weights)
     total = output_length(spark, lengths, weights, seed, stop, source, block)
-    size = _block_size(total, len(lengths), block)
-    slots = _slots(spark, total, size, probability, seed, source)
-    offsets = _block_counts(slots, source).select("block", source, "before")
-    if math.ceil(total / size) * len(lengths) <= OFFSET_ROWS:
-        offsets = F.broadcast(offsets)
-    inside = F.row_number().over(Window.partitionBy("block", source).orderBy("slot"))
-    turn = F.col("before") + F.col("_inside") - 1
-    length = _per_source(lengths, source)
-    picks = (
-        slots.withColumn("_inside", inside)
-        .join(offsets, ["block", source])
-        .select(
-            F.col("slot").alias("pos"),
-            source,
-            F.floor(turn / length).cast("bigint").alias("pass"),
-            F.pmod(turn, length).cast("bigint").alias(rank),
-        )
+    turn, length = F.col("turn"), _per_source(lengths, source)
+    picks = turns(spark, total, probability, seed, source, block).select(
+        F.col("slot").alias("pos"),
+        source,
+        F.floor(turn / length).cast("bigint").alias("pass"),
+        F.pmod(turn, length).cast("bigint").alias(rank),
     )
     copies = {
         k: math.ceil(total * p / lengths[k] / HITS_PER_ROW) if p > 0 else 1 for k, p in probability.items()

@@ -112,7 +112,7 @@ def global_position(df: DataFrame, *order, partitions: int | None = None, out: s
     )
     return (
         laid.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        .join(offsets, "_part")
         .withColumn(out, (F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).cast("bigint"))
         .select(*df.columns, out)
     )
@@ -128,6 +128,53 @@ def compact_positions(
     return _number_in_buckets(df, ["_one"], "_bucket", ["_old"], out).drop("_old", "_one")
 
 
+def arrival_numbers(df: DataFrame, order: list[str], source: str = "source_id", out: str = "at") -> DataFrame:
+    """0-based number of every row in its source's order of arrival; ``order`` is unique within a source."""
+    placed = global_position(df, source, *order, out="_place")
+    starts = placed.groupBy(source).agg(F.min("_place").alias("_start"))
+    return placed.join(starts, source).withColumn(out, F.col("_place") - F.col("_start")).select(*df.columns, out)
+
+
+def buffer_rows(buffer: int | dict, source: str) -> Column:
+    """Rows of a source's buffer: ``{source: rows}``, with the default for sources it does not name, or one number."""
+    if not isinstance(buffer, dict):
+        buffer, rows = {}, F.lit(buffer)
+    else:
+        rows = F.lit(fixed.DEFAULT_SHUFFLE_BUFFER)
+    named = _per_source(buffer, source)
+    return (rows if named is None else F.coalesce(named, rows)).cast("bigint")
+
+
+def leave_buffer(
+    arrived: DataFrame, buffer: int | dict, seed: int, source: str, at: str = "at", out: str = "rank",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """When every row leaves a buffer of random places; NULL for those that are still in it.
+
+    The first ``buffer`` rows of a source take its places in turn. Each later row
+    takes a place that its number draws; the row that stood there leaves. So a row leaves with
+    the next draw of its own place, and the k-th row to leave has ``out`` k: a lead
+    over (source, place), which no row has to wait for.
+
+    A source with few places has long leads, so these are taken inside blocks of arrivals; only the last
+    row of a place in its block looks at the first ones of later blocks.
+    """
+    rows, number = buffer_rows(buffer, source), F.col(at)
+    draw = F.pmod(hash_fraction(hash_key(seed, source, at)), rows)
+    placed = arrived.withColumns(
+        {
+            "_place": F.when(number < rows, number).otherwise(draw),
+            "_block": F.floor(number / F.greatest(F.lit(block_rows), rows * 16)),
+        }
+    )
+    cell = [source, "_place", "_block"]
+    inside = placed.withColumn("_next", F.lead(at).over(Window.partitionBy(*cell).orderBy(at)))
+    firsts = placed.groupBy(*cell).agg(F.min(at).alias("_first"))
+    later = firsts.withColumn("_later", F.lead("_first").over(Window.partitionBy(source, "_place").orderBy("_block")))
+    left = F.coalesce("_next", "_later") - rows
+    return inside.join(later.drop("_first"), cell).withColumn(out, left).select(*arrived.columns, out)
+
+
 def bounded_shuffle(
     df: DataFrame,
     key: str,
@@ -136,28 +183,32 @@ def bounded_shuffle(
     source: str = "source_id",
     arrival: str | None = None,
     out: str = "rank",
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Shuffle inside consecutive blocks of ``buffer`` rows of every source's arrival order.
+    """Shuffle of every source's arrival order through a buffer of ``buffer`` random places.
 
-    ``buffer`` may differ by source: ``{source: rows}``, with the default size for
-    sources it does not name. All blocks but the last are full, so a row's place
-    is its block's start plus its place in the block.
+    ``buffer`` may differ by source, see ``buffer_rows``. Rows leave as ``leave_buffer`` says; those that
+    are left at the end follow in the order of their hashes. ``arrival`` orders the rows of a
+    source (``key`` unless given) and is unique in it.
     """
-    placed = global_position(df, source, arrival or key, out="_at")
-    starts = placed.groupBy(source).agg(F.min("_at").alias("_start"))
-    size = F.lit(buffer)
-    if isinstance(buffer, dict):
-        named, size = _per_source(buffer, source), F.lit(fixed.DEFAULT_SHUFFLE_BUFFER)
-        size = size if named is None else F.coalesce(named, size)
-    arrived = placed.join(starts, source).withColumn(
-        "_block", F.floor((F.col("_at") - F.col("_start")) / size)
-    )
-    inside = F.row_number().over(
-        Window.partitionBy(source, "_block").orderBy(hash_key(seed, source, key), key)
-    )
-    return arrived.withColumn(out, (F.col("_block") * size + inside - 1).cast("bigint")).select(
-        *df.columns, out
-    )
+    numbered = pin(arrival_numbers(df, [arrival or key], source, "_at"))
+    moved = pin(leave_buffer(numbered, buffer, seed, source, "_at", "_rank", block_rows))
+    gone = moved.where(F.col("_rank").isNotNull()).select(*df.columns, F.col("_rank").alias(out))
+    last = drain_buffer(moved.where(F.col("_rank").isNull()), key, buffer, seed, source, "_at", out)
+    return gone.unionByName(last.select(*df.columns, out))
+
+
+def drain_buffer(
+    held: DataFrame, key: str, buffer: int | dict, seed: int, source: str, at: str = "at", out: str = "rank"
+) -> DataFrame:
+    """Places of the rows that are in the buffers when no more arrive.
+
+    The row of the highest number is always among them, which tells how many have left before.
+    """
+    sizes = held.groupBy(source).agg((F.max(at) + 1).alias("_rows"))
+    gone = F.greatest(F.col("_rows") - buffer_rows(buffer, source), F.lit(0))
+    ordered = seeded_shuffle(held, key, seed, source, out="_after")
+    return ordered.join(sizes, source).withColumn(out, gone + F.col("_after")).drop("_rows", "_after")
 
 
 def _per_source(values: dict, source: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,11 +12,9 @@ from colloquy import fixed
 from colloquy.functions.tokens import pieces
 from colloquy.operators.batching import assign_batches, pad_to_longest
 from colloquy.operators.encoding import encode
-from colloquy.operators.mixing import interleave
-from colloquy.operators.ordering import bounded_shuffle, seeded_shuffle
 from colloquy.operators.quality import quarantine, reject_summary
-from colloquy.operators.skew import pin
 from colloquy.plans import prepare as batch
+from colloquy.streaming.mixer import ALL, StreamMixer
 
 
 def prepare_stream(samples: DataFrame, config: batch.PrepareConfig = batch.PrepareConfig()) -> DataFrame:
@@ -29,37 +27,13 @@ def reject_stream(samples: DataFrame, variant: str = "current", source: str = "s
     return reject_summary(quarantine(samples, variant), source=source)
 
 
-def batch_of_epoch(
-    encoded: DataFrame,
-    batch_size: int,
-    seed: int = fixed.DEFAULT_SEED,
-    key: str = "id",
-    source: str = "source_id",
-    weights: dict | None = None,
-    buffer: int | dict = fixed.DEFAULT_SHUFFLE_BUFFER,
-    stop: str = fixed.DEFAULT_STOP,
-    config: batch.PrepareConfig = batch.PrepareConfig(),
-) -> DataFrame:
-    """One micro-batch: every source shuffled in its own buffer, interleaved by weight, batched and padded.
+def _padded(placed: DataFrame, batch_size: int, config: batch.PrepareConfig) -> DataFrame:
+    batched = assign_batches(placed.drop(ALL), batch_size)
+    return pad_to_longest(batched, length=batch.expanded_length(config), ready=batch.expand_ids(config)).drop("n_visual")
 
-    Without ``weights`` each row of the micro-batch is used once, in one shuffled
-    order over all sources. Sources that the micro-batch lacks do not count in
-    the draw. Only keys are shuffled; ids join the finished order, still with one
-    placeholder per image, and are expanded after the last exchange.
-    """
-    keys = encoded.select(source, key)
-    if weights is None:
-        shuffled = seeded_shuffle(keys.withColumn("_all", F.lit(0)), key, seed, "_all", out="pos").drop("_all")
-        plan = shuffled.withColumn("pass", F.lit(0).cast("bigint"))
-    else:
-        here = {r[source] for r in keys.select(source).distinct().limit(len(weights) + 1).collect()}
-        if not here <= set(weights):
-            raise ValueError(f"sources without weight: {here - set(weights)}")
-        ranked = bounded_shuffle(keys, key, buffer, seed, source)
-        plan = interleave(ranked, {k: w for k, w in weights.items() if k in here}, seed, stop, source)
-    placed = assign_batches(batch.attach(plan, encoded, [source, key]), batch_size)
-    padded = pad_to_longest(placed, length=batch.expanded_length(config), ready=batch.expand_ids(config))
-    return padded.drop("n_visual")
+
+def _mixer(checkpoint: str, *args) -> StreamMixer:
+    return StreamMixer(f"{checkpoint}/mixer", *args)
 
 
 def batch_stream(
@@ -74,24 +48,26 @@ def batch_stream(
     on_epoch: Callable[[DataFrame, int], None] | None = None,
     weights: dict | None = None,
     buffer: int | dict = fixed.DEFAULT_SHUFFLE_BUFFER,
-    stop: str = fixed.DEFAULT_STOP,
 ) -> StreamingQuery:
-    """Writes ``path/epoch=N``; a micro-batch that is retried overwrites its own folder.
-
-    Order and batches are defined inside a micro-batch only; a batch is named by
-    ``(epoch, batch_id)``. ``weights`` and ``buffer`` (by source) come from the
-    sources' specs, see ``schema.stream_mixture``. ``id`` is unique within a source
-    and micro-batch. The vocabulary is looked up when the stream starts.
+    """Writes the batches that a micro-batch completes to ``path/epoch=N``.
+
+    Buffers, draws and positions go on from one micro-batch to the next, see
+    ``StreamMixer``: ``pos`` and ``batch_id`` count through the whole stream, a batch lies in one epoch,
+    and any cut of the same rows gives the same order. Call ``finish_batches`` when
+    the stream has ended for the rows that are then still in hand. An epoch that is
+    tried again overwrites its own folder and state. ``weights`` and ``buffer`` (by source) come from the
+    sources' specs, see ``schema.stream_mixture``. ``id`` orders the arrivals of a
+    micro-batch. The vocabulary is looked up when the stream starts.
     """
+    mixer = _mixer(checkpoint, batch_size, weights, buffer, seed)
 
     def write(frame: DataFrame, epoch: int) -> None:
-        frame = pin(frame)  # read for the order, for the sources and for the rows
-        if frame.limit(1).count() == 0:
-            return
-        ready = batch_of_epoch(frame, batch_size, seed, weights=weights, buffer=buffer, stop=stop, config=config)
+        placed, commit = mixer.step(frame, epoch)
+        ready = _padded(placed, batch_size, config)
         if on_epoch is not None:
             on_epoch(ready, epoch)
         ready.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        commit()
 
     whole = batch.render_prompts(samples, config).withColumn("n_visual", batch.visual_tokens(config))
     prepared = whole.select(
@@ -104,3 +80,36 @@ def batch_stream(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def finish_batches(
+    spark: SparkSession,
+    path: str,
+    checkpoint: str,
+    batch_size: int,
+    config: batch.PrepareConfig = batch.PrepareConfig(),
+    seed: int = fixed.DEFAULT_SEED,
+    weights: dict | None = None,
+    buffer: int | dict = fixed.DEFAULT_SHUFFLE_BUFFER,
+    stop: str = fixed.DEFAULT_STOP,
+) -> int | None:
+    """Empties the buffers of a stream that has ended into one more epoch, whose number it returns.
+
+    With ``stop='all_exhausted'`` sources that ended early are repeated until the
+    last one has ended, with their rows read from what the stream has written.
+    Writing the epoch again gives the same rows.
+    """
+    mixer = _mixer(checkpoint, batch_size, weights, buffer, seed)
+    epoch = mixer.last_epoch(spark) + 1
+    if not epoch:
+        return None
+    written = spark.read.option("basePath", path).parquet(f"{path}/epoch=*").where(F.col("epoch") < epoch)
+    # Ids that have been expanded and cut once stay as they are: a placeholder of one token, nothing behind the cut.
+    again = written.where(F.col("pass") == 0).drop("n_visual").withColumns(
+        {"n_visual": F.lit(1).cast("bigint"), "input_ids": F.slice("input_ids", F.lit(1), F.col("length"))}
+    )
+    placed = mixer.finish(spark, again, stop)
+    if placed is None:
+        return None
+    _padded(placed, batch_size, config).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    return epoch

@@ -103,12 +103,35 @@ def test_compact_positions_over_blocks(spark):
     assert [(r["pos"], r["v"]) for r in got] == [(i, i) for i in range(1000)]
 
 
-def test_bounded_shuffle_stays_in_blocks(spark):
-    got = O.bounded_shuffle(keys(spark, {0: 95, 1: 7}), "id", 10).collect()
-    for s, n in {0: 95, 1: 7}.items():
-        rows = sorted((r["rank"], r["id"]) for r in got if r["source_id"] == s)
-        assert [r for r, _ in rows] == list(range(n))
-        assert all(rank // 10 == i // 10 for rank, i in rows)
+def through_a_buffer(ids, rows, source, seed=42):
+    """The buffer as a loop: a drawn place gives its row away and takes the new one; the rest by hash."""
+    number = lambda *parts: hashlib.md5("|".join(map(str, (seed, source, *parts))).encode()).hexdigest()
+    places, out = [], []
+    for at, i in enumerate(ids):
+        if at < rows:
+            places.append(i)
+            continue
+        place = int(number(at)[:8], 16) % rows
+        out.append(places[place])
+        places[place] = i
+    return out + sorted(places, key=number)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7, 64, 300, 5000])
+def test_bounded_shuffle_is_a_buffer(spark, rows):
+    """Blocks far smaller than the leads, too, so that these reach over several of them."""
+    got = O.bounded_shuffle(keys(spark, {0: 500, 1: 7, 2: 1}), "id", rows, block_rows=8).collect()
+    for s, n in {0: 500, 1: 7, 2: 1}.items():
+        mine = sorted((r["rank"], r["id"]) for r in got if r["source_id"] == s)
+        assert [r for r, _ in mine] == list(range(n))
+        assert [i for _, i in mine] == through_a_buffer(sorted(i for _, i in mine), rows, s)
+
+
+def test_places_of_a_hot_source_are_dealt_out(spark):
+    arrived = spark.range(5000).select(F.lit(0).alias("source_id"), F.col("id").alias("at"))
+    left = O.leave_buffer(arrived, 100, 42, "source_id", block_rows=1000)
+    parts = left.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(parts) > 4 and max(r["count"] for r in parts) < 2000
 
 
 def test_no_single_task_on_rows(spark):

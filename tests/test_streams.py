@@ -5,11 +5,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.operators import encoding as E
+from colloquy.operators.mixing import interleave
+from colloquy.operators.ordering import bounded_shuffle
 from colloquy.operators.quality import quarantine, reject_summary
 from colloquy.plans import prepare as P
-from colloquy.schema import SAMPLE, SourceSpec
+from colloquy.schema import SAMPLE, SourceSpec, stream_mixture
 from colloquy.sources.read import read_mixture, read_source
 from colloquy.streaming import prepare as W
+from colloquy.streaming.mixer import StreamMixer
 
 
 @pytest.fixture(scope="module")
@@ -70,11 +73,12 @@ def test_batch_stream_covers_every_sample_once(spark, folder, tmp_path):
     vocab = E.build_vocab(E.tokenize(P.render_prompts(samples)), 50)
     stream = read_mixture(spark, [spec(folder, streaming=True, options={"maxFilesPerTrigger": "2"})])
     out = str(tmp_path / "rows")
-    drain(W.batch_stream(stream, vocab, out, str(tmp_path / "ck"), 8))
+    drain(W.batch_stream(stream, vocab, out, str(tmp_path / "ck"), 8, buffer=10))
+    assert W.finish_batches(spark, out, str(tmp_path / "ck"), 8, buffer=10) > 1
     rows = spark.read.option("basePath", out).parquet(out)
     assert rows.select("epoch").distinct().count() > 1
     assert sorted(r[0] for r in rows.select("id").collect()) == sorted(r[0] for r in prepared.select("id").collect())
-    widths = rows.groupBy("epoch", "batch_id").agg(F.countDistinct(F.size("input_ids")).alias("w"), F.count("*").alias("n"))
+    widths = rows.groupBy("batch_id").agg(F.countDistinct(F.size("input_ids")).alias("w"), F.count("*").alias("n"))
     assert widths.where("w <> 1 OR n > 8").count() == 0
     config = P.PrepareConfig()
     whole = P.render_prompts(samples).select("id", P.visual_tokens(config).alias("n_visual"), P.tokens.pieces("prompt").alias("pieces"))
@@ -84,22 +88,66 @@ def test_batch_stream_covers_every_sample_once(spark, folder, tmp_path):
         assert r["input_ids"][: r["length"]] == ids[r["id"]]
 
 
-def test_weighted_stream_mixes_inside_each_epoch(spark, folder, tmp_path):
-    from colloquy.schema import stream_mixture
-
-    specs = [spec(folder, streaming=True, weight=3.0, source_id="x", options={"maxFilesPerTrigger": "2"}),
-             spec(folder, streaming=True, weight=1.0, source_id="y", options={"maxFilesPerTrigger": "2"})]
-    weights, buffers = stream_mixture(specs)
-    assert weights == {"x": 3.0, "y": 1.0} and buffers == {"x": 10_000, "y": 10_000}
-    samples = read_mixture(spark, [spec(folder)])
-    vocab = E.build_vocab(E.tokenize(P.render_prompts(samples)), 50)
-    out = str(tmp_path / "rows")
-    drain(W.batch_stream(read_mixture(spark, specs), vocab, out, str(tmp_path / "ck"), 4, weights=weights, buffer=buffers))
-    rows = spark.read.option("basePath", out).parquet(out)
-    for epoch in [r[0] for r in rows.select("epoch").distinct().collect()]:
-        mine = rows.where(F.col("epoch") == epoch)
-        n = mine.count()
-        assert sorted(r[0] for r in mine.select("pos").collect()) == list(range(n))
-        first = mine.where("pass = 0").select("source_id", "id")
-        assert first.distinct().count() == first.count()
-        assert mine.groupBy("batch_id").count().where("count > 4").count() == 0
+def test_weights_and_buffers_of_specs(folder):
+    specs = [spec(folder, streaming=True, weight=3.0, source_id="x"), spec(folder, streaming=True, source_id="y")]
+    assert stream_mixture(specs) == ({"x": 3.0, "y": 1.0}, {"x": 10_000, "y": 10_000})
+
+
+def parts_of(rows, cuts):
+    """Rows dealt to micro-batches in order of their ids."""
+    ends = [0, *cuts, len(rows)]
+    return [rows[a:b] for a, b in zip(ends, ends[1:])]
+
+
+WEIGHTS = {"x": 3.0, "y": 1.0, "z": 2.0}
+
+
+@pytest.mark.parametrize(("weights", "stop"), [(None, "all_exhausted"), (WEIGHTS, "all_exhausted"), (WEIGHTS, "first_exhausted")])
+def test_any_cut_gives_the_same_order(spark, tmp_path, weights, stop):
+    """One micro-batch, several, empty ones, and epochs that are tried again."""
+    buffer = {"x": 5, "y": 3, "z": 40} if weights else 12
+    rows = [(i, "xxxyz"[i * 7 % 5], f"payload {i}") for i in range(230)]
+    seen = []
+    for n, cuts in enumerate([[], [60, 60, 170]]):
+        mixer = StreamMixer(str(tmp_path / f"{n}"), 4, weights, buffer)
+        out = []
+        for epoch, part in enumerate(parts_of(rows, cuts)):
+            frame = spark.createDataFrame(part, "id int, source_id string, payload string").repartition(3)
+            mixer.step(frame, epoch)  # fails before it commits
+            placed, commit = mixer.step(frame, epoch)
+            got = placed.collect()
+            assert len(got) % 4 == 0 and sorted(r["pos"] for r in got) == list(range(len(out), len(out) + len(got)))
+            commit()
+            if epoch % 2:  # commits, but the stream does not know it
+                placed, commit = mixer.step(frame, epoch)
+                assert sorted(placed.collect()) == sorted(got)
+                commit()
+            out += got
+        assert mixer.last_epoch(spark) == len(cuts)
+        used = spark.createDataFrame([r.asDict() for r in out], placed.schema).drop("pos", "pass", "_mix") if out else None
+        out += mixer.finish(spark, used, stop).select(placed.columns).collect()
+        assert sorted(r["pos"] for r in out) == list(range(len(out)))
+        assert all(r["payload"] == f"payload {r['id']}" for r in out)
+        seen.append([(r["source_id"], r["id"], r["pass"]) for r in sorted(out, key=lambda r: r["pos"])])
+    assert all(order == seen[0] for order in seen[1:])
+    if weights:
+        keys = spark.createDataFrame([r[:2] for r in rows], "id int, source_id string")
+        want = interleave(bounded_shuffle(keys, "id", buffer), weights, stop=stop).orderBy("pos").collect()
+        assert seen[0] == [(r["source_id"], r["id"], r["pass"]) for r in want]
+    else:
+        assert sorted(i for _, i, _ in seen[0]) == list(range(230))
+
+
+def test_sources_without_weight_are_refused(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "x"), (2, "q")], "id int, source_id string")
+    with pytest.raises(ValueError):
+        StreamMixer(str(tmp_path / "m"), 4, {"x": 1.0}, 5).step(frame, 0)
+
+
+def test_a_source_that_never_comes(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "x") for i in range(9)], "id int, source_id string")
+    mixer = StreamMixer(str(tmp_path / "m"), 4, {"x": 1.0, "y": 1.0}, 2)
+    placed, commit = mixer.step(frame, 0)
+    assert placed.count() == 0  # the first slot that draws y waits for it
+    commit()
+    assert sorted(r["id"] for r in mixer.finish(spark, None).collect()) == list(range(9))
