@@ -29,6 +29,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,8 +40,10 @@ CAPACITY = 2048
 GROUPS = 96
 #: Pieces above capacity / LARGE are grouped; so many fit in a sequence at most.
 LARGE = 8
-CACHE_WORDS = 3 << 18
-
+#: Entries of one generation of a worker's tables, the longest word that is kept, and parts joined for one call.
+CACHE_WORDS, CACHE_CHARS, JOINED = 1 << 18, 64, 512
+#: Characters that are encoded at a time, if a single text is not longer.
+SLICE_CHARS = 1 << 20
 
 # White-space words of these characters are unchanged by Unicode normalisation and
 # lower-cased one character at a time, so that they can be split here.
@@ -51,45 +54,80 @@ _PARTS = re.compile(
 )
 
 
-class _WordIds(dict):
+class _Table:
+    """What ``learn`` makes of words, in two bounded generations.
+
+    When the young entries are full they become the old ones, and those found there are young again.
+    """
+
+    def __init__(self, learn):
+        self.learn, self.young, self.old = learn, {}, {}
+
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        got = dict(zip(words, map(self.young.get, words)))
+        missing = [w for w, ids in got.items() if ids is None]
+        if not missing:
+            return got
+        found = {w: self.old[w] for w in missing if w in self.old}
+        found.update(self.learn([w for w in missing if w not in found] if found else missing))
+        got.update(found)
+        if max(map(len, found)) > CACHE_CHARS:
+            found = {w: ids for w, ids in found.items() if len(w) <= CACHE_CHARS}
+        if len(self.young) + len(found) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        if len(found) <= CACHE_WORDS:
+            self.young.update(found)
+        return got
+
+
+class _WordIds:
     """Ids of white-space words as little-endian bytes, for a tokenizer that never joins words.
 
     Words of plain letters and marks are put together from their parts, which
-    recur more often. Both tables are bounded: they are emptied when full.
+    recur more often and are encoded many at a time: an id that ends a word ends a part.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.parts = _Table(self.word_ids), _Table(self.part_ids)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def learn(self, words: list[str]) -> None:
-        latin = words if _LATIN.fullmatch("".join(words)) else [w for w in words if _LATIN.fullmatch(w)]
-        plain = {w: [w.lower()] if w.isalpha() else _PARTS.findall(w.lower()) for w in latin}
-        parts = [p for p in {p for split in plain.values() for p in split} if p not in self.parts]
-        if len(self.parts) + len(parts) > CACHE_WORDS:
-            self.parts.clear()
-            parts = list({p for split in plain.values() for p in split})
-        self.parts.update(zip(parts, self.ids(parts)))
-        known = self.parts
-        for w, split in plain.items():
-            self[w] = known[split[0]] if len(split) == 1 else b"".join([known[p] for p in split])
-        odd = [w for w in words if w not in plain]
-        self.update(zip(odd, self.ids(odd)))
+    def part_ids(self, parts: list[str]) -> dict[str, bytes]:
+        out, groups = {}, [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        for group, joined in zip(groups, self.ids([" ".join(g) for g in groups])):
+            ends = (4 * np.flatnonzero(self.ends[np.frombuffer(joined, "<u4")]) + 4).tolist()
+            if len(ends) == len(group):
+                out.update(zip(group, [joined[a:b] for a, b in zip([0, *ends], ends)]))
+            else:  # a part that lower-casing made two of, or a tokenizer that ends words otherwise
+                out.update(zip(group, self.ids(group)))
+        return out
+
+    def word_ids(self, words: list[str]) -> dict[str, bytes]:
+        odd = [] if _LATIN.fullmatch("".join(words)) else [w for w in words if not _LATIN.fullmatch(w)]
+        if odd:
+            words = list(set(words).difference(odd))
+        whole = [w for w in words if w.isalpha()]
+        split = {w: _PARTS.findall(w.lower()) for w in words if not w.isalpha()}
+        lower = list(map(str.lower, whole))
+        of = self.parts.of(set(lower).union(*split.values())).__getitem__
+        out = dict(zip(whole, map(of, lower)))
+        out.update((w, b"".join(map(of, parts))) for w, parts in split.items())
+        out.update(zip(odd, self.ids(odd)))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = [w for w in {w for words in split for w in words} if w not in self]
-        if len(self) + len(missing) > CACHE_WORDS:
-            self.clear()
-            missing = list({w for words in split for w in words})
-        self.learn(missing)
-        return [b"".join([self[w] for w in words]) for words in split]
+        ids_of = self.words.of(set().union(*split)).__getitem__
+        return [b"".join(map(ids_of, words)) for words in split]
 
 
 #: Per worker process, so only functions of this module that workers import touch it.
@@ -112,6 +150,18 @@ def word_encoder(path: str):
     return functools.partial(encode_words, path)
 
 
+def runs_of_rows(sizes: list[int], most: int = SLICE_CHARS):
+    """``(first, rows)`` of neighbouring rows with at most ``most`` in all, or a single row."""
+    first, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > first and held + size > most:
+            yield first, at - first
+            first, held = at, 0
+        held += size
+    if sizes:
+        yield first, len(sizes) - first
+
+
 def pieces(
     docs: DataFrame, encode, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text",
     with_ids: bool = False,
@@ -128,8 +178,8 @@ def pieces(
     def run(batches):
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for at, n in runs_of_rows(pc.binary_length(whole.column("_text")).to_pylist()):
+                batch = whole.slice(at, n)
                 keys, out = [], []
                 texts = batch.column("_text").to_pylist()
                 for row, ids in enumerate(encode(texts)):
