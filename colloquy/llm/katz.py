@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import stored
 
 CHUNK_TOKENS = 1 << 21
-BUCKET_WORDS = 1 << 20
+BUCKET_WORDS = 1 << 19
 DISCOUNTED = 5
 MIN_COUNT = 2
 #: Slope of the counts of counts where one alone is known.
@@ -419,8 +419,8 @@ def katz_scores(
         F.size(F.filter("learns", lambda x: x)).alias("texts"),
     ).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0)))
     tokens, texts = sizes.first()
-    # A chunk names a word once, so words are fewer than tokens; bigrams nearly as many.
-    word_buckets = max(1, -(-tokens // (4 * bucket_words)))
+    # A chunk names a word once, so words are far fewer than tokens; bigrams nearly as many.
+    word_buckets = max(1, -(-tokens // (8 * bucket_words)))
     buckets = max(1, -(-tokens // bucket_words))
 
     answers = stored(_count_words(_word_requests(table, word_buckets)), "katz-words")
@@ -459,10 +459,10 @@ def katz_scores(
             scores = log_p[chunk.tokens] + np.where(chunk.before < 0, np.log10(alpha_start), log_alpha[chunk.before])
             _, _, counts, bucket, order, known, inverse, first, _ = chunk.bigrams(buckets)
             kept = np.zeros(len(counts), np.int64)
-            for a in replies:
-                if a["kind"] == 2:
-                    lo, hi = np.searchsorted(bucket[order], [a["bucket"], a["bucket"] + 1])
-                    kept[order[lo:hi][np.cumsum(_unzip(a["first"], np.int64))]] = _unzip(a["second"], np.int64)
+            found = [a for a in replies if a["kind"] == 2]
+            starts = np.searchsorted(bucket[order], [a["bucket"] for a in found])
+            for a, start in zip(found, starts):
+                kept[order[start + np.cumsum(_unzip(a["first"], np.int64))]] = _unzip(a["second"], np.int64)
             hit = kept > 0
             gain = np.zeros(len(kept))
             below = np.where(first < 0, den_start, den[first])
