@@ -351,11 +351,12 @@ def _block_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``(key, n_shingles, component_id, kept)`` per row of ``docs``.
+    """``(key, n_shingles, component_id, kept, text_hash, group_id)`` per row of ``docs``.
 
     Documents are linked when 100 * shared shingles >= ``percent`` * shingles of
     both; ``component_id`` is the least id of those reached through links, and
-    ``kept`` marks the documents that have it. ``percent`` is 80 or more, for
+    ``kept`` marks the documents that have it. ``group_id`` numbers the groups (NULL for documents without
+    shingles), so that groups of NULL ids differ; ``text_hash`` tells texts of one id apart. ``percent`` is 80 or more, for
     which the bands and kinds of sketches are chosen.
     """
     if percent < 80:
@@ -416,12 +417,12 @@ def near_duplicates(
         "h1", "h2", "least", F.coalesce("root", "class").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("h1", "h2", "component_id")
+    named = rooted.join(least, "root").select("h1", "h2", "component_id", F.col("root").alias("group_id"))
     return (
         every.join(named, ["h1", "h2"], "left")
         .withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")))
         .select(
             F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id",
-            F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"),
+            F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "group_id",
         )
     )

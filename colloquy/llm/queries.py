@@ -61,7 +61,8 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    found = hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
