@@ -10,10 +10,22 @@ from colloquy.llm import hyperminhash, packing, qgram_filter, quality_rules, sec
 from colloquy.llm.common import stored, table
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def _those(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """``docs`` that are (``left_semi``) or are not (``left_anti``) among ``(doc_id, text_hash)`` rows; NULLs are equal."""
-    marked = rows.select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_hash"))
+    i, h = _free(docs, "_llm_id", "_llm_hash")
+    marked = rows.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
     return docs.join(marked, same, how).select(*docs.columns)
 
 
@@ -23,17 +35,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest ``doc_id`` of each group of near copies (five-word shingles, 80 percent).
+    """Keeps one document of each group of near copies (five-word shingles, 80 percent): that of the smallest ``doc_id``.
 
-    Rows that repeat an id and its text are one document.
+    Where that id is NULL or has several texts in the group, the text of the least hash stays. Rows that repeat
+    an id and its text are one document. Documents with NULL or empty texts have no copies and stay, once for each id.
     """
-    kept = hyperminhash.near_duplicates(docs, words=5, percent=80).where("kept").groupBy("doc_id").count()
-    kept = stored(kept.select(F.col("doc_id").alias("_llm_id"), F.col("count").alias("_llm_n")), "kept-ids")
-    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_llm_id")))
-    if not kept.where("_llm_n > 1").limit(1).count():
+    found = hyperminhash.near_duplicates(docs, words=5, percent=80).where("kept")
+    counted = stored(found.groupBy("group_id", "doc_id", "text_hash").count(), "kept-rows")
+    one = F.min(F.struct("doc_id", "text_hash", "count")).alias("one")
+    chosen = counted.where("group_id IS NOT NULL").groupBy("group_id").agg(one).select("one.*")
+    i, h, n = _free(docs, "_llm_id", "_llm_hash", "_llm_n")
+    kept = stored(chosen.unionByName(counted.where("group_id IS NULL").drop("group_id")).toDF(i, h, n), "kept-ids")
+    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)))
+    again = mine.where(F.col(n) > 1).dropDuplicates(["doc_id", "text"])
+    if not kept.where(F.col(n) > 1).limit(1).count():
         return mine.select(*docs.columns)
-    again = mine.where("_llm_n > 1").dropDuplicates(["doc_id", "text"])
-    return mine.where("_llm_n = 1").unionByName(again).select(*docs.columns)
+    return mine.where(F.col(n) == 1).unionByName(again).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +60,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts by ``<secret>``; all documents stay."""
+    """Replaces secrets in the texts by ``<secret>``; all documents stay, NULL and empty texts as they are."""
     model = secret_scan.train(secret_scan.labelled_samples(docs))
-    found = secret_scan.rule_spans(F.coalesce("text", F.lit(""))), secret_scan.markov_spans(F.coalesce("text", F.lit("")), model)
-    spans = docs.withColumns({"_llm_rules": found[0], "_llm_more": found[1]}).withColumn(
-        "_llm_spans", F.array_sort(F.concat("_llm_rules", "_llm_more"))
-    )
-    clean = F.when(F.size("_llm_spans") > 0, secret_scan.redact(F.col("text"), F.col("_llm_spans"))).otherwise(F.col("text"))
-    return spans.withColumn("text", clean).withColumn(
-        "n_chars", F.when(F.size("_llm_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    ).select(*docs.columns)
+    text, (name,) = F.coalesce("text", F.lit("")), _free(docs, "_llm_spans")
+    spans = F.array_sort(F.concat(secret_scan.rule_spans(text), secret_scan.markov_spans(text, model)))
+    found, some = docs.withColumn(name, spans), F.size(name) > 0
+    clean = found.withColumn("text", F.when(some, secret_scan.redact(F.col("text"), F.col(name))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        clean = clean.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return clean.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
