@@ -135,6 +135,83 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_sample.select("conv_id", F.unhex(content).alias("content"))
 
 
+def whole_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(conv_id, w, h, kind, content)``: whole files in six formats, some cut off, some with one byte changed.
+
+    Pixel data is text of the conversation. ``conv_id % 5`` says what happens to a file: 1 cuts its last
+    three bytes off, 2 changes a byte of the pixel data, which only PNG can tell; the rest is whole.
+    """
+    per = (
+        raw_turns(spark, sf_dir).where("img_w IS NOT NULL").groupBy("conv_id")
+        .agg(F.max("img_w").cast("int").alias("w"), F.max("img_h").cast("int").alias("h"), F.max(F.length("value")).alias("n"))
+    )
+    w, h = F.col("w"), F.col("h")
+
+    def big(n, digits):
+        return F.lpad(F.hex(n), digits, "0")
+
+    def little(n, digits=4):
+        return F.concat(*[F.substring(big(n, digits), at, 2) for at in range(digits - 1, 0, -2)])
+
+    # Some hundred bytes without 00 or FF, as hex.
+    data = F.repeat(F.hex(F.md5(F.col("conv_id").cast("string")).cast("binary")), 3 + F.col("conv_id").cast("int") % 4)
+    size = (F.length(data) / 2).cast("bigint")
+
+    def chunk(kind: str, body):
+        typed = F.concat(F.hex(F.lit(kind).cast("binary")), body)
+        return F.concat(big((F.length(body) / 2).cast("bigint"), 8), typed, big(F.crc32(F.unhex(typed)), 8))
+
+    png = F.concat(
+        F.lit("89504E470D0A1A0A"), chunk("IHDR", F.concat(big(w, 8), big(h, 8), F.lit("0802000000"))),
+        chunk("tEXt", F.lit("436F6D6D656E7400")), chunk("IDAT", data), chunk("IEND", F.lit("")),
+    )
+    gif = F.concat(
+        F.lit("474946383961"), little(w), little(h), F.lit("800000000000FFFFFF" + "21F9040000000000" + "2C00000000"),
+        little(w), little(h), F.lit("0002"), little(F.lit(32), 2), F.substring(data, 1, 64), F.lit("00" + "3B"),
+    )
+    app = F.concat(F.lit("FFE1"), big(size * 40 + 2, 4), F.repeat(data, 40))  # a long segment before the size
+    jpeg = F.concat(
+        F.lit("FFD8"), app, app, F.lit("FFC0001108"), big(h, 4), big(w, 4), F.lit("03011100021100031100" + "FFDA0008010100003F00"),
+        data, F.lit("FF00FFD0"), data, F.lit("FFD9"),
+    )
+    bmp = F.concat(
+        F.lit("424D"), little(size + 54, 8), F.lit("00000000" + "36000000" + "28000000"), little(w, 8), little(h, 8), F.lit("01001800"),
+        F.lit("01000000"), little(size, 8), F.repeat(F.lit("00"), 16), data,
+    )
+    webp = F.concat(F.lit("52494646"), little(size + 22, 8), F.lit("574542505650" + "3820"), little(size + 10, 8), F.lit("0000009D012A"), little(w), little(h), data)
+    entry = lambda tag, value: F.concat(little(F.lit(tag)), F.lit("0400" + "01000000"), little(value, 8))
+    tiff = F.concat(  # pixels before the directory
+        F.lit("49492A00"), little(size + 8, 8), data, F.lit("0400"), entry(256, w), entry(257, h), entry(273, F.lit(8)), entry(279, size), F.lit("00000000")
+    )
+    kinds = ("png", "gif", "jpeg", "bmp", "webp", "tiff")
+    text = F.array(png, gif, jpeg, bmp, webp, tiff)
+    at = F.pmod(F.floor(F.col("conv_id") / 5), F.lit(6)).cast("int")
+    hexed = F.element_at(text, at + 1)
+    # The byte that changes lies in the pixel data of every kind.
+    place = F.element_at(F.array(F.lit(70), F.lit(60), F.lit(10_000), F.lit(70), F.lit(45), F.lit(12)), at + 1) * 2 + 1
+    place = F.when(F.element_at(F.array(*map(F.lit, kinds)), at + 1) == "jpeg", F.length(hexed) - 20).otherwise(place)
+    hurt = (
+        F.when(F.col("conv_id") % 5 == 1, F.substring(hexed, F.lit(1), F.length(hexed) - 6))
+        .when(F.col("conv_id") % 5 == 2, F.concat(F.substring(hexed, F.lit(1), place - 1), F.lit("7A"), F.substring(hexed, place + 2, F.length(hexed))))
+        .otherwise(hexed)
+    )
+    return per.select("conv_id", "w", "h", F.element_at(F.array(*map(F.lit, kinds)), at + 1).alias("kind"), F.unhex(hurt).alias("content"))
+
+
+def image_folder(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The files of ``whole_images`` under ``folder/part=N/conv-<id>``, one write a file, by the tasks that hold them."""
+    def write(rows):
+        import os
+
+        for r in rows:
+            path = f"{folder}/part={r.conv_id % 7}"
+            os.makedirs(path, exist_ok=True)
+            with open(f"{path}/conv-{r.conv_id}", "wb") as file:
+                file.write(r.content)
+
+    whole_images(spark, sf_dir).select("conv_id", "content").foreachPartition(write)
+
+
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(

@@ -192,6 +192,9 @@ def mixed(keys: str, steps: list, stop: str, slots: int, ranked: tuple[str, ...]
     )
 
 
+# The image files, as far as their headers and damages follow from the conversation.
+FILES = """files AS (SELECT conv_id, img_w, img_h, 'part='||conv_id%7||'/conv-'||conv_id AS ref,
+  ['png', 'gif', 'jpeg', 'bmp', 'webp', 'tiff'][conv_id//5%6+1] AS kind FROM conv WHERE img_w IS NOT NULL)"""
 DOC_KEYS = "keys AS (SELECT doc_id AS id, lang AS source_id FROM documents)"
 DOC_STEPS = [("'de'", 0.25), ("'en'", 0.375), ("'es'", 0.75), ("'fr'", None)]
 CONV_KEYS = "keys AS (SELECT DISTINCT conv_id AS id, (conv_id%3)::INTEGER AS source_id FROM conversations)"
@@ -333,6 +336,16 @@ ORACLES: dict[str, str] = {
     "exploded_turns": with_(RAW) + "SELECT conv_id, source_id, turn, src, value FROM raw",
     "training_shards": with_(*DOC_MIX) + "SELECT pos//500 AS shard, count(*) AS rows, min(pos) AS first_pos, max(pos) AS last_pos, sum(id)::BIGINT AS id_sum FROM mixed GROUP BY 1",
     "image_payload": with_(RAW, CONV) + "SELECT conv_id, CASE WHEN img_w IS NOT NULL THEN 'img-'||conv_id%50 END AS ref, CASE WHEN img_w IS NOT NULL THEN md5('img-'||conv_id%50) END AS payload FROM conv",
+    "image_fetch": with_(RAW, CONV, FILES) + """, shared AS (SELECT * FROM files WHERE conv_id%6=4 ORDER BY ref LIMIT 1)
+        SELECT conv_id, kind AS format, img_w AS width, img_h AS height FROM files WHERE conv_id%6=2
+        UNION ALL SELECT f.conv_id, s.kind, s.img_w, s.img_h FROM files f, shared s WHERE f.conv_id%6=4""",
+    "image_ranged_headers": with_(RAW, CONV, FILES) + "SELECT conv_id, kind AS format, img_w AS width, img_h AS height, true AS few_bytes FROM files",
+    "image_integrity": with_(RAW, CONV, FILES) + "SELECT conv_id, kind, NOT (conv_id%5=1 AND kind<>'tiff' OR conv_id%5=2 AND kind='png') AS whole FROM files",
+    "file_shards": """WITH parted AS (SELECT doc_id, floor(sqrt(doc_id%289))::INTEGER AS part FROM documents),
+        files AS (SELECT part, count(*) AS n FROM parted GROUP BY part),
+        placed AS (SELECT part, row_number() OVER (ORDER BY n DESC, 'part='||part||'/') - 1 AS nth FROM files),
+        dealt AS (SELECT part, CASE WHEN nth//3%2=0 THEN nth%3 ELSE 2-nth%3 END AS rank, CASE WHEN nth//3//2%2=0 THEN nth//3%2 ELSE 1-nth//3%2 END AS worker FROM placed)
+        SELECT rank, worker, count(DISTINCT part) AS files, count(*) AS rows, sum(doc_id)::BIGINT AS id_sum FROM parted JOIN dealt USING (part) GROUP BY 1, 2""",
     "sample_flags": with_(*GAPS) + "SELECT conv_id, n>0 AS has_turns, img_w IS NOT NULL AS has_image FROM gap",
     "valid_legacy": with_(*GAPS) + "SELECT conv_id FROM gap WHERE NOT absent AND img_w IS NOT NULL",
     "valid_strict": with_(*GAPS) + "SELECT conv_id FROM gap WHERE img_w IS NOT NULL AND has_user AND has_reply",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from colloquy.functions import templates as R
 from colloquy.functions import text as X
 from colloquy.functions import tokens as K
 from colloquy.functions import vision as V
+from colloquy.functions.integrity import image_fault
 from colloquy.operators import batching as B
 from colloquy.operators import encoding as E
 from colloquy.operators import metrics as G
@@ -27,9 +29,11 @@ from colloquy.operators import quality as Q
 from colloquy.operators.skew import ensure_checkpoint_dir, pin
 from colloquy.plans import prepare as P
 from colloquy.schema import SourceSpec
+from colloquy.sources import fetch
 from colloquy.sources import images as S
 from colloquy.sources.nesting import explode_turns
 from colloquy.sources.read import read_mixture, read_source, read_source_stream
+from colloquy.sources.splits import count_rows, file_plan, read_rank
 from colloquy.sources.write import write_quarantine, write_training_shards
 from colloquy.streaming import prepare as W
 
@@ -133,6 +137,63 @@ def training_shards(spark, sf):
     )
 
 
+def _image_files(spark, sf):
+    """A folder of image files, and the sample and path of each."""
+    folder = scratch(spark).removeprefix("file:")
+    fx.image_folder(spark, sf, folder)
+    path = F.concat(F.lit(f"{folder}/part="), (F.col("conv_id") % 7).cast("string"), F.lit("/conv-"), F.col("conv_id").cast("string"))
+    return folder, fx.whole_images(spark, sf).select("conv_id", "w", "h", path.alias("ref"))
+
+
+@query
+def image_fetch(spark, sf):
+    """Sizes read from fetched files: of their own for some samples, of one shared file for others; the rest is not opened."""
+    _, files = _image_files(spark, sf)
+    first = files.agg(F.min(F.when(F.col("conv_id") % 6 == 4, F.col("ref")))).first()[0]
+    plan = files.where("conv_id % 6 IN (2, 4)").select(
+        "conv_id", F.when(F.col("conv_id") % 6 == 4, F.lit(first)).otherwise(F.col("ref")).alias("ref")
+    )
+    fetched = fetch.attach_fetched(plan, spread="conv_id", hot_rows=50)
+    return S.image_dimensions(fetched).select("conv_id", "format", big("width"), big("height"))
+
+
+@query
+def image_ranged_headers(spark, sf):
+    """Format and size from a few ranges of every file, and whether that was less than 400 bytes."""
+    _, files = _image_files(spark, sf)
+    heads = fetch.read_headers(fetch.distinct_refs(files))
+    sized = S.image_dimensions(heads, "head")
+    return sized.join(files.select("ref", "conv_id"), "ref").select(
+        "conv_id", "format", big("width"), big("height"), (F.col("bytes_read") < 400).alias("few_bytes")
+    )
+
+
+@query
+def image_integrity(spark, sf):
+    """Which files are whole, by a walk of their containers."""
+    return fx.whole_images(spark, sf).select("conv_id", "kind", image_fault("content").isNull().alias("whole"))
+
+
+@query
+def file_shards(spark, sf):
+    """Files dealt to three ranks of two loader processes, and what each reads."""
+    out = f"{scratch(spark)}/documents"
+    part = F.floor(F.sqrt(F.col("doc_id") % 289)).cast("int")
+    fx.table(spark, sf, "documents").withColumn("part", part).repartition("part").write.partitionBy("part").parquet(out)
+    plan = pin(file_plan(count_rows(spark, out), world=3, workers=2))
+    spec = SourceSpec(out, split_column=None)
+    parts = []
+    for rank in range(3):
+        for worker in range(2):
+            mine = read_rank(spark, spec, plan, rank, worker)
+            if mine is not None:
+                parts.append(mine.select("doc_id", "part", F.lit(rank).alias("rank"), F.lit(worker).alias("worker")))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return rows.groupBy(big("rank"), big("worker")).agg(
+        F.countDistinct("part").alias("files"), F.count(F.lit(1)).alias("rows"), F.sum("doc_id").alias("id_sum")
+    )
+
+
 @query
 def image_payload(spark, sf):
     """Each sample gets the bytes of its (shared) image."""

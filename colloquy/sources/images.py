@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.images import image_format, image_size
+from colloquy.functions.integrity import image_fault
 from colloquy.operators.skew import HOT_ROWS, salted_left_join
 
 
@@ -39,6 +40,15 @@ def image_decodable(images: DataFrame, content: str = "content", jpeg: bool = Tr
     return sized.withColumn("decodable", known)
 
 
+def image_whole(images: DataFrame, content: str = "content") -> DataFrame:
+    """Adds ``decodable``: a known size in the header and a container that is whole to its end.
+
+    Stronger than ``image_decodable``: files that are cut off, and PNG files with any changed bit, fail.
+    """
+    known = image_decodable(images, content)
+    return known.withColumn("decodable", F.col("decodable") & image_fault(content).isNull()).select(*images.columns, "decodable")
+
+
 def attach_image_bytes(
     plan: DataFrame, images: DataFrame, ref: str = "ref", spread: str = "pos", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
