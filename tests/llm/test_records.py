@@ -253,7 +253,7 @@ def test_archive_against_sql(spark):
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"_llm_id": F.lit(1), "root": F.lit("x")})
     extra = docs.limit(1).withColumns({"doc_id": F.lit(None).cast("bigint"), "text": F.lit(None).cast("string")})
-    docs = docs.unionByName(docs.limit(3)).unionByName(extra).drop("_llm_id")
+    docs = docs.unionByName(docs.limit(3)).unionByName(extra, allowMissingColumns=True)
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stored(stage(spark, docs, SF), name)
@@ -273,3 +273,16 @@ def test_pipeline_stages(spark):
     assert {x.doc_id for x in packed} == {x.doc_id for x in docs.collect()}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_near_duplicates_stage_keeps_one_row_of_each_group(spark):
+    """Ids that are NULL, or stand for several texts; and columns named like the stage's own."""
+    text = {c: " ".join(f"{c}{i}" for i in range(100)) for c in "abcde"}
+    rows = [(0, text["a"]), (1, text["a"] + " tail"), (1, text["b"]), (None, text["a"] + " x"), (None, text["c"])]
+    rows += [(None, text["d"]), (None, text["d"] + " t"), (2, None), (2, None), (3, ""), (9, text["e"]), (9, text["e"] + " more"), (9, text["e"])]
+    docs = spark.createDataFrame([(i, t, "z", 5) for i, t in rows], "doc_id bigint, text string, _llm_id string, _llm_n int")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    # The second word tells texts of one group apart from others.
+    assert sorted((str(r.doc_id), (r.text or "-")[:1]) for r in got) == [
+        ("0", "a"), ("1", "b"), ("2", "-"), ("3", "-"), ("9", "e"), ("None", "c"), ("None", "d")
+    ]
