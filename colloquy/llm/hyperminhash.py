@@ -348,7 +348,7 @@ def _block_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(
+def near_duplicate_groups(
     docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``(key, n_shingles, component_id, kept, text_hash, group_id)`` per row of ``docs``.
@@ -426,3 +426,10 @@ def near_duplicates(
             F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "group_id",
         )
     )
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``(key, n_shingles, component_id, kept)`` of ``near_duplicate_groups``."""
+    return near_duplicate_groups(docs, words, percent, key, text).select(key, "n_shingles", "component_id", "kept")
