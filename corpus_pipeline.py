@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Where that id is NULL or has several texts in the group, the text of the least hash stays. Rows that repeat
     an id and its text are one document. Documents with NULL or empty texts have no copies and stay, once for each id.
     """
-    found = hyperminhash.near_duplicates(docs, words=5, percent=80).where("kept")
+    found = hyperminhash.near_duplicate_groups(docs, words=5, percent=80).where("kept")
     counted = stored(found.groupBy("group_id", "doc_id", "text_hash").count(), "kept-rows")
     one = F.min(F.struct("doc_id", "text_hash", "count")).alias("one")
     chosen = counted.where("group_id IS NOT NULL").groupBy("group_id").agg(one).select("one.*")
