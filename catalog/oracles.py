@@ -404,6 +404,7 @@ ORACLES: dict[str, str] = {
     "batch_modalities": with_(*padded(4, 2048)) + "SELECT batch_id, CASE WHEN NOT bool_or(img_w IS NOT NULL) THEN 'text' WHEN bool_and(img_w IS NOT NULL) THEN 'image' ELSE 'mixed' END AS modality, count(img_w) AS images FROM filled JOIN conv USING (conv_id) GROUP BY batch_id",
     "batch_image_refs": with_(*padded(4, 2048)) + "SELECT batch_id, coalesce(string_agg('img-'||conv_id%50, ',' ORDER BY pos) FILTER (WHERE img_w IS NOT NULL), '') AS images FROM filled JOIN conv USING (conv_id) GROUP BY batch_id",
     "collated_batches": with_(*padded(4, 2048)) + "SELECT batch_id, count(*) OVER (PARTITION BY batch_id) AS rows, conv_id AS longest_conv FROM filled QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY length DESC, conv_id)=1",
+    "collated_rows": with_(*padded(4, 2048)) + "SELECT batch_id, count(*) OVER (PARTITION BY batch_id) AS rows, conv_id AS longest_conv FROM filled QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY length DESC, conv_id)=1",
     "plugged_tokenizer": with_(*BASE, PROMPT) + ", bytes AS (SELECT conv_id, hex(encode(prompt)) AS h FROM prompts) SELECT conv_id, length(h)//2 AS n_input_ids, list_sum(list_transform(range(length(h)//2), lambda k: ('0x'||substr(h, 2*k+1, 2))::BIGINT))::BIGINT AS id_sum FROM bytes",
     "vision_grid": with_(RAW, CONV, GRID, CELL) + "SELECT conv_id, h::BIGINT AS grid_h, w::BIGINT AS grid_w FROM cell",
     "vision_anyres": with_(RAW, CONV, GRID, CELL) + f"SELECT conv_id, {anyres(1)} AS tokens_1, {anyres(9)} AS tokens_9 FROM fitted",
@@ -447,4 +448,9 @@ ORACLES: dict[str, str] = {
         "wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM cut)",
     ) + f"SELECT pos, pass, id, source_id, batch_id, width, len(ids) AS length, md5({text('ids || list_resize([]::BIGINT[], width-len(ids), -100)')}) AS labels_md5 FROM wide",
     "stream_rejects": with_(DOC_SAMPLE) + "SELECT lang AS source_id, 'no_assistant_text' AS reject_reason, count(*) AS rejects FROM doc WHERE told='' GROUP BY lang",
+    "stream_reject_updates": with_(DOC_SAMPLE) + "SELECT lang AS source_id, 'no_assistant_text' AS reject_reason, count(*) AS rejects FROM doc WHERE told='' GROUP BY lang",
+    "stream_outcomes": with_(*DOC_STREAM) + """SELECT 'accepted' AS outcome, doc_id AS id, NULL AS reject_reason, n_tokens, md5(prompt) AS prompt_md5 FROM doc_ready
+        UNION ALL SELECT 'rejected', doc_id, 'no_assistant_text', NULL, NULL FROM doc WHERE told=''""",
+    "keyed_turns": """SELECT conv_id, NULL AS role, NULL AS reject_reason, count(*) AS n_turns FROM conversations WHERE (conv_id+turn)%3<>0 GROUP BY conv_id
+        UNION ALL SELECT NULL, role, 'null_key', count(*) FROM conversations WHERE (conv_id+turn)%3=0 GROUP BY role""",
 }

@@ -31,11 +31,12 @@ from colloquy.plans import prepare as P
 from colloquy.schema import SourceSpec
 from colloquy.sources import fetch
 from colloquy.sources import images as S
-from colloquy.sources.nesting import explode_turns
+from colloquy.sources.nesting import assemble_conversations, explode_turns, keyless_turns
 from colloquy.sources.read import read_mixture, read_source, read_source_stream
 from colloquy.sources.splits import count_rows, file_plan, read_rank
 from colloquy.sources.write import write_quarantine, write_training_shards
 from colloquy.streaming import prepare as W
+from colloquy.streaming import sinks as U
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +119,19 @@ def nested_samples(spark, sf):
     return s.select("conv_id", F.size("conversations").cast("bigint").alias("n_turns"), F.array_join(turns, "|").alias("turns"))
 
 
+@query
+def keyed_turns(spark, sf):
+    """Turns of which many have lost their key: the others make conversations, these are counted by reason and role."""
+    key = F.when((F.col("conv_id") + F.col("turn")) % 3 != 0, F.col("conv_id"))
+    turns = fx.table(spark, sf, "conversations").select(key.alias("conv_id"), "turn", "role", "text")
+    nested = assemble_conversations(turns, fields=("role", "text"))
+    whole = nested.select("conv_id", F.lit(None).cast("string").alias("role"), big_size("conversations").alias("n_turns"))
+    lost = keyless_turns(turns).groupBy("reject_reason", "role").agg(F.count(F.lit(1)).alias("n_turns"))
+    return whole.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(
+        lost.withColumn("conv_id", F.lit(None).cast("bigint"))
+    )
+
+
 @query
 def exploded_turns(spark, sf):
     return explode_turns(fx.samples(spark, sf), keep=("conv_id", "source_id")).select(
@@ -617,6 +631,30 @@ def collated_batches(spark, sf):
     return B.collate(b, longest, "batch_id bigint, rows bigint, longest_conv bigint")
 
 
+@query
+def collated_rows(spark, sf):
+    """A user's batch function as a table function that gets one row at a time."""
+
+    class LongestOfBatch:
+        """The longest row of a batch, the smaller id of equals."""
+
+        def __init__(self):
+            self.rows, self.best = 0, None
+
+        def eval(self, row):
+            self.rows += 1
+            mine = (-row["length"], row["conv_id"])
+            if self.best is None or mine < self.best:
+                self.best, self.batch = mine, row["batch_id"]
+
+        def terminate(self):
+            if self.best is not None:
+                yield self.batch, self.rows, self.best[1]
+
+    b = _batched(spark, sf).select("batch_id", "pos", "conv_id", "length")
+    return B.collate_rows(b, LongestOfBatch, "batch_id bigint, rows bigint, longest_conv bigint")
+
+
 @query
 def plugged_tokenizer(spark, sf):
     """Any tokenizer, here one id per UTF-8 byte."""
@@ -858,6 +896,42 @@ def stream_rejects(spark, sf):
     return spark.read.schema(counts.schema).parquet(f"{out}/counts")
 
 
+def _arriving(spark, sf, out: str) -> DataFrame:
+    """Stream of the documents in three files, in the order of their ids."""
+    documents = fx.table(spark, sf, "documents")
+    last = documents.agg(F.max("doc_id")).first()[0]
+    for part in range(3):
+        place = F.floor(F.col("doc_id") * 3 / F.lit(last + 1))
+        documents.where(place == part).coalesce(1).write.parquet(f"{out}/in/part={part}")
+    return spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", "1").parquet(f"{out}/in/part=*")
+
+
+@query
+def stream_reject_updates(spark, sf):
+    """Only the counts that an epoch changes are written; the merged table is read."""
+    out = scratch(spark)
+    counts = W.reject_stream(fx.document_samples(_arriving(spark, sf, out)))
+    keys = ["source_id", "reject_reason"]
+    U.upsert_stream(counts, f"{out}/counts", f"{out}/state", keys, compact_every=2).awaitTermination()
+    return U.read_upserts(spark, f"{out}/counts", counts.schema, keys)
+
+
+@query
+def stream_outcomes(spark, sf):
+    """Accepted and rejected samples of one stream, each epoch of both committed at once."""
+    out = scratch(spark)
+    samples = fx.document_samples(_arriving(spark, sf, out))
+    U.outcome_stream(samples, f"{out}/rows", f"{out}/state").awaitTermination()
+    schema = P.prepare_judged(samples).schema
+    sides = [
+        U.read_outcome(spark, f"{out}/rows", schema, side).select(
+            F.lit(side).alias("outcome"), "id", "reject_reason", big("n_tokens"), F.md5("prompt").alias("prompt_md5")
+        )
+        for side in (U.ACCEPTED, U.REJECTED)
+    ]
+    return sides[0].unionByName(sides[1])
+
+
 STREAM_BUFFERS = {"de": 16, "en": 100, "es": 7}
 
 
@@ -865,14 +939,9 @@ STREAM_BUFFERS = {"de": 16, "en": 100, "es": 7}
 def stream_batches(spark, sf):
     """Documents by language as weighted sources, arriving in three files; buffers and draws go on between them."""
     out = scratch(spark)
-    documents = fx.table(spark, sf, "documents")
-    samples = fx.document_samples(documents)
+    samples = fx.document_samples(fx.table(spark, sf, "documents"))
     vocab = E.build_vocab(E.tokenize(P.render_prompts(samples)), VOCAB_SIZE)
-    for part in range(3):  # by id, so that files arrive in the order of ids
-        last = documents.agg(F.max("doc_id")).first()[0]
-        place = F.floor(F.col("doc_id") * 3 / F.lit(last + 1))
-        documents.where(place == part).coalesce(1).write.parquet(f"{out}/in/part={part}")
-    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", "1").parquet(f"{out}/in/part=*")
+    stream = _arriving(spark, sf, out)
     mix = {"weights": LANG_WEIGHTS, "buffer": STREAM_BUFFERS}
     W.batch_stream(fx.document_samples(stream), vocab, f"{out}/rows", f"{out}/state", 8, **mix).awaitTermination()
     W.finish_batches(spark, f"{out}/rows", f"{out}/state", 8, **mix)

@@ -153,3 +153,17 @@ def batch_images(df: DataFrame, ref: str = "ref", position: str = "pos", by: str
 def collate(df: DataFrame, fn: Callable, schema, by: str = "batch_id") -> DataFrame:
     """User hook: ``fn`` gets one batch (at most ``batch_size`` rows) as pandas."""
     return df.groupBy(by).applyInPandas(fn, schema)
+
+
+def collate_rows(
+    df: DataFrame, handler: type, schema, by: str | tuple[str, ...] = "batch_id", order: str | tuple[str, ...] = "pos"
+) -> DataFrame:
+    """User hook as a table function: ``handler().eval(row)`` sees a batch row by row in ``order``.
+
+    Both ``eval`` and ``terminate``, which is called at the end of each batch, may yield
+    rows of ``schema``. No batch is held as a whole, so its size has no bound. A NULL
+    batch is one batch. ``collate`` is faster where whole batches fit.
+    """
+    keys, places = ([x] if isinstance(x, str) else list(x) for x in (by, order))
+    table = df.asTable().partitionBy(*keys).orderBy(*places)
+    return F.udtf(handler, returnType=schema, useArrow=True)(table)

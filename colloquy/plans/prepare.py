@@ -85,10 +85,25 @@ def prepare(samples: DataFrame, config: PrepareConfig = PrepareConfig(), expand:
     ``expand_ids`` after encoding, where repeating numbers costs less. Cutting
     first loses nothing, as expansion only moves pieces further back.
     """
+    return _with_pieces(render_prompts(samples, config), config, expand)
+
+
+def prepare_judged(samples: DataFrame, config: PrepareConfig = PrepareConfig()) -> DataFrame:
+    """``prepare`` in one pass over all samples: rejected ones stay, with ``reject_reason`` and without a prompt."""
+    accepted = F.col("reject_reason").isNull()
+    judged = samples.withColumn("reject_reason", reject_reason(config.variant, slot=slot_token(config)))
+    rendered = judged.withColumns(
+        {"has_image": F.col("image").isNotNull(), "prompt": F.when(accepted, prompt_column(config))}
+    ).withColumn("n_slots", F.when(accepted, placeholder_count("prompt", slot_token(config))))
+    named = ("n_visual", "pieces", "n_tokens")
+    full = _with_pieces(rendered, config)
+    return full.withColumns({c: F.when(accepted, F.col(c)) for c in named})
+
+
+def _with_pieces(rendered: DataFrame, config: PrepareConfig, expand: bool = True) -> DataFrame:
     visual = F.coalesce("n_visual", F.lit(1))
     full = (
-        render_prompts(samples, config)
-        .withColumn("n_visual", visual_tokens(config))
+        rendered.withColumn("n_visual", visual_tokens(config))
         .withColumn("pieces", tokens.pieces("prompt", config.style))
         .withColumn("n_tokens", F.size("pieces") + F.col("n_slots") * (visual - 1))
         .withColumn("pieces", tokens.truncate("pieces", config.max_length))

@@ -19,6 +19,8 @@ def assemble_conversations(
     Turns are collected map-side first, so a conversation crosses the shuffle
     as a few partial lists, and one hash exchange on ``key`` is the only one;
     later per-conversation steps keyed by ``key`` reuse that partitioning.
+    Turns without a key belong to no conversation and are left out, so that they do not
+    all meet in one row; ``keyless_turns`` gives them.
     """
     src, value = fields
     turn = F.struct(
@@ -29,7 +31,13 @@ def assemble_conversations(
         ordered, lambda t: F.struct(t["src"].alias("src"), t["value"].alias("value"))
     )
     extra = [agg.alias(name) for name, agg in (carry or {}).items()]
-    return turns.groupBy(key).agg(*extra, conversations.alias("conversations"))
+    keyed = turns.where(F.col(key).isNotNull())
+    return keyed.groupBy(key).agg(*extra, conversations.alias("conversations"))
+
+
+def keyless_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Turns that name no conversation, with ``reject_reason``; row-local, for the quarantine."""
+    return turns.where(F.col(key).isNull()).withColumn("reject_reason", F.lit("null_key"))
 
 
 def explode_turns(samples: DataFrame, conversations: str = "conversations", keep=("conv_id",)) -> DataFrame:

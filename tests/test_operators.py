@@ -16,6 +16,7 @@ from colloquy.operators import mixing as I
 from colloquy.operators import ordering as O
 from colloquy.operators import skew
 from colloquy.schema import SourceSpec, check_specs
+from colloquy.sources.nesting import assemble_conversations, keyless_turns
 from colloquy.sources.write import write_training_shards
 
 
@@ -438,3 +439,40 @@ def test_steps_without_loss_have_no_weight(spark):
     rows = [(0, 0, 0, 4, 1.0), (0, 0, 1, 100, None), (0, 0, 2, 4, 3.0)]
     got = epoch_metric(spark.createDataFrame(rows, "run int, epoch int, step int, batch_size int, loss double")).first()
     assert (got["steps"], got["samples"], got["loss"]) == (3, 108, 2.0)
+
+
+def test_turns_without_a_key_stay_apart(spark):
+    """A third of the turns has no key: they make no conversation and do not move."""
+    turns = spark.range(9000).select(
+        F.when(F.col("id") % 3 != 0, F.col("id") % 100).alias("conv_id"), F.col("id").alias("turn"),
+        F.lit("user").alias("src"), F.lit("x").alias("value"),
+    )
+    nested = assemble_conversations(turns)
+    assert nested.where("conv_id IS NULL").count() == 0
+    assert nested.agg(F.sum(F.size("conversations"))).first()[0] == 6000
+    lost = keyless_turns(turns)
+    assert lost.count() == 3000 and {r[0] for r in lost.select("reject_reason").distinct().collect()} == {"null_key"}
+    assert "Exchange" not in lost._jdf.queryExecution().executedPlan().toString()
+
+
+def test_collate_rows_sees_batches_in_order(spark):
+    class EveryOther:
+        """Rows of a batch by turns, and one row at its end."""
+
+        def __init__(self):
+            self.n = 0
+
+        def eval(self, row):
+            self.n += 1
+            self.batch = row["batch_id"]
+            if self.n % 2:
+                yield self.batch, row["pos"]
+
+        def terminate(self):
+            yield self.batch, -self.n
+
+    rows = [(b, p) for b in (0, 1, 2, None) for p in range(5)]
+    df = spark.createDataFrame(rows[::-1], "batch_id bigint, pos bigint")
+    got = [tuple(r) for r in B.collate_rows(df, EveryOther, "batch bigint, pos bigint").collect()]
+    assert sorted(got, key=repr) == sorted([(b, p) for b in (0, 1, 2, None) for p in (0, 2, 4, -5)], key=repr)
+    assert B.collate_rows(df.limit(0), EveryOther, "batch bigint, pos bigint").count() == 0

@@ -13,6 +13,7 @@ from colloquy.schema import SAMPLE, SourceSpec, stream_mixture
 from colloquy.sources.read import read_mixture, read_source
 from colloquy.streaming import prepare as W
 from colloquy.streaming.mixer import StreamMixer
+from colloquy.streaming.sinks import UpsertTable, outcome_stream, read_outcome, read_upserts, upsert_stream
 
 
 @pytest.fixture(scope="module")
@@ -151,3 +152,73 @@ def test_a_source_that_never_comes(spark, tmp_path):
     assert placed.count() == 0  # the first slot that draws y waits for it
     commit()
     assert sorted(r["id"] for r in mixer.finish(spark, None).collect()) == list(range(9))
+
+
+COUNTS = T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.LongType())])
+
+
+def test_upserts_keep_the_newest_row_of_each_key(spark, tmp_path):
+    """Against a dictionary: replays, empty epochs, NULL keys, several rounds of compaction, a write that breaks off."""
+    out = UpsertTable(str(tmp_path / "u"), COUNTS, ["k"], compact_every=3)
+    assert out.read(spark).count() == 0
+    want = {}
+    for epoch in range(11):
+        rows = [] if epoch == 4 else [(None if k == 5 else f"k{k}", epoch * 10 + k) for k in range(epoch % 4, 6)]
+        frame = spark.createDataFrame(rows, COUNTS)
+        if epoch in (5, 7, 8):  # the data are written, the line in the log is not
+            before = sorted(map(repr, out.read(spark).collect()))
+            whole, out.log.commit = out.log.commit, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+            with pytest.raises(OSError):
+                out.write(spark.createDataFrame([("half", 1)], COUNTS), epoch)
+            out.log.commit = whole
+            assert sorted(map(repr, out.read(spark).collect())) == before
+        out.write(frame, epoch)
+        out.write(spark.createDataFrame([("again", 1)], COUNTS), epoch)  # committed already: changes nothing
+        want.update(dict(rows))
+        assert {r.k: r.n for r in out.read(spark).collect()} == want
+        assert out.read(spark).count() == len(want)
+    places = {p.name for p in (tmp_path / "u" / "epochs").iterdir()}
+    assert len(places) <= 6 and {p.name for p in (tmp_path / "u" / "table").iterdir()} == {"0", "1"}
+
+
+def test_upserts_of_one_epoch_and_bad_keys(spark, tmp_path):
+    out = UpsertTable(str(tmp_path / "u"), COUNTS, ["k"])
+    out.write(spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("a", None)], COUNTS), 0)
+    assert [tuple(r) for r in out.read(spark).collect()] == [("a", 3)]
+    for bad in ([], ["nothing"]):
+        with pytest.raises(ValueError):
+            UpsertTable("x", COUNTS, bad)
+
+
+def test_reject_updates_equal_batch(spark, folder, tmp_path):
+    stream = read_mixture(spark, [spec(folder, streaming=True)])
+    counts, keys = W.reject_stream(stream), ["source_id", "reject_reason"]
+    drain(upsert_stream(counts, str(tmp_path / "c"), str(tmp_path / "ck"), keys))
+    want = reject_summary(quarantine(read_mixture(spark, [spec(folder)])))
+    got = read_upserts(spark, str(tmp_path / "c"), counts.schema, keys)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_both_outcomes_or_neither(spark, folder, tmp_path):
+    """A failure between data and commit leaves nothing to read; the next start writes the epoch once."""
+    stream = read_mixture(spark, [spec(folder, streaming=True)])
+    whole = P.prepare_judged(read_mixture(spark, [spec(folder)]))
+    out, state = str(tmp_path / "o"), str(tmp_path / "ck")
+    sides = lambda: [read_outcome(spark, out, whole.schema, s) for s in ("accepted", "rejected")]
+
+    def fail(epoch):
+        raise OSError("lost between the outputs and the commit")
+
+    with pytest.raises(Exception, match="lost between"):
+        drain(outcome_stream(stream, out, state, on_written=fail))
+    assert [s.count() for s in sides()] == [0, 0]
+    drain(outcome_stream(stream, out, state))
+    drain(outcome_stream(stream, out, state))  # nothing new
+    good, bad = sides()
+    cols = ["id", "prompt", "n_tokens", "pieces"]
+    want = P.prepare(read_mixture(spark, [spec(folder)])).select(cols).collect()
+    assert sorted(map(repr, good.select(cols).collect())) == sorted(map(repr, want)) and want
+    left = quarantine(read_mixture(spark, [spec(folder)])).where("reject_reason IS NOT NULL").select("id", "reject_reason")
+    assert sorted(bad.select("id", "reject_reason").collect()) == sorted(left.collect())
+    assert bad.where("prompt IS NOT NULL OR pieces IS NOT NULL OR n_tokens IS NOT NULL").count() == 0
+    assert "PartitionFilters: [isnotnull(outcome" in good._jdf.queryExecution().executedPlan().toString()
