@@ -4,13 +4,16 @@ Rules find assignments, access keys and hex runs. Beyond them, every run of
 ``MIN_CHARS`` or more token characters is scored by the log-likelihood ratio of two
 first-order character models, one of random strings and one of ordinary
 identifiers, and reported where the ratio speaks for random. Both models are
-smoothed transition counts over labelled samples. ``labelled_samples`` makes such a
-table from a corpus: random are values that the rules found and digests of document
-ids in several alphabets; identifiers are words, joined words and numbers of the
-texts. It uses a bounded sample of documents; the scan covers whole texts of all rows.
-
-Rows: a NULL text is empty and has no spans. Repeated rows are scanned alike. With
-an empty sample all ratios are zero and only the rules report.
+smoothed transition counts over labelled samples. A transition that a run repeats
+speaks once, so lines of dashes or zeros have nothing to say however long they are.
+``labelled_samples`` makes such a table from a corpus: random are values that the rules
+found and digests of document ids in several alphabets; identifiers are words and numbers
+of the texts, paths, slugs and camel case made of them and of ``ORDINARY``, and alphabets
+in order. It uses a bounded sample of documents; the scan covers whole texts of all rows.
+
+Rows: a NULL text is empty and has no spans. Repeated rows are scanned alike and are one
+row of the sample. With an empty sample all ratios are zero and only the rules report.
+Very long runs of token characters are one run. Columns beyond key and text are not looked at.
 """
 
 from __future__ import annotations
@@ -30,10 +33,23 @@ MIN_CHARS = 20
 TOKEN = rf"[A-Za-z0-9+/_-]{{{MIN_CHARS},}}={{0,2}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: Bits by which a run must look more random than ordinary, in all and per character.
-MIN_RATIO = 12.0
-MIN_MEAN = 0.35
+MIN_RATIO = 16.0
+MIN_MEAN = 0.5
 SAMPLE_DOCS = 2000
 SMOOTHING = 0.5
+#: Labelled ordinary: what identifiers, paths and host names are made of.
+ORDINARY = (
+    "get set is has to from with by of in on at for the and or not new old add remove delete create update find search "
+    "list array map key value name type id index count size length width height min max sum first last next previous "
+    "start end begin stop open close read write load save file path dir folder home user usr local lib bin etc var share "
+    "include src test main app api http https www com org net html json xml config settings default option version build "
+    "make python java linux unix windows server client host port request response session token page class object "
+    "function method factory builder manager handler service provider controller listener event message string number "
+    "integer float double boolean true false null none error exception warning abstract interface base proxy singleton "
+    "bean context node tree graph table column row field record model view template style color image audio video text "
+    "document language unknown generic package module library system site http2 utf8 x86 x64 v1 v2 2024 01 12 31 100 1000"
+).split()
+IN_ORDER = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "1-2-3-4", "1_2_3_4", "1/2/3/4")
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -126,9 +142,9 @@ def train(samples: DataFrame, value: str = "value", random: str = "random") -> l
 
 
 def ratio(value: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio in bits of a string of ``ALPHABET`` characters."""
+    """Log-likelihood ratio in bits of a string of ``ALPHABET`` characters, each of its transitions once."""
     table = F.expr("cast(split('" + ",".join(map(repr, model)) + "', ',') as array<double>)")
-    return F.aggregate(_steps(value), F.lit(0.0), lambda acc, step: acc + F.get(table, step))
+    return F.aggregate(F.array_distinct(_steps(value)), F.lit(0.0), lambda acc, step: acc + F.get(table, step))
 
 
 def markov_spans(text: Column, model: list[float]) -> Column:
@@ -174,13 +190,30 @@ def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, done))
 
 
+def _shapes(words: Column) -> Column:
+    """A path, a slug, snake, camel and upper case of some words."""
+    titled = F.transform(words, F.initcap)
+    snake = F.array_join(words, "_")
+    return F.array(
+        F.concat(F.lit("/"), F.array_join(words, "/")), F.array_join(words, "-"), snake, F.upper(snake),
+        F.array_join(titled, ""), F.concat(F.get(words, F.lit(0)), F.array_join(F.slice(titled, 2, 40), "")),
+    )
+
+
 def labelled_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``(value, random)`` from at most ``sample_docs`` documents, chosen by the hash of their id."""
+    """``(value, random)`` from at most ``sample_docs`` documents, chosen by the hash of id and text.
+
+    Rows that repeat both are one document. Hashes are compared only where they lie in a
+    range that four times as many rows as wanted should fall into, so that neither the
+    choice nor a row with very many copies moves more than a few.
+    """
     order = F.xxhash64(F.col(key), F.xxhash64(text))
     chosen = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), order.alias("_h"))
-    # Only ids and hashes are sorted; their texts are fetched after.
-    picked = chosen.select("_h").orderBy("_h").limit(sample_docs).distinct()
-    sample = chosen.join(F.broadcast(picked), "_h", "left_semi")
+    share = min(1.0, 4 * sample_docs / max(1, docs.count()))
+    near = chosen.where(F.pmod("_h", F.lit(1 << 30)) < F.lit(share * (1 << 30)))
+    picked = near.select("_h").distinct().orderBy("_h").limit(sample_docs)
+    # Only hashes are sorted; their texts are fetched after.
+    sample = near.join(F.broadcast(picked), "_h", "left_semi").dropDuplicates(["_h"])
     digest = F.sha2(F.concat_ws("|", F.lit("sample"), F.col("_h").cast("string")), 256)
     made = F.array(
         F.substring(digest, 1, 40),
@@ -200,9 +233,13 @@ def labelled_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         F.lit("/"),
         F.array_join(F.transform(F.slice(F.col("w"), 1, 40), F.upper), "_"),
     )
+    known = F.array(*map(F.lit, ORDINARY))
+    picks = F.array(*(F.get(known, F.pmod(F.xxhash64("_h", F.lit(k)), F.lit(len(ORDINARY))).cast("int")) for k in range(6)))
     rows = sample.select(
-        F.concat(made, values).alias("r"), words.alias("w"), numbers.alias("n")
-    ).withColumn("o", F.concat("w", "n", F.array(joined)))
+        F.concat(made, values).alias("r"), words.alias("w"), numbers.alias("n"), picks.alias("g")
+    ).withColumn(
+        "o", F.concat("w", "n", F.array(joined), _shapes(F.slice("w", 1, 40)), _shapes(F.col("g")), F.array(*map(F.lit, IN_ORDER)))
+    )
     return (
         rows.select(F.explode("r").alias("value"), F.lit(True).alias("random"))
         .unionByName(rows.select(F.explode("o").alias("value"), F.lit(False).alias("random")))
