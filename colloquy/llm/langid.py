@@ -4,8 +4,9 @@
   non-letters being one space, hashed to ``DIMENSIONS``.
 - Document frequencies are counted over all training rows.
 - Weights are fitted by follow-the-regularised-leader with an elastic net on a
-  bounded sample: at most ``per_language`` rows of each language and ``MOST_ROWS``
-  in all, in equal shares, chosen by hash. Only these reach the driver.
+  bounded sample: at most ``per_language`` rows of each language and ``most_rows``
+  in all, in equal shares, chosen by the hash of id and text. Rows that repeat both are one.
+  The choice is made by Spark, and only what it chose reaches the driver.
   A fifth of the sample is kept back to fit the temperature.
 - Whole texts are used everywhere; long ones go through in slices.
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 15
@@ -160,38 +161,46 @@ def _sparse(rows: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     ]
 
 
+def _sample(rows: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
+    """Up to ``per_language`` different rows of each language, those of the least hash.
+
+    Only hashes below a bound that four times as many rows should keep are looked at, so
+    however many copies a row has, few rows move and no task gets a whole language.
+    """
+    share = F.lit(None).cast("double")
+    for name, size in sizes.items():
+        share = F.when(F.col("_lang") == name, min(1.0, 4 * per_language / size)).otherwise(share)
+    u = F.pmod("_h", F.lit(1 << 30)) / float(1 << 30)
+    near = rows.where((u < share) & F.col("_text").rlike(r"\p{L}"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h"))
+    picked = near.select("_lang", "_h").distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    mine = near.join(F.broadcast(picked.drop("_rank")), ["_lang", "_h"], "left_semi")
+    return mine.dropDuplicates(["_lang", "_h"]).select("_lang", "_h", "_text")
+
+
 def train(
     docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    per_language: int = PER_LANGUAGE,
+    per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS,
 ) -> Model | None:
     """Fit on the rows of ``docs`` for which ``learn`` holds."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(key).alias("_h")
+        F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key), F.xxhash64(text)).alias("_h")
     )
     sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} language labels")
-    per_language = min(per_language, MOST_ROWS // max(1, len(sizes)))
+    per_language = max(1, min(per_language, most_rows // max(1, len(sizes))))
     df, n = _document_frequencies(rows.select("_text"))
     if not n:
         return None
-    # An even share of the hash range per language, so that about per_language rows are read.
-    share = F.lit(None).cast("double")
-    for name, size in sizes.items():
-        share = F.when(F.col("_lang") == name, min(1.0, per_language / size)).otherwise(share)
-    u = F.pmod("_h", F.lit(1 << 30)) / float(1 << 30)
-    found = _sparse(rows.where(u < share).select("_lang", "_h", "_text"))
+    found = _sparse(_sample(rows, sizes, per_language))
     found.sort(key=lambda r: (r[0], r[1] % (1 << 30), r[1], r[2].tobytes(), r[3].tobytes()))
-    kept: list = []
-    for r in found:
-        if len(kept) < per_language or kept[-per_language][0] != r[0]:
-            kept.append(r)
-    if not kept:
+    if not found:
         return None
-    languages = sorted({r[0] for r in kept})
+    languages = sorted({r[0] for r in found})
     model = Model(languages, np.log((1 + n) / (1 + df)) + 1, np.zeros((DIMENSIONS + 1, len(languages))))
     vectors = []
-    for name, _, at, counts in kept:
+    for name, _, at, counts in found:
         dense = np.zeros(DIMENSIONS, np.int64)
         dense[at] = counts
         vectors.append((*model.vector(dense), languages.index(name)))
