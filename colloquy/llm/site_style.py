@@ -8,19 +8,27 @@ elements (with their classes and ids) down to it. Over a host's pages
 - the content importance is one minus the mean, over the distinct texts directly in
   it, of log(pages with that text) / log(pages with the node),
 
-and a branch is as important as the most important node in it. Branches below
-``threshold`` on hosts with enough pages, copies counted once, are removed from each page. Two priors
-hold for every page, also on hosts with few: elements that are navigation, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or comments by tag, class, id or
-role have no importance, and where a page marks its article, plain elements in it have
-full importance and what is outside has none.
+and a branch is as important as the most important node in it; nodes on fewer than
+``min_pages`` pages, copies counted once, have full importance. What an element's tag,
+class, id and role say is added, and a branch whose sum is below ``threshold`` is removed:
+
+- ``NOISE`` for navigation, headers, footers, sidebars, notices, adverts, forms and
+  comments, by tag or by whole class names ("site-footer", not "article-header");
+- ``HINT`` for class names that only contain such a word, so there the tree decides;
+- ``MARKED`` for classed elements inside a marked article; plain ones in it stay.
+
+A wrapper is not condemned by its name: where an element holds most of the page's
+prose, ``NOISE`` and ``HINT`` are not added, unless it is a comment section, or by its
+tag a menu or the like that does not hold every marked article. A marked article is judged by neither
+its wrappers nor the tree; what lies outside it is left out. Scripts and styles have no text.
 
 Trees are counted as (host, node, feature) rows with map-side combining, so a host
 with a third of all pages is no hot spot. The removed branches go to the tasks as a
 broadcast if they are few, else each page's own nodes are joined with them.
 
 Rows: a NULL html is empty, a NULL url has the empty host. NULL or repeated page
-ids are pages like any other.
+ids are pages like any other. An empty table gives no rows. A page is read whole by one
+task, however long; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,6 +45,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import stored
 
 THRESHOLD = 0.4
+NOISE, HINT, MARKED = -0.7, -0.3, 0.2
 MIN_PAGES = 5
 BROADCAST_NODES = 200_000
 #: Elements below this depth are one node with the one above them; no text is lost.
@@ -56,9 +65,18 @@ BLOCK = frozenset(
     "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
     "optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
+PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split())
 NOISE_TAGS = frozenset(
     "nav header footer aside form button select dialog menu head svg canvas object search".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus respond".split())
+#: Parts of a class name that leave the meaning of a noise word beside them as it is.
+FILLERS = frozenset(
+    "area bar bottom box container footer global inner item left links list main page primary right secondary "
+    "section site slot top unit wrap wrapper".split()
+)
+#: First parts that say how a wrapper is laid out.
+LAYOUT = frozenset("closed has hide is no not open show with without".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments "
     "complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
@@ -83,35 +101,57 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def _said(tokens) -> tuple[float, bool]:
+    """What class names add to importance, and whether they mean comments."""
+    prior, comment = 0.0, False
+    for token in tokens:
+        parts = _WORD.findall(token)
+        found = NOISE_WORDS.intersection(parts)
+        if not found:
+            continue
+        if parts[0] not in LAYOUT and not COMMENT_WORDS.isdisjoint(parts):
+            comment = True
+        whole = all(part in NOISE_WORDS or part in FILLERS for part in parts)
+        prior = min(prior, NOISE if whole or comment else HINT)
+    return prior, comment
+
+
 class _Element:
-    __slots__ = ("tag", "node", "noise", "main", "path", "prunable", "children")
+    __slots__ = ("tag", "parent", "node", "depth", "styled", "said", "comment", "mark", "children", "prose", "holds", "noise", "main", "prior")
 
     def __init__(self, parent, tag, attributes):
-        self.tag = tag
+        self.tag, self.parent, self.children = tag, parent, []
         named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
         style = " ".join(named[k] for k in ("class", "id") if k in named)
-        words = set(_WORD.findall(f"{style} {named.get('role', '')}".lower())) if style or "role" in named else ()
-        self.noise = parent is not None and parent.noise
-        if tag in ("article", "main"):
-            self.noise = self.noise or not {"comment", "comments"}.isdisjoint(words)
-        elif tag not in ("html", "body"):
-            self.noise = self.noise or tag in NOISE_TAGS or not NOISE_WORDS.isdisjoint(words)
-        starts_main = not self.noise and (
-            tag in ("article", "main") or named.get("role", "").lower() == "main" or "articlebody" in named.get("itemprop", "").lower()
-        )
-        self.main = starts_main or (parent is not None and parent.main)
-        self.children = []
-        # What a marked article lies in does not decide on it.
-        opens_main = starts_main and not (parent is not None and parent.main)
-        self.prunable = parent.prunable if parent is not None and not opens_main else ()
-        if parent is not None and len(parent.path) >= MAX_DEPTH:
-            self.node, self.path = parent.node, parent.path
-            return
-        above = parent.node if parent is not None else 0
-        self.node = xxhash.xxh64_intdigest(f"{above} {tag} {style}") >> 1
-        self.path = ((*parent.path, self.node) if parent is not None else (self.node,))
-        if tag not in ("html", "body") and not starts_main and (style or not self.main):
-            self.prunable = (*self.prunable, self.node)
+        role = named.get("role", "").lower()
+        self.styled = bool(style)
+        self.said, self.comment = _said(f"{style} {role}".lower().split()) if style or role else (0.0, False)
+        self.mark = tag in ("article", "main") or role == "main" or "articlebody" in named.get("itemprop", "").lower()
+        if self.mark and not self.comment or tag in ("html", "body"):
+            self.said = 0.0
+        elif tag in NOISE_TAGS:
+            self.said = NOISE
+        self.prose, self.holds = 0, 0
+        self.noise, self.main, self.prior = False, False, None
+        self.depth = parent.depth + 1 if parent is not None else 0
+        if self.depth >= MAX_DEPTH:
+            self.node = parent.node
+        else:
+            self.node = xxhash.xxh64_intdigest(f"{parent.node if parent is not None else 0} {tag} {style}") >> 1
+
+    def judge(self, root: _Element) -> None:
+        """Sets ``noise`` (no importance could make up for it), ``main`` and ``prior`` (None: not judged)."""
+        above, said = self.parent, self.said
+        may_wrap = self.tag not in NOISE_TAGS or self.tag == "form" or self.holds == root.holds > 0
+        if 2 * self.prose > root.prose and may_wrap and not self.comment:
+            said = 0.0
+        self.noise = above.noise or said <= NOISE
+        opens = self.mark and not self.noise
+        self.main = above.main or opens
+        if opens or self.holds or self.tag in ("html", "body") or (above.main and not self.styled):
+            self.prior = None
+        else:
+            self.prior = said + (MARKED if above.main else 0.0)
 
 
 class Page:
@@ -138,6 +178,19 @@ class Page:
                 self._start(tag, m[3])
         self._text.append(source[at:])
         self._flush()
+        self._judge()
+
+    def _judge(self):
+        root = self.stack[0]
+        prose = any(e.tag in PROSE for e, _ in self.blocks)
+        for e, text in self.blocks:
+            if not prose or e.tag in PROSE:
+                e.prose += len(text)
+        for e in reversed(self.elements):
+            e.parent.prose += e.prose
+            e.parent.holds += e.holds + (e.mark and not e.comment)
+        for e in self.elements:
+            e.judge(root)
 
     def _flush(self):
         if self._text:
@@ -170,7 +223,7 @@ class Page:
             self._push(_Element(self.stack[-1], tag, attributes))
         elif tag not in VOID and "=" in attributes:
             inline = _Element(self.stack[-1], tag, attributes)
-            if inline.noise and not self.stack[-1].noise:
+            if inline.said <= NOISE:
                 self._flush()
                 self._push(inline)
 
@@ -188,14 +241,18 @@ class Page:
                 del self.stack[k:]
                 return
 
-    def main_text(self, removed) -> str:
-        """Blocks of the article, or of the whole page if none is marked, without removed branches."""
+    def main_text(self, importance, threshold: float = THRESHOLD) -> str:
+        """Blocks of the article, or of the whole page if none is marked, without removed branches.
+
+        ``importance`` holds the nodes of the host that may be removed; others have full importance.
+        """
         marked = any(e.main for e in self.elements)
-        return "\n".join(
-            text
-            for e, text in self.blocks
-            if not e.noise and (e.main or not marked) and removed.isdisjoint(e.prunable)
-        )
+        removed = set()
+        for e in self.elements:
+            low = e.prior is not None and importance.get(e.node, 1.0) + e.prior < threshold
+            if low or e.noise or e.parent in removed:
+                removed.add(e)
+        return "\n".join(text for e, text in self.blocks if e not in removed and (e.main or not marked))
 
 
 def parse(source: str | None) -> Page:
@@ -208,9 +265,14 @@ def _features(page: Page):
     for e in page.elements:
         if e.noise:
             continue
-        out.add((e.node, 0, 0))
         out.add((e.node, 2, xxhash.xxh64_intdigest(repr(e.children)) >> 1))
-        out.update((e.node, 3, above) for above in e.path)
+        if (e.node, 0, 0) in out:
+            continue
+        out.add((e.node, 0, 0))
+        above = e
+        while above is not None:
+            out.add((e.node, 3, above.node))
+            above = above.parent
     for e, text in page.blocks:
         if not e.noise:
             out.add((e.node, 1, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1))
@@ -258,7 +320,7 @@ def style_nodes(
 
 
 def removed_branches(nodes: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``(host, node)`` of the branches without importance."""
+    """``(host, node, importance)`` of the branches that are below ``threshold`` or that ``HINT`` can bring there."""
     text, children = F.col("kind") == 1, F.col("kind") == 2
     count = lambda kind, value: F.sum(F.when(kind, value))
     own = (
@@ -284,8 +346,8 @@ def removed_branches(nodes: DataFrame, threshold: float = THRESHOLD, min_pages:
         above.join(own, ["host", "node"])
         .groupBy("host", "branch")
         .agg(F.max("importance").alias("importance"))
-        .where(F.col("importance") < threshold)
-        .select("host", F.col("branch").alias("node"))
+        .where(F.col("importance") < threshold - HINT)
+        .select("host", F.col("branch").alias("node"), "importance")
     )
 
 
@@ -299,16 +361,17 @@ def extract(
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"))
     few = removed.count() <= broadcast_nodes
     if few:
-        by_host: dict[int, set[int]] = {}
+        by_host: dict[int, dict[int, float]] = {}
         for r in removed.collect():
-            by_host.setdefault(r["host"], set()).add(r["node"])
+            by_host.setdefault(r["host"], {})[r["node"]] = r["importance"]
         sent = pages.sparkSession.sparkContext.broadcast(by_host)
-        rows = rows.withColumn("_removed", F.lit(None).cast("array<bigint>"))
+        rows = rows.withColumn("_removed", F.lit(None).cast("array<struct<node:bigint,importance:double>>"))
     else:
         sent = None
         rows = rows.withColumn("_page", F.xxhash64("_url", "_html"))
         found = (
-            page_nodes(rows).join(removed, ["host", "node"]).groupBy("_page").agg(F.collect_set("node").alias("_removed"))
+            page_nodes(rows).join(removed, ["host", "node"]).groupBy("_page")
+            .agg(F.collect_list(F.struct("node", "importance")).alias("_removed"))
         )
         rows = rows.join(found, "_page", "left").select("_key", "_url", "_html", "_removed")
 
@@ -317,8 +380,10 @@ def extract(
             texts = []
             for u, source, nodes in zip(*(batch.column(c).to_pylist() for c in ("_url", "_html", "_removed"))):
                 if sent is not None:
-                    nodes = sent.value.get(xxhash.xxh64_intdigest(host_of(u)) >> 1)
-                texts.append(parse(source).main_text(set(nodes or ())))
+                    low = sent.value.get(xxhash.xxh64_intdigest(host_of(u)) >> 1, {})
+                else:
+                    low = {x["node"]: x["importance"] for x in nodes or ()}
+                texts.append(parse(source).main_text(low, threshold))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_key"), batch.column("_url"), pa.array(texts, pa.string())], names=["_key", "_url", "text"]
             )

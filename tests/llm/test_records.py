@@ -148,7 +148,7 @@ def page(body):
 
 
 def test_extraction_rules():
-    text = lambda s: site_style.parse(s).main_text(set())
+    text = lambda s: site_style.parse(s).main_text({})
     nav, foot = "<nav><ul><li><a href=x>Home</a></ul></nav>", "<footer>&copy; me</footer>"
     assert text(page(f"{nav}<article><h1>A  b</h1><p><b>one<br><p>two &lt;x&gt;&nbsp;y\n z</article>{foot}")) == "A b\none\ntwo <x> y z"
     assert text(page(f"<header>h</header><p>one<p>two<div class='cookie-notice'>no</div><form><p>f</form>{foot}")) == "one\ntwo"
@@ -160,6 +160,88 @@ def test_extraction_rules():
     assert text(None) == text("") == text("<script>x") == "" and text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_names_of_wrappers_do_not_empty_an_article():
+    text = lambda s: site_style.parse(page(s)).main_text({})
+    assert text('<div class="page with-sidebar"><article><p>the article</p></article></div>') == "the article"
+    assert text("<form id=aspnetForm><article><p>the article</p></article></form>") == "the article"
+    assert text("<form id=aspnetForm><div><p>the text</p></div><div class=nav>Home</div></form>") == "the text"
+    assert text('<div class="content no-sidebar"><p>the text</div>') == "the text"
+    assert text('<article><div class="article-header"><h1>Title</h1></div><p class="share-price">12</p><p>body') == "Title\n12\nbody"
+    assert text('<div class="widget"><div><p>the long text of the page</p></div></div><div class="widget"><p>short</p></div>') == "the long text of the page"
+    # Whole names still decide on parts of a page, and comments however long they are.
+    assert text('<p>text</p><div class="site-footer">me</div><div class="main-nav">a</div><p>more') == "text\nmore"
+    assert text("<p>text</p><section class='post-comments'><p>a comment that is far longer than the text</p></section>") == "text"
+    assert text("<section id=comments><article><p>a long comment</p></article></section><div><p>text") == "text"
+    assert text("<article><p>text</p></article><aside><article><p>a teaser longer than the text</p></article></aside>") == "text"
+    assert text("<p>t</p><nav><p>a menu that is far longer than the text</p></nav>") == "t"
+
+
+def test_importance_decides_on_names_that_only_contain_a_noise_word(spark):
+    body = "<p>a text of its own, longer than the rest of the page, {k}</p><div class='share-price'>{x}</div>"
+    rows = [(k, "http://own.example/", page(body.format(k=k, x=f"price {k}"))) for k in range(8)]
+    rows += [(100 + k, "http://same.example/", page(body.format(k=k, x="follow us"))) for k in range(8)]
+    rows += [(200 + k, "http://few.example/", page(body.format(k=k, x="follow us"))) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for limit in (10**6, 0):
+        for x in site_style.extract(df, broadcast_nodes=limit).collect():
+            k, host = x.page_id % 100, x.page_id // 100
+            more = [f"\nprice {k}", "", "\nfollow us"][host]
+            assert x.text == f"a text of its own, longer than the rest of the page, {k}{more}"
+
+
+def test_importance_against_its_formula(spark):
+    """Random trees: importance of every branch by plain Python."""
+    r = random.Random(5)
+    sources = []
+    for _ in range(30):
+        parts = [f"<div class=c{r.randint(0, 3)}><p>{r.choice(['a', 'b', str(r.random())])}</p>" + "<ul></ul>" * r.randint(0, 2) + "</div>" for _ in range(r.randint(1, 4))]
+        sources.append(page("".join(parts)))
+    df = spark.createDataFrame([("http://h/", s) for s in sources], "url string, html string")
+    got = {x.node: x.importance for x in site_style.removed_branches(site_style.style_nodes(df), threshold=2.0).collect()}
+    pages, texts, uses, above = (collections.defaultdict(x) for x in (int, collections.Counter, collections.Counter, set))
+    for s in set(sources):
+        found = site_style.parse(s)
+        elements = [e for e in found.elements if not e.noise]
+        for n in {e.node for e in elements}:
+            pages[n] += 1
+        for n, t in {(e.node, t) for e, t in found.blocks}:
+            texts[n][t] += 1
+        for n, c in {(e.node, tuple(e.children)) for e in elements}:
+            uses[n][c] += 1
+        for e in elements:
+            up = e
+            while up is not None:
+                above[up.node].add(e.node)
+                up = up.parent
+
+    def own(n):
+        if pages[n] < site_style.MIN_PAGES:
+            return 1.0
+        content = 1 - np.mean([np.log(x) for x in texts[n].values()]) / np.log(pages[n]) if texts[n] else 0.0
+        shares = np.array(list(uses[n].values())) / sum(uses[n].values())
+        return max(content, -(shares * np.log(shares)).sum() / np.log(pages[n]))
+
+    want = {n: max(own(m) for m in below) for n, below in above.items()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+
+
+@tables
+def test_pages_that_mark_no_article(spark):
+    """The given pages with plain ``div`` in place of ``article``: at least 0.98 of the characters are right."""
+    given = spark.read.parquet(f"{SF}/pages.parquet")
+    bare = given.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    want = {x.page_id: x.text for x in site_style.extract(given).collect()}
+    lines = lambda text: collections.Counter(text.split("\n"))
+    right = kept = due = 0
+    for x in site_style.extract(bare).collect():
+        a, b = lines(x.text), lines(want[x.page_id])
+        right += sum(len(t) * n for t, n in (a & b).items())
+        kept += sum(len(t) * n for t, n in a.items())
+        due += sum(len(t) * n for t, n in b.items())
+    print(f"of {due} characters {right} found, of {kept} kept")
+    assert right >= 0.98 * due and right >= 0.98 * kept
+
+
 def test_copies_of_a_page_are_one_page_of_its_host(spark):
     plain = page("<div class=x1><p>same words</p></div>")
     wrapped = page("<div id=page><article><p>the article</p></article></div>")
