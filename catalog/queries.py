@@ -63,7 +63,7 @@ def big(name: str):
 
 
 def joined(col, sep: str = ","):
-    return F.array_join(F.transform(col, lambda x: x.cast("string")), sep)
+    return F.array_join((F.col(col) if isinstance(col, str) else col).cast("array<string>"), sep)
 
 
 # ---------------------------------------------------------------- sources, sinks
@@ -563,7 +563,7 @@ def expanded_image_tokens(spark, sf):
         "conv_id",
         big_size("input_ids"),
         F.md5(joined("input_ids")).alias("ids_md5"),
-        F.size(F.filter("input_ids", lambda x: x == fixed.IMAGE_ID)).cast("bigint").alias("n_image_tokens"),
+        K.count_of("input_ids", fixed.IMAGE_ID).cast("bigint").alias("n_image_tokens"),
     )
 
 
@@ -577,15 +577,24 @@ def truncation_losses(spark, sf):
     return E.truncation_report(_expanded(spark, sf), 1024)
 
 
-def _batched(spark, sf, batch_size=4, max_length=2048):
-    """Conversations in shuffled order, batched over all sources, expanded, cut and padded."""
+def _placed(rows, batch_size=4):
+    """Rows in shuffled order, batched over all sources."""
+    rows = pin(rows)
+    keys = rows.select("conv_id").withColumn("all", F.lit(0))
+    placed = O.seeded_shuffle(keys, "conv_id", source="all", out="pos").drop("all").join(rows, "conv_id")
+    return B.assign_batches(placed, batch_size)
+
+
+def _placed_images(spark, sf):
+    """Batches of the accepted samples without their texts."""
+    return _placed(P.accept(fx.samples(spark, sf), P.PrepareConfig()).select("conv_id", "image"))
+
+
+def _batched(spark, sf, max_length=2048):
+    """Conversations in batches, expanded, cut and padded."""
     config = P.PrepareConfig(max_length=max_length)
-    ids = pin(_ids(spark, sf).withColumn("n_visual", P.visual_tokens(config)))
-    keys = ids.select("conv_id").withColumn("all", F.lit(0))
-    placed = O.seeded_shuffle(keys, "conv_id", source="all", out="pos").drop("all").join(ids, "conv_id")
-    return B.pad_to_longest(
-        B.assign_batches(placed, batch_size), length=P.expanded_length(config), ready=P.expand_ids(config)
-    )
+    placed = _placed(_ids(spark, sf).withColumn("n_visual", P.visual_tokens(config)))
+    return B.pad_to_longest(placed, length=P.expanded_length(config), ready=P.expand_ids(config))
 
 
 @query
@@ -608,12 +617,12 @@ def batch_summaries(spark, sf):
 
 @query
 def batch_modalities(spark, sf):
-    return B.batch_modality(_batched(spark, sf), F.col("image").isNotNull())
+    return B.batch_modality(_placed_images(spark, sf), F.col("image").isNotNull())
 
 
 @query
 def batch_image_refs(spark, sf):
-    b = _batched(spark, sf).withColumn("ref", F.col("image.ref"))
+    b = _placed_images(spark, sf).withColumn("ref", F.col("image.ref"))
     return B.batch_images(b).select("batch_id", F.array_join("images", ",").alias("images"))
 
 

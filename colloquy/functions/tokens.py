@@ -29,7 +29,10 @@ def pieces(prompt: Column | str, style: str = "image_first") -> Column:
 def expand_image_tokens(
     ids: Column | str, n_visual: Column | str | int, image_id: int = fixed.IMAGE_ID
 ) -> Column:
-    """Each image placeholder becomes ``n_visual`` copies of itself."""
+    """Each image placeholder becomes ``n_visual`` copies of itself.
+
+    Around a single one, which is the usual case, arrays are copied whole.
+    """
     n = F.lit(n_visual) if isinstance(n_visual, int) else column(n_visual)
     c = column(ids)
     spread = F.flatten(
@@ -38,7 +41,17 @@ def expand_image_tokens(
             lambda x: F.when(x == image_id, F.array_repeat(x, n.cast("int"))).otherwise(F.array(x)),
         )
     )
-    return F.when(F.array_contains(c, image_id), spread).otherwise(c)
+    place = F.array_position(c, image_id).cast("int")
+    around = F.concat(
+        F.slice(c, F.lit(1), F.greatest(place - 1, F.lit(0))), F.array_repeat(F.lit(image_id), n.cast("int")), F.slice(c, place + 1, F.size(c))
+    )
+    return F.when(place == 0, c).when(count_of(c, image_id) == 1, around).otherwise(spread)
+
+
+def count_of(ids: Column | str, value: int) -> Column:
+    """How many elements of ``ids`` are ``value``."""
+    c = column(ids)
+    return F.size(c) - F.size(F.array_remove(c, value))
 
 
 def truncate(ids: Column | str, max_length: int = fixed.DEFAULT_MAX_LENGTH) -> Column:

@@ -121,7 +121,7 @@ def pad_to_longest(
 
 def batch_summary(df: DataFrame, by: str | tuple[str, ...] = "batch_id") -> DataFrame:
     """Rows, width, real tokens, pad share and supervised labels of every batch."""
-    supervised = F.size(F.filter("labels", lambda x: x != fixed.IGNORE_LABEL))
+    supervised = F.size("labels") - tokens.count_of("labels", fixed.IGNORE_LABEL)
     keys = [by] if isinstance(by, str) else list(by)
     return (
         df.groupBy(*keys)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +68,18 @@ def reject_reason(
 
 
 def has_stray_slot(conv: str = "conversations", slot: str = fixed.IMAGE_SLOT) -> Column:
-    """Whether a turn that a message is built from holds ``slot`` after cleaning."""
+    """Whether a turn that a message is built from holds ``slot`` after cleaning.
+
+    A marker that survives cleaning was put together by it or stood there before, so
+    only samples that hold one anywhere are looked at turn by turn.
+    """
+    said = F.array_join(F.col(conv)["value"], "\n")
+    suspects = [F.contains(said, F.lit(m)) for m in dict.fromkeys((slot, fixed.IMAGE_SLOT))]
 
     def stray(t):
-        # A marker that survives cleaning was put together by it or stood there before.
-        suspect = F.contains(t["value"], F.lit(slot)) | F.contains(t["value"], F.lit(fixed.IMAGE_SLOT))
-        left = F.contains(clean_text(t["value"]), F.lit(slot))
-        return (is_user(t["src"]) | is_assistant(t["src"])) & F.coalesce(suspect, F.lit(False)) & left
+        return (is_user(t["src"]) | is_assistant(t["src"])) & F.contains(clean_text(t["value"]), F.lit(slot))
 
-    return F.coalesce(F.exists(conv, stray), F.lit(False))
+    return F.when(reduce(or_, suspects), F.coalesce(F.exists(conv, stray), F.lit(False))).otherwise(False)
 
 
 def quarantine(df: DataFrame, variant: str = "current", **columns) -> DataFrame:

@@ -126,7 +126,7 @@ def expand_ids(config: PrepareConfig, ids: str = "input_ids") -> Column:
 
 def expanded_length(config: PrepareConfig, ids: str = "input_ids") -> Column:
     """How many ids ``expand_ids`` will give, without expanding them."""
-    slots = F.size(F.filter(ids, lambda x: x == _image_id(config)))
+    slots = tokens.count_of(ids, _image_id(config))
     return F.least(F.size(ids) + slots * (F.coalesce("n_visual", F.lit(1)) - 1), F.lit(config.max_length))
 
 
