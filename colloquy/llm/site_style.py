@@ -357,7 +357,8 @@ def extract(
 ) -> DataFrame:
     """``(key, url, text)`` per row of ``pages``: its main text, one block a line."""
     kind = pages.schema[key].dataType.simpleString()
-    removed = stored(removed_branches(style_nodes(pages, url, html, broadcast_nodes), threshold, min_pages), "branches")
+    nodes = stored(style_nodes(pages, url, html, broadcast_nodes), "nodes")
+    removed = stored(removed_branches(nodes, threshold, min_pages), "branches")
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"))
     few = removed.count() <= broadcast_nodes
     if few:
