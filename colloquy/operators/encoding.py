@@ -93,6 +93,16 @@ def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint8), lengths
 
 
+def halved(batch: pa.RecordBatch, most: int = 1 << 30):
+    """``batch`` in runs of rows below ``most`` bytes, or of a single row; offsets of ids then fit in 32 bits."""
+    if batch.num_rows < 2 or batch.nbytes < most:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from halved(batch.slice(0, half), most)
+        yield from halved(batch.slice(half), most)
+
+
 def encode(df: DataFrame, vocab: DataFrame, pieces: str = "pieces", out: str = "input_ids") -> DataFrame:
     """``df`` with ids in place of pieces, row by row: no exchange, also on streams.
 
@@ -112,7 +122,7 @@ def encode(df: DataFrame, vocab: DataFrame, pieces: str = "pieces", out: str = "
 
     def look_up(batches):
         known = sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in halved(whole)):
             rows = batch.column(pieces)
             distinct = pc.dictionary_encode(rows.flatten())
             ids = np.array([known.get(p, -1) for p in distinct.dictionary.to_pylist()], np.int64)

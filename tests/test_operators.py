@@ -3,6 +3,7 @@
 import collections
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -476,3 +477,12 @@ def test_collate_rows_sees_batches_in_order(spark):
     got = [tuple(r) for r in B.collate_rows(df, EveryOther, "batch bigint, pos bigint").collect()]
     assert sorted(got, key=repr) == sorted([(b, p) for b in (0, 1, 2, None) for p in (0, 2, 4, -5)], key=repr)
     assert B.collate_rows(df.limit(0), EveryOther, "batch bigint, pos bigint").count() == 0
+
+
+def test_large_batches_are_halved():
+    rows = pa.array([["ab"] * n for n in (0, 1, 500, 3, 40, 0, 7)] + [None])
+    batch = pa.RecordBatch.from_arrays([rows, pa.array(range(8))], names=["pieces", "id"])
+    parts = list(E.halved(batch, 400))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert len(parts) > 2 and all(p.nbytes < 400 or p.num_rows == 1 for p in parts)
+    assert [p.num_rows for p in E.halved(batch)] == [8] and [p.num_rows for p in E.halved(batch.slice(0, 0))] == [0]
