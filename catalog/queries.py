@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -905,23 +905,28 @@ def stream_rejects(spark, sf):
     return spark.read.schema(counts.schema).parquet(f"{out}/counts")
 
 
-def _arriving(spark, sf, out: str) -> DataFrame:
-    """Stream of the documents in three files, in the order of their ids."""
+def _arriving(spark, sf, out: str) -> Iterator[DataFrame]:
+    """Stream of the documents after each of three deliveries, in the order of their ids.
+
+    A delivery is as many files as tasks write it. Run the stream to its end each time: its checkpoint
+    knows what came before, so a delivery is one micro-batch.
+    """
     documents = fx.table(spark, sf, "documents")
     last = documents.agg(F.max("doc_id")).first()[0]
     for part in range(3):
         place = F.floor(F.col("doc_id") * 3 / F.lit(last + 1))
-        documents.where(place == part).coalesce(1).write.parquet(f"{out}/in/part={part}")
-    return spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", "1").parquet(f"{out}/in/part=*")
+        documents.where(place == part).write.parquet(f"{out}/in/part={part}")
+        yield spark.readStream.schema(documents.schema).parquet(f"{out}/in/part=*")
 
 
 @query
 def stream_reject_updates(spark, sf):
     """Only the counts that an epoch changes are written; the merged table is read."""
     out = scratch(spark)
-    counts = W.reject_stream(fx.document_samples(_arriving(spark, sf, out)))
     keys = ["source_id", "reject_reason"]
-    U.upsert_stream(counts, f"{out}/counts", f"{out}/state", keys, compact_every=2).awaitTermination()
+    for stream in _arriving(spark, sf, out):
+        counts = W.reject_stream(fx.document_samples(stream))
+        U.upsert_stream(counts, f"{out}/counts", f"{out}/state", keys, compact_every=2).awaitTermination()
     return U.read_upserts(spark, f"{out}/counts", counts.schema, keys)
 
 
@@ -929,8 +934,9 @@ def stream_reject_updates(spark, sf):
 def stream_outcomes(spark, sf):
     """Accepted and rejected samples of one stream, each epoch of both committed at once."""
     out = scratch(spark)
-    samples = fx.document_samples(_arriving(spark, sf, out))
-    U.outcome_stream(samples, f"{out}/rows", f"{out}/state").awaitTermination()
+    for stream in _arriving(spark, sf, out):
+        samples = fx.document_samples(stream)
+        U.outcome_stream(samples, f"{out}/rows", f"{out}/state").awaitTermination()
     schema = P.prepare_judged(samples).schema
     sides = [
         U.read_outcome(spark, f"{out}/rows", schema, side).select(
@@ -946,13 +952,13 @@ STREAM_BUFFERS = {"de": 16, "en": 100, "es": 7}
 
 @query
 def stream_batches(spark, sf):
-    """Documents by language as weighted sources, arriving in three files; buffers and draws go on between them."""
+    """Documents by language as weighted sources, arriving in three deliveries; buffers and draws go on between them."""
     out = scratch(spark)
     samples = fx.document_samples(fx.table(spark, sf, "documents"))
     vocab = E.build_vocab(E.tokenize(P.render_prompts(samples)), VOCAB_SIZE)
-    stream = _arriving(spark, sf, out)
     mix = {"weights": LANG_WEIGHTS, "buffer": STREAM_BUFFERS}
-    W.batch_stream(fx.document_samples(stream), vocab, f"{out}/rows", f"{out}/state", 8, **mix).awaitTermination()
+    for stream in _arriving(spark, sf, out):
+        W.batch_stream(fx.document_samples(stream), vocab, f"{out}/rows", f"{out}/state", 8, **mix).awaitTermination()
     W.finish_batches(spark, f"{out}/rows", f"{out}/state", 8, **mix)
     rows = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows")
     return rows.select(

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalog import fixture as fx
+from catalog import queries as catalog
 from colloquy.operators import encoding as E
 from colloquy.operators.mixing import interleave
 from colloquy.operators.ordering import bounded_shuffle
@@ -222,3 +224,17 @@ def test_both_outcomes_or_neither(spark, folder, tmp_path):
     assert sorted(bad.select("id", "reject_reason").collect()) == sorted(left.collect())
     assert bad.where("prompt IS NOT NULL OR pieces IS NOT NULL OR n_tokens IS NOT NULL").count() == 0
     assert "PartitionFilters: [isnotnull(outcome" in good._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deliveries_are_written_by_many_tasks(spark, tmp_path):
+    """No task writes a whole delivery; each is one epoch, with the ids that belong to it."""
+    rows = spark.range(90).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("some text").alias("text"))
+    rows.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    out = str(tmp_path / "out")
+    for part, stream in enumerate(catalog._arriving(spark, str(tmp_path), out)):
+        assert len(list((tmp_path / "out" / "in" / f"part={part}").glob("*.parquet"))) == 6
+        samples = fx.document_samples(stream)
+        drain(outcome_stream(samples, f"{out}/rows", f"{out}/state"))
+    sides = [read_outcome(spark, f"{out}/rows", P.prepare_judged(samples).schema, s) for s in ("accepted", "rejected")]
+    got = [(r["epoch"], r["id"]) for s in sides for r in s.select("epoch", "id").collect()]
+    assert sorted(got) == [(i // 30, i) for i in range(90)]
