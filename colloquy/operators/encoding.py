@@ -22,6 +22,10 @@ from colloquy.operators.skew import pin
 BYTE_BASE = fixed.FIRST_RESERVED_ID - 256
 MAX_WORDS = BYTE_BASE
 
+# Rows of an Arrow batch that are encoded together: what a task holds besides the
+# batch is some tens of times this, however many rows Spark puts into the batch.
+PART_BYTES = 1 << 20
+
 
 def special_tokens(spark: SparkSession, style: str = "image_first") -> DataFrame:
     rows = [
@@ -38,16 +42,19 @@ def tokenize(df: DataFrame, prompt: str = "prompt", style: str = "image_first",
 def tokenize_with(
     df: DataFrame, encode: Callable[[list[str]], list[list[int]]], prompt: str = "prompt", out: str = "input_ids"
 ) -> DataFrame:
-    """Plug in any tokenizer: ``encode`` maps a list of prompts to lists of ids, batch by batch."""
+    """Plug in any tokenizer: ``encode`` maps a list of prompts to lists of ids, by ``PART_BYTES`` of rows or a single row."""
     at = df.columns.index(prompt)
 
+    def encoded(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part.column(at).to_pylist()
+        ids = iter(encode([t for t in texts if t is not None]))
+        column = pa.array([None if t is None else next(ids) for t in texts], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, out])
+
     def run(batches):
         for batch in batches:
-            texts = batch.column(at)
-            known = [t for t in texts.to_pylist() if t is not None]
-            ids = iter(encode(known))
-            column = pa.array([None if t is None else next(ids) for t in texts.to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
+            for part in halved(batch, PART_BYTES):
+                yield encoded(part)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 

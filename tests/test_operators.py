@@ -486,3 +486,13 @@ def test_large_batches_are_halved():
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
     assert len(parts) > 2 and all(p.nbytes < 400 or p.num_rows == 1 for p in parts)
     assert [p.num_rows for p in E.halved(batch)] == [8] and [p.num_rows for p in E.halved(batch.slice(0, 0))] == [0]
+
+
+def test_plugged_tokenizers_get_parts_of_batches(spark):
+    """A call sees few texts where they are long, however many rows an Arrow batch has."""
+    texts = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 10 != 3, F.repeat(F.lit("é"), 2000)).alias("prompt"))
+    seen = E.tokenize_with(texts, lambda given: [[len(given), len(t)] for t in given]).collect()
+    assert sorted(r["id"] for r in seen) == list(range(3000))
+    assert all((r["input_ids"] is None) == (r["prompt"] is None) == (r["id"] % 10 == 3) for r in seen)
+    assert max(r["input_ids"][0] for r in seen if r["input_ids"]) * 4000 <= E.PART_BYTES
+    assert {r["input_ids"][1] for r in seen if r["input_ids"]} == {2000}
