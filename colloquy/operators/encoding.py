@@ -116,7 +116,7 @@ def encode(df: DataFrame, vocab: DataFrame, pieces: str = "pieces", out: str = "
     A piece that is not in the vocabulary becomes the ids of its UTF-8 bytes, so
     ``decode`` gives the text back. The vocabulary, at most ``MAX_WORDS`` and the
     special tokens, goes to the executors once and its table is built once per
-    task; an Arrow kernel looks up all pieces of a batch of rows together. All
+    task; an Arrow kernel looks up all pieces of ``PART_BYTES`` of rows together. All
     columns of ``df`` take the way through Arrow, so select only narrow ones.
     """
     most = MAX_WORDS + max(map(len, fixed.SPECIAL_TOKENS.values()))
@@ -127,30 +127,31 @@ def encode(df: DataFrame, vocab: DataFrame, pieces: str = "pieces", out: str = "
     kept = [f for f in df.schema.fields if f.name != pieces]
     names = [f.name for f in kept]
 
+    def encoded(batch: pa.RecordBatch, known: dict) -> pa.RecordBatch:
+        rows = batch.column(pieces)
+        distinct = pc.dictionary_encode(rows.flatten())
+        ids = np.array([known.get(p, -1) for p in distinct.dictionary.to_pylist()], np.int32)
+        place = distinct.indices.to_numpy(zero_copy_only=False)
+        flat = ids[place] if len(place) else np.zeros(0, np.int32)
+        counts = np.ones(len(flat), np.int64)
+        odd = np.flatnonzero(flat < 0)
+        if len(odd):
+            data, lengths = _bytes_of(distinct.dictionary.take(pa.array(place[odd])))
+            counts[odd] = lengths
+        ends = np.cumsum(counts)
+        found = np.repeat(flat, counts)
+        if len(odd):
+            found[np.repeat(flat < 0, counts)] = data.astype(np.int32) + BYTE_BASE
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        edges = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
+        mask = rows.is_null() if rows.null_count else None
+        column = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(found, pa.int32()), mask=mask)
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], names=[*names, out])
+
     def look_up(batches):
-        known = sent.value
-        for batch in (part for whole in batches for part in halved(whole)):
-            rows = batch.column(pieces)
-            distinct = pc.dictionary_encode(rows.flatten())
-            ids = np.array([known.get(p, -1) for p in distinct.dictionary.to_pylist()], np.int64)
-            place = distinct.indices.to_numpy(zero_copy_only=False)
-            flat = ids[place] if len(place) else np.zeros(0, np.int64)
-            counts = np.ones(len(flat), np.int64)
-            odd = np.flatnonzero(flat < 0)
-            if len(odd):
-                data, lengths = _bytes_of(distinct.dictionary.take(pa.array(place[odd])))
-                counts[odd] = lengths
-            ends = np.cumsum(counts)
-            found = np.repeat(flat, counts)
-            if len(odd):
-                found[np.repeat(flat < 0, counts)] = data.astype(np.int64) + BYTE_BASE
-            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
-            edges = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
-            mask = rows.is_null() if rows.null_count else None
-            encoded = pa.ListArray.from_arrays(
-                pa.array(edges, pa.int32()), pa.array(found, pa.int32()), mask=mask
-            )
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), encoded], names=[*names, out])
+        for batch in batches:
+            for part in halved(batch, PART_BYTES):
+                yield encoded(part, sent.value)
 
     return df.mapInArrow(
         look_up, T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])

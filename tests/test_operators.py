@@ -496,3 +496,24 @@ def test_plugged_tokenizers_get_parts_of_batches(spark):
     assert all((r["input_ids"] is None) == (r["prompt"] is None) == (r["id"] % 10 == 3) for r in seen)
     assert max(r["input_ids"][0] for r in seen if r["input_ids"]) * 4000 <= E.PART_BYTES
     assert {r["input_ids"][1] for r in seen if r["input_ids"]} == {2000}
+
+
+def test_batches_are_encoded_in_parts(spark, monkeypatch):
+    """Known and unknown pieces, NULL and empty rows of one large batch, as given and as its parts come back."""
+    df = spark.createDataFrame([(0, ["a"])], "id bigint, pieces array<string>")
+    vocab = spark.createDataFrame([("a", 0), ("word", 1)], "piece string, token_id int")
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, fn, schema: fn)
+        look_up = E.encode(df, vocab)
+    rows = [None if i % 7 == 5 else ["a", "é", "word"] * (i % 400) for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.string()))], ["id", "pieces"])
+    assert batch.nbytes > 4 * E.PART_BYTES  # and so more than one part
+    parts = list(look_up([batch]))
+    start = 0
+    for part in parts:
+        assert part.num_rows == 1 or batch.slice(start, part.num_rows).nbytes < E.PART_BYTES
+        start += part.num_rows
+    got = pa.Table.from_batches(parts).to_pydict()
+    byte = [E.BYTE_BASE + b for b in "é".encode()]
+    assert got["id"] == list(range(len(rows)))
+    assert got["input_ids"] == [None if r is None else [0, *byte, 1] * (len(r) // 3) for r in rows]
