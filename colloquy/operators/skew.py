@@ -43,6 +43,7 @@ def salted_left_join(
     spread: str,
     hot_rows: int = HOT_ROWS,
     how: str = "left",
+    strategy: str | None = None,
 ) -> DataFrame:
     """Join to a side that is unique on ``key``, with hot keys of ``left`` split.
 
@@ -50,6 +51,9 @@ def salted_left_join(
     hash of ``spread``; only the matching right rows of such keys are repeated,
     once per salt. Counting the keys is a map-side combined aggregate of the key
     columns alone. Rows with a NULL key meet nothing, so they do not move at all.
+
+    ``strategy`` is a join hint. Give ``merge`` where ``left`` makes many rows of few in
+    place, as ``mixing.turns`` does: Spark takes such a side for small and would broadcast it.
     """
     keys = [key] if isinstance(key, str) else list(key)
     hot = (
@@ -71,5 +75,7 @@ def salted_left_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
+    if strategy:
+        salted_left = salted_left.hint(strategy)
     joined = salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
     return joined if rest is None else joined.unionByName(rest, allowMissingColumns=True)

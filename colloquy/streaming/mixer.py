@@ -112,7 +112,8 @@ class StreamMixer:
             first = _per_source(taken, source)
             rank = F.col("turn") if first is None else F.col("turn") + F.coalesce(first, F.lit(0))
             slots = drawn.select(source, rank.alias("_rank"), F.col("slot").alias("pos"))
-            plan = ranks.join(slots, [source, "_rank"], "left")
+            # Slots are exploded from a few blocks, so Spark takes them for small; there is one for each row.
+            plan = ranks.join(slots.hint("merge"), [source, "_rank"], "left")
         else:
             plan = ranks.withColumn("pos", F.lit(None).cast("bigint"))
         rows = held.drop("_rank").unionByName(fresh.join(numbers, [source, "_uid"]).drop("_uid"))
@@ -159,4 +160,4 @@ class StreamMixer:
             F.pmod("_turn", length).cast("bigint").alias("_rank"),
         )
         every = pin(reduce(lambda a, b: a.unionByName(b), rows))
-        return salted_left_join(picks, every, [source, "_rank"], "pos", how="inner").drop("_at")
+        return salted_left_join(picks, every, [source, "_rank"], "pos", how="inner", strategy="merge").drop("_at")

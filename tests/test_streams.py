@@ -1,5 +1,7 @@
 """Streams over several files give what the batch functions give."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,9 +12,11 @@ from colloquy.operators import encoding as E
 from colloquy.operators.mixing import interleave
 from colloquy.operators.ordering import bounded_shuffle
 from colloquy.operators.quality import quarantine, reject_summary
+from colloquy.operators.skew import pin
 from colloquy.plans import prepare as P
 from colloquy.schema import SAMPLE, SourceSpec, stream_mixture
 from colloquy.sources.read import read_mixture, read_source
+from colloquy.streaming import mixer as streaming
 from colloquy.streaming import prepare as W
 from colloquy.streaming.mixer import StreamMixer
 from colloquy.streaming.sinks import UpsertTable, outcome_stream, read_outcome, read_upserts, upsert_stream
@@ -156,6 +160,28 @@ def test_a_source_that_never_comes(spark, tmp_path):
     assert sorted(r["id"] for r in mixer.finish(spark, None).collect()) == list(range(9))
 
 
+def test_slots_are_joined_without_a_broadcast(spark, tmp_path, monkeypatch):
+    """One for each row, though Spark takes them for a few: neither a micro-batch nor the end sends them to the driver."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return pin(df)
+
+    monkeypatch.setattr(streaming, "pin", kept)
+    frame = spark.createDataFrame([(i, "xxxyz"[i % 5]) for i in range(100)], "id int, source_id string")
+    mixer = StreamMixer(str(tmp_path / "m"), 4, WEIGHTS, 5)
+    placed, commit = mixer.step(frame, 0)
+    out = placed.collect()
+    assert out and any(re.search(r"SortMergeJoin \[source_id#\d+, _rank#\d+L\]", p) for p in plans)
+    assert not any(re.search(r"BroadcastHashJoin \[source_id#\d+, _rank#\d+L\]", p) for p in plans)
+    commit()
+    used = spark.createDataFrame(out, placed.schema).drop("pos", "pass")
+    last = mixer.finish(spark, used)
+    assert re.search(r"SortMergeJoin \[source_id#\d+, _rank#\d+L, _salt#\d+\]", last._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r["pos"] for r in out + last.collect()) == list(range(len(out) + last.count()))
+
+
 COUNTS = T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.LongType())])
 
 
